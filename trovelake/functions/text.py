@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,15 @@ _EDGES = rf"(?U)\A{_WS}+|{_WS}+\z"
 _TOKENS = f"(?iu){fv.TOKEN_PATTERN}"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row.
+
+    Inside a lambda of ``use`` a plain expression would be evaluated per element; a
+    lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Remove Unicode whitespace at both ends."""
     return F.regexp_replace(text, _EDGES, "")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trovelake import fixed_values as fv
 from trovelake.functions.text import (
     extract_citations,
+    let,
     overlap_count,
     split_sentences,
     strip,
@@ -37,28 +38,31 @@ def extractive_answer(question: Column, contexts: Column) -> Column:
     Repeated sentences count once.  The first four are joined and up to three distinct
     citations follow.
     """
-    tokens = tokenize(question)
     start = F.struct(
         F.array().cast(STRINGS).alias("sentences"), F.array().cast(STRINGS).alias("citations")
     )
 
-    def step(state: Column, context: Column) -> Column:
-        order = F.array_sort(
-            F.transform(
-                split_sentences(context["text"]),
+    def pick(tokens: Column) -> Column:
+        def closest(text: Column) -> Column:
+            scored = F.transform(
+                split_sentences(text),
                 lambda s, i: F.struct(
                     (-overlap_count(tokens, tokenize(s))).alias("o"), i.alias("i"), s.alias("s")
                 ),
             )
-        )
-        best = F.transform(F.slice(order, 1, 2), lambda r: r["s"])
-        grown = F.struct(
-            F.array_union(state["sentences"], best).alias("sentences"),
-            F.array_union(state["citations"], F.array(_bracketed(context["citation"]))).alias("citations"),
-        )
-        return F.when(F.size(state["sentences"]) >= 4, state).otherwise(grown)
+            return F.transform(F.slice(F.array_sort(scored), 1, 2), lambda r: r["s"])
+
+        def step(state: Column, context: Column) -> Column:
+            cited = F.array(_bracketed(context["citation"]))
+            grown = F.struct(
+                F.array_union(state["sentences"], closest(context["text"])).alias("sentences"),
+                F.array_union(state["citations"], cited).alias("citations"),
+            )
+            return F.when(F.size(state["sentences"]) >= 4, state).otherwise(grown)
+
+        return F.aggregate(contexts, start, step)
 
-    picked = F.aggregate(contexts, start, step)
+    picked = let(tokenize(question), pick)
     text = strip(F.array_join(F.slice(picked["sentences"], 1, 4), " "))
     body = F.when(text == "", F.lit(fv.UNCERTAIN_ANSWER)).otherwise(text)
     sources = F.array_join(F.slice(picked["citations"], 1, 3), " ")
@@ -69,7 +73,8 @@ def extractive_answer(question: Column, contexts: Column) -> Column:
 def citations_valid(answer: Column, contexts: Column) -> Column:
     """True when every [...] body is the citation of a context; also when there is none."""
     allowed = F.transform(contexts, lambda c: c["citation"])
-    return F.forall(extract_citations(answer), lambda c: F.coalesce(F.array_contains(allowed, c), F.lit(False)))
+    unknown = F.array_except(extract_citations(answer), allowed)
+    return F.coalesce(F.size(unknown) == 0, F.lit(True))
 
 
 def repair_citations(answer: Column, contexts: Column) -> Column:

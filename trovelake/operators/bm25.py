@@ -9,7 +9,7 @@ from trovelake import fixed_values as fv
 from trovelake.functions.text import tokenize
 from trovelake.operators.chunking import apply_filters
 from trovelake.operators.vector_search import SCORE_DIGITS, ranked
-from trovelake.runtime import per_block
+from trovelake.runtime import per_block, unnest
 
 CHUNK_KEY = ("doc_pos", "piece")
 
@@ -24,10 +24,10 @@ def build_postings(chunks: DataFrame, partitions: int | None = None) -> DataFram
     keyed = chunks.select(*CHUNK_KEY, "product_type", "text")
     keyed = keyed.repartition(*([partitions] if partitions else []), *CHUNK_KEY)
     tokens = keyed.select(*CHUNK_KEY, "product_type", tokenize(F.col("text")).alias("tokens"))
+    sized = tokens.withColumn("dl", F.size("tokens"))
+    keep = (*CHUNK_KEY, "product_type", "dl")
     return (
-        tokens.select(
-            *CHUNK_KEY, "product_type", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")
-        )
+        unnest(sized, F.col("tokens"), "term", keep=keep)
         .groupBy(*CHUNK_KEY, "product_type", "dl", "term")
         .agg(F.count("*").cast("int").alias("tf"))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trovelake import fixed_values as fv
 from trovelake.functions.text import clean_text, strip
+from trovelake.runtime import unnest
 
 
 def sliding_windows(text: Column, size: int, overlap: int) -> Column:
@@ -55,24 +56,15 @@ def chunk_documents(
     them; ``piece`` packs the section position and the chunk index.  Windows cut from
     cleaned text and stripped are already clean, so they are not cleaned again.
     """
-    sections = documents.select(
-        "doc_pos",
-        "doc_id",
-        "title",
-        "product_type",
-        "updated_at",
-        "source",
-        F.posexplode("sections").alias("section_pos", "s"),
-    ).select(
+    fields = ("doc_pos", "doc_id", "title", "product_type", "updated_at", "source")
+    sections = unnest(documents, F.col("sections"), "section_pos", "s", keep=fields).select(
         "*",
         F.col("s.heading").alias("section"),
         clean_text(F.concat_ws("\n", "title", "s.heading", "s.text")).alias("section_text"),
     )
     pieces = split_text(F.col("section_text"), strategy, chunk_size, chunk_overlap, splitter)
     chunk_id = F.concat_ws(":", "doc_id", "section", F.lit(strategy), F.col("chunk_index"))
-    return sections.select(
-        "*", F.posexplode(pieces).alias("chunk_index", "text")
-    ).select(
+    return unnest(sections, pieces, "chunk_index", "text").select(
         "doc_pos",
         (F.col("section_pos").cast("bigint") * F.lit(1 << 32) + F.col("chunk_index")).alias("piece"),
         chunk_id.alias("chunk_id"),

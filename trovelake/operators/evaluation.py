@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovelake.functions.text import overlap_ratio, tokenize
+from trovelake.functions.text import let, overlap_ratio, tokenize
 
 
 def first_relevant_rank(gold: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -58,8 +58,11 @@ def proxy_scores(question: Column, expected_section: Column, answer: Column, con
     """
     asked, said = tokenize(question), tokenize(answer)
     texts = F.transform(contexts, lambda c: c["text"])
-    wanted = F.array_union(asked, tokenize(expected_section))
-    best = F.array_max(F.transform(texts, lambda t: overlap_ratio(wanted, tokenize(t))))
+    ratios = let(
+        F.array_union(asked, tokenize(expected_section)),
+        lambda wanted: F.transform(texts, lambda t: overlap_ratio(wanted, tokenize(t))),
+    )
+    best = F.array_max(ratios)
     return [
         overlap_ratio(said, tokenize(F.array_join(texts, " "))).alias("faithfulness"),
         overlap_ratio(asked, said).alias("answer_relevancy"),

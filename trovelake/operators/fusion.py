@@ -9,7 +9,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovelake import fixed_values as fv
-from trovelake.functions.text import overlap_count, overlap_ratio, split_on_period, strip, tokenize
+from trovelake.functions.text import (
+    let,
+    overlap_count,
+    overlap_ratio,
+    split_on_period,
+    strip,
+    tokenize,
+)
 from trovelake.operators.vector_search import SCORE_DIGITS, ranked
 
 
@@ -66,31 +73,29 @@ def compress_text(
     Sentences are ordered by shared tokens (ties in text order); one that would overrun
     the budget is skipped unless it is the first; the fold stops once the budget is used.
     """
-    scored = F.transform(
-        split_on_period(text),
-        lambda s, i: F.struct(
-            (-overlap_count(query_tokens, tokenize(s))).alias("o"),
-            i.alias("i"),
-            F.when(F.endswith(s, F.lit(".")), s).otherwise(F.concat(s, F.lit("."))).alias("s"),
-        ),
-    )
-    start = F.struct(
-        F.array().cast("array<string>").alias("picked"),
-        F.lit(0).alias("total"),
-    )
+    start = F.struct(F.array().cast("array<string>").alias("picked"), F.lit(0).alias("total"))
+
+    def ordered(tokens: Column) -> Column:
+        scored = F.transform(
+            split_on_period(text),
+            lambda s, i: F.struct(
+                (-overlap_count(tokens, tokenize(s))).alias("o"),
+                i.alias("i"),
+                F.when(F.endswith(s, F.lit(".")), s).otherwise(F.concat(s, F.lit("."))).alias("s"),
+            ),
+        )
+        return F.array_sort(scored)
 
     def step(state: Column, item: Column) -> Column:
         longer = state["total"] + F.length(item["s"])
         full = state["total"] >= max_chars
         overrun = (longer > max_chars) & (F.size(state["picked"]) > 0)
-        return F.when(full | overrun, state).otherwise(
-            F.struct(
-                F.concat(state["picked"], F.array(item["s"])).alias("picked"),
-                longer.alias("total"),
-            )
+        taken = F.struct(
+            F.concat(state["picked"], F.array(item["s"])).alias("picked"), longer.alias("total")
         )
+        return F.when(full | overrun, state).otherwise(taken)
 
-    kept = F.aggregate(F.array_sort(scored), start, step)["picked"]
+    kept = F.aggregate(let(query_tokens, ordered), start, step)["picked"]
     short = strip(F.substring(F.array_join(kept, " "), 1, max_chars))
     return F.when(F.length(text) <= max_chars, text).otherwise(short)
 

@@ -89,7 +89,9 @@ def conversation_questions(turns: DataFrame, segment: int = 64) -> DataFrame:
     own = F.floor(F.col("turn") / segment).cast("bigint")
     spill = F.pmod(F.col("turn"), F.lit(segment)) >= segment - HALO
     homes = F.when(spill, F.array(own, own + 1)).otherwise(F.array(own))
-    rows = turns.select("conv_id", "turn", "role", "text", own.alias("own"), F.explode(homes).alias("seg"))
+    rows = turns.select(
+        "conv_id", "turn", "role", "text", own.alias("own"), F.explode(homes).alias("seg")
+    )
     w = Window.partitionBy("conv_id", "seg").orderBy("turn")
 
     def back(d: int, role: str) -> Column:

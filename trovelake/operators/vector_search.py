@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trovelake import fixed_values as fv
-from trovelake.functions.vector import cosine_similarity
+from trovelake.functions.vector import dot_product, l2_norm
 from trovelake.operators.chunking import apply_filters
 from trovelake.runtime import per_block
 
@@ -188,16 +188,24 @@ def _diversify(vectors: DataFrame, near: DataFrame, k: int, lambda_mult: float)
     wide = vectors.select("doc_pos", "piece", "embedding").join(
         F.broadcast(near), ["doc_pos", "piece"]
     )
+    wide = wide.withColumn("norm", l2_norm(F.col("embedding")))
     lists = wide.groupBy("qid", "variant").agg(
         F.sort_array(
-            F.collect_list(F.struct("rank", "doc_pos", "piece", "score", "embedding"))
+            F.collect_list(F.struct("rank", "doc_pos", "piece", "score", "embedding", "norm"))
         ).alias("near")
     )
+
+    def similarity(a: Column, b: Column) -> Column:
+        scale = a["norm"] * b["norm"]
+        cosine = dot_product(a["embedding"], b["embedding"]) / scale
+        return F.when(scale > 0, F.round(cosine, SCORE_DIGITS)).otherwise(F.lit(0.0))
+
+    # Lower triangle only: row a holds its similarity to every better ranked b.
     sims = F.transform(
         "near",
         lambda a: F.transform(
             "near",
-            lambda b: F.round(cosine_similarity(a["embedding"], b["embedding"]), SCORE_DIGITS),
+            lambda b: F.when(b["rank"] < a["rank"], similarity(a, b)),
         ),
     )
     fields = ("doc_pos", "piece", "score")
@@ -216,7 +224,11 @@ def mmr_order(candidates: Column, sims: Column, k: int, lambda_mult: float) -> C
 
     def step(picked: Column, _: Column) -> Column:
         def gain(item: Column, at: Column) -> Column:
-            nearest = F.array_max(F.transform(picked, lambda p: F.get(F.get(sims, at), p)))
+            nearest = F.array_max(
+                F.transform(
+                    picked, lambda p: F.get(F.get(sims, F.greatest(at, p)), F.least(at, p))
+                )
+            )
             worth = lambda_mult * item["score"] - (1 - lambda_mult) * F.coalesce(nearest, F.lit(0.0))
             value = F.struct((-F.round(worth, SCORE_DIGITS)).alias("v"), at.alias("at"))
             return F.when(~F.array_contains(picked, at), value)

@@ -30,7 +30,7 @@ from trovelake.plans.evaluate import answer_proxies, compare_chunking, gold_rank
 from trovelake.plans.index import CorpusIndex, build_index, embed_chunks
 from trovelake.plans.pipeline import AnswerPipeline, answer_questions, first_requests, replay
 from trovelake.plans.retrieve import retrieve, search_variants
-from trovelake.runtime import per_block, scratch_dir
+from trovelake.runtime import per_block, scratch_dir, unnest
 from trovelake.sources.documents import clean_documents, clean_questions, document_text
 from trovelake.sources.vector_store import (
     VectorCollection,
@@ -108,11 +108,11 @@ def gold_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda s, i: F.struct((-F.length(s)).alias("n"), i.alias("i"), s.alias("s")),
     )
     asked = asked.select("qid", "query", F.array_min(sentences)["s"].alias("sentence"))
-    said = documents(spark, sf_dir).select(
-        "doc_pos",
-        "doc_id",
-        "product_type",
-        F.explode(F.array_distinct(tx.split_sentences(F.col("sections")[0]["text"]))).alias("sentence"),
+    said = unnest(
+        documents(spark, sf_dir),
+        F.array_distinct(tx.split_sentences(F.col("sections")[0]["text"])),
+        "sentence",
+        keep=("doc_pos", "doc_id", "product_type"),
     )
     first = F.min(F.struct("doc_pos", "doc_id", "product_type")).alias("gold")
     return (
@@ -206,13 +206,13 @@ def tokenize_counts(spark, sf_dir):
 
 
 def sentence_split(spark, sf_dir):
-    parts = F.posexplode(tx.split_sentences(F.col("text"))).alias("pos", "sentence")
-    return table(spark, sf_dir, "documents").select("doc_id", parts)
+    parts = tx.split_sentences(F.col("text"))
+    return unnest(table(spark, sf_dir, "documents"), parts, "pos", "sentence", keep=("doc_id",))
 
 
 def sentence_split_dot(spark, sf_dir):
-    parts = F.posexplode(tx.split_on_period(F.col("text"))).alias("pos", "sentence")
-    return table(spark, sf_dir, "documents").select("doc_id", parts)
+    parts = tx.split_on_period(F.col("text"))
+    return unnest(table(spark, sf_dir, "documents"), parts, "pos", "sentence", keep=("doc_id",))
 
 
 def lexical_overlap(spark, sf_dir):
@@ -233,7 +233,7 @@ def context_citation(spark, sf_dir):
 
 
 def citation_extraction(spark, sf_dir):
-    answer = F.concat("text", F.lit(" ["), "source", F.lit(" / body] ["), "lang", F.lit("] [")) 
+    answer = F.concat("text", F.lit(" ["), "source", F.lit(" / body] ["), "lang", F.lit("] ["))
     found = F.array_join(tx.extract_citations(answer), "|")
     return table(spark, sf_dir, "documents").select("doc_id", found.alias("citations"))
 
@@ -337,7 +337,7 @@ def collection_upsert(spark, sf_dir):
 
 def hash_embedding(spark, sf_dir):
     rows = embed_chunks(_chunks(spark, sf_dir, "recursive"), HashingEmbedder(hasher="md5"))
-    cells = rows.select("chunk_id", F.posexplode("embedding").alias("bucket", "value")).where("value <> 0")
+    cells = unnest(rows, F.col("embedding"), "bucket", "value", keep=("chunk_id",)).where("value <> 0")
     return cells.groupBy("chunk_id").agg(
         F.count("*").alias("nonzero"),
         F.round(F.sum("value"), 6).alias("total"),

@@ -14,7 +14,6 @@ from trovelake.functions.vector import l2_norm
 from trovelake.operators import bm25
 from trovelake.operators.chunking import chunk_documents
 from trovelake.operators.embedding import Embedder, HashingEmbedder
-from trovelake.runtime import spread
 from trovelake.sources.vector_store import write_vectors
 
 CHUNKS_PER_BUCKET = 500_000
@@ -62,7 +61,6 @@ def build_index(
     Postings are bucketed by chunk, so a search aggregates without a shuffle.
     """
     embedder = embedder or HashingEmbedder()
-    documents = spread(documents, "doc_pos")
     chunked = chunk_documents(documents, strategy, chunk_size, chunk_overlap, splitter)
     chunked.write.mode("overwrite").parquet(f"{path}/chunks")
     chunks = spark.read.parquet(f"{path}/chunks")

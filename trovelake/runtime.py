@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A block of queries is what may be broadcast to every task.  4096 queries of 384
@@ -50,6 +50,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
+def unnest(df: DataFrame, array: Column, *names: str, keep: tuple[str, ...] = ("*",)) -> DataFrame:
+    """One row per array element, as (position, element) or element; empty arrays give none.
+
+    The outer form with a filter on its output evaluates the array once.  A plain explode
+    makes the optimizer infer a size(array) > 0 filter below it, which would compute an
+    expensive array (cleaned text, tokens) a second time.
+    """
+    generate = F.posexplode_outer if len(names) == 2 else F.explode_outer
+    rows = df.select(*keep, generate(array).alias(*names))
+    return rows.where(F.col(names[-1]).isNotNull())
+
+
 def per_block(
     queries: DataFrame,
     run: Callable[[DataFrame], DataFrame],
@@ -61,10 +73,17 @@ def per_block(
 ) -> DataFrame:
     """Run ``run`` on blocks of ``queries`` small enough to broadcast, and union the results.
 
-    The size is counted, not estimated: one block when everything fits, otherwise the
-    queries are hash-split on ``key`` until the largest block fits.  ``weight`` names
-    an array column whose total length is bounded too.
+    The queries are computed once into a table in the shared folder: several branches
+    of a search read them, and it cuts their lineage.  The size is counted, not
+    estimated: one block when everything fits, otherwise the queries are hash-split on
+    ``key`` until the largest block fits.  ``weight`` names an array column whose total
+    length is bounded too.
     """
+    spark = queries.sparkSession
+    schema = queries.schema
+    path = scratch_dir(spark)
+    queries.write.parquet(path)
+    queries = spark.read.schema(schema).parquet(path)
     size = F.sum(F.size(weight)) if weight else F.lit(0).cast("bigint")
 
     def largest(n: int) -> float:
@@ -84,11 +103,9 @@ def per_block(
         blocks, load = wanted, largest(wanted)
     if blocks == 1:
         return run(queries)
-    # Many blocks: compute the queries once and let every block read its own files.
-    spark = queries.sparkSession
-    path = scratch_dir(spark)
+    path = scratch_dir(spark)  # laid out by block, so that each block reads its own files
     queries.withColumn("_block", _block(key, blocks)).write.partitionBy("_block").parquet(path)
-    stored = spark.read.schema(queries.schema.add("_block", "int")).parquet(path)
+    stored = spark.read.parquet(path)
     parts = [run(stored.where(F.col("_block") == b).drop("_block")) for b in range(blocks)]
     return reduce(DataFrame.unionByName, parts)
 

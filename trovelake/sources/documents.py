@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from trovelake import fixed_values as fv
 from trovelake.functions.text import clean_text
+from trovelake.runtime import spread
 
 SCALARS = ("doc_id", "title", "product_type", "updated_at", "source")
 SECTION = T.StructType(
@@ -31,6 +32,7 @@ def clean_documents(raw: DataFrame) -> DataFrame:
     with a numeric key needs no generated one.
     """
     position = F.col("doc_pos") if "doc_pos" in raw.columns else F.monotonically_increasing_id()
+    raw = spread(raw.withColumn("doc_pos", position.cast("bigint")), "doc_pos")
     sections = F.transform(
         _required(F.col("sections"), "sections"),
         lambda s: F.struct(
@@ -39,7 +41,7 @@ def clean_documents(raw: DataFrame) -> DataFrame:
         ),
     )
     return raw.select(
-        position.cast("bigint").alias("doc_pos"),
+        "doc_pos",
         *[clean_text(_required(F.col(c), c)).alias(c) for c in SCALARS],
         sections.alias("sections"),
     )
