@@ -1,41 +1,45 @@
-"""BM25: posting tables and a map-side scored top-k."""
+"""BM25: corpus statistics as aggregations, and top-k search over token lists."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trovelake import fixed_values as fv
 from trovelake.functions.text import tokenize
+from trovelake.operators.block_search import final_topk, flat_lists, local_topk, query_keys
 from trovelake.operators.chunking import apply_filters
-from trovelake.operators.vector_search import SCORE_DIGITS, ranked
 from trovelake.runtime import per_block, unnest
 
 CHUNK_KEY = ("doc_pos", "piece")
 
 
-def build_postings(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
+def with_tokens(chunks: DataFrame) -> DataFrame:
+    """Chunks with their token list (stored with an index, so computed once)."""
+    return chunks if "tokens" in chunks.columns else chunks.withColumn("tokens", tokenize(F.col("text")))
+
+
+def postings(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row per (chunk, term): tf, the chunk's length dl and the product type.
 
     Chunks are hash-partitioned on the chunk key before their tokens are exploded.
     That partitioning also satisfies the aggregation, so the shuffle carries each text
     once instead of its exploded terms, and it cannot skew because the key is unique.
     """
-    keyed = chunks.select(*CHUNK_KEY, "product_type", "text")
-    keyed = keyed.repartition(*([partitions] if partitions else []), *CHUNK_KEY)
-    tokens = keyed.select(*CHUNK_KEY, "product_type", tokenize(F.col("text")).alias("tokens"))
-    sized = tokens.withColumn("dl", F.size("tokens"))
+    columns = [c for c in (*CHUNK_KEY, "product_type", "text", "tokens") if c in chunks.columns]
+    keyed = chunks.select(*columns).repartition(*([partitions] if partitions else []), *CHUNK_KEY)
+    sized = with_tokens(keyed).withColumn("dl", F.size("tokens"))
     keep = (*CHUNK_KEY, "product_type", "dl")
-    return (
-        unnest(sized, F.col("tokens"), "term", keep=keep)
-        .groupBy(*CHUNK_KEY, "product_type", "dl", "term")
-        .agg(F.count("*").cast("int").alias("tf"))
-    )
+    rows = unnest(sized, F.col("tokens"), "term", keep=keep)
+    return rows.groupBy(*keep, "term").agg(F.count("*").cast("int").alias("tf"))
 
 
 def doc_stats(chunks: DataFrame) -> DataFrame:
     """Token count of every chunk, empty ones included."""
-    return chunks.select(*CHUNK_KEY, F.size(tokenize(F.col("text"))).cast("bigint").alias("dl"))
+    return with_tokens(chunks).select(*CHUNK_KEY, F.size("tokens").cast("bigint").alias("dl"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
@@ -45,70 +49,86 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
-def term_stats(postings: DataFrame, n: int) -> DataFrame:
-    """df and idf per term; hot terms shrink to one row per task before the shuffle."""
+def term_stats(chunks: DataFrame, n: int) -> DataFrame:
+    """df and idf per term; a hot term shrinks to one row per task before the shuffle."""
     df = F.col("df")
     idf = F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
-    return postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf)
+    terms = unnest(with_tokens(chunks), F.array_distinct("tokens"), "term", keep=())
+    return terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf)
+
+
+def _bm25_kernel(asked: pa.Table, idf: pa.Table, avgdl: float, k1: float, b: float):
+    """Scores of token lists: sum over query tokens, repeats included."""
+    vocabulary = idf.column("term").combine_chunks()
+    weight = idf.column("idf").to_numpy()
+    query, tokens = flat_lists(asked.column("tokens").combine_chunks())
+    code = pc.fill_null(pc.index_in(tokens, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+    pairs, times = np.unique(np.stack([code, query]), axis=1, return_counts=True)
+    start = np.searchsorted(pairs[0], np.arange(len(weight) + 1))  # query rows of every term
+    n_queries = len(asked)
+
+    def prepare(batch: pa.RecordBatch):
+        n = batch.num_rows
+        row, words = flat_lists(batch.column(2))
+        length = np.maximum(np.bincount(row, minlength=n), 1)
+        found = pc.index_in(words, value_set=vocabulary)
+        hit = found.is_valid().to_numpy(zero_copy_only=False)
+        cell = found.drop_null().to_numpy(zero_copy_only=False).astype(np.int64) * n + row[hit]
+        cell, tf = np.unique(cell, return_counts=True)
+        term, at = cell // n, cell % n
+        gain = weight[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[at] / max(avgdl, 1.0)))
+        present, first = np.unique(term, return_index=True)
+        last = np.append(first[1:], len(term))
+
+        def scores(ids: np.ndarray, rows: np.ndarray | None) -> np.ndarray:
+            place = np.full(n_queries, -1)
+            place[ids] = np.arange(len(ids))
+            total = np.zeros((len(ids), n))
+            for t, lo, hi in zip(present, first, last):
+                who = place[pairs[1, start[t] : start[t + 1]]]
+                count = times[start[t] : start[t + 1]]
+                mine = who >= 0
+                if mine.any():
+                    cells = np.ix_(who[mine], at[lo:hi])
+                    total[cells] += np.outer(count[mine], gain[lo:hi])
+            return total if rows is None else total[:, rows]
+
+        return scores
+
+    return prepare
 
 
 def bm25_topk(
-    postings: DataFrame,
+    chunks: DataFrame,
     terms: DataFrame,
     n_avgdl: tuple[int, float],
     queries: DataFrame,
     k: int = fv.TOP_K,
     filters: dict[str, str] | None = None,
     query_filter: str | None = None,
-    chunks: DataFrame | None = None,
-    variants: int = 1,
     k1: float = fv.BM25_K1,
     b: float = fv.BM25_B,
     one_block: bool = False,
 ) -> DataFrame:
     """The k best chunks of every query with a positive score.
 
-    ``queries``: qid, variant (0 .. ``variants`` - 1), tokens, and with ``query_filter`` a
-    nullable product_type.  A repeated query token counts repeatedly; idf and the mean
-    length stay those of the whole corpus under any filter.
-
-    Query terms are a counted, broadcast block.  A posting matched by several variants
-    of a question is joined once and adds to one sum per variant.  With postings
-    bucketed by chunk, the join, both aggregation steps and the partial top-k run in
-    the scan's own task; only k rows per task and query are shuffled.
+    ``chunks``: doc_pos, piece, tokens and filter columns.  ``queries``: qid, variant,
+    tokens, and with ``query_filter`` a nullable column of that name.  A repeated query
+    token counts repeatedly; idf and the mean length stay those of the whole corpus
+    under any filter.  Only the statistics of the block's own terms are collected.
     """
-    extra = [query_filter] if query_filter else []
-    corpus = postings
-    if filters:
-        known = [c for c in filters if c in postings.columns]
-        corpus = apply_filters(corpus, {c: filters[c] for c in known})
-        if len(known) < len(filters):  # other metadata lives with the chunks
-            allowed = apply_filters(chunks, filters).select(*CHUNK_KEY)
-            corpus = corpus.join(allowed, list(CHUNK_KEY), "left_semi")
-    n, avgdl = n_avgdl
-    length = F.greatest(F.col("dl"), F.lit(1)) / F.lit(max(avgdl, 1.0))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))
+    corpus = apply_filters(chunks, filters)
+    queries = queries.select("qid", "variant", "tokens", *([query_filter] if query_filter else []))
 
     def search(block: DataFrame) -> DataFrame:
-        asked = block.select("qid", "variant", *extra, F.explode("tokens").alias("term"))
-        counts = [
-            F.sum((F.col("variant") == v).cast("int")).alias(f"n{v}") for v in range(variants)
-        ]
-        asked = asked.groupBy("qid", "term", *extra).agg(*counts)
-        if query_filter:
-            asked = asked.withColumnRenamed(query_filter, "wanted")
-        weighted = terms.select("term", "idf").join(F.broadcast(asked), "term")
-        hits = corpus.join(F.broadcast(weighted), "term")
-        if query_filter:
-            hits = hits.where(F.col("wanted").isNull() | (F.col("wanted") == F.col(query_filter)))
-        sums = [F.sum(weight * F.col(f"n{v}")).alias(f"s{v}") for v in range(variants)]
-        scored = hits.groupBy(*CHUNK_KEY, "qid").agg(*sums)
-        if variants == 1:
-            return scored.select("qid", F.lit(0).alias("variant"), *CHUNK_KEY, F.col("s0").alias("score"))
-        totals = F.array(*[f"s{v}" for v in range(variants)])
-        return scored.select("qid", *CHUNK_KEY, F.posexplode(totals).alias("variant", "score"))
+        asked = block.toArrow()
+        used = unnest(block, F.col("tokens"), "term", keep=()).distinct()
+        idf = terms.select("term", "idf").join(F.broadcast(used), "term", "left_semi").toArrow()
+        wanted = asked.column(query_filter).to_pylist() if query_filter else None
+        kernel = _bm25_kernel(asked, idf, n_avgdl[1], k1, b)
+        return local_topk(
+            corpus, "tokens", query_keys(asked), wanted, query_filter, kernel, k, positive=True
+        )
 
     local = search(queries) if one_block else per_block(queries, search, weight="tokens")
-    local = local.where(F.col("score") > 0).withColumn("score", F.round("score", SCORE_DIGITS))
-    local = local.select("qid", "variant", *CHUNK_KEY, "score")
-    return ranked(local, k, F.col("score").desc(), F.col("doc_pos"), F.col("piece"))
+    return final_topk(local, k)

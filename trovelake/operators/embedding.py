@@ -1,4 +1,4 @@
-"""Embedding back ends.  An embedder maps a text column to an ARRAY<DOUBLE> column."""
+"""Embedding back ends.  An embedder maps a text and its tokens to an ARRAY<DOUBLE> column."""
 
 from __future__ import annotations
 
@@ -21,9 +21,9 @@ HASHERS = ("blake2b", "md5")
 
 
 class Embedder(Protocol):
-    def documents(self, text: Column) -> Column: ...
+    def documents(self, text: Column, tokens: Column | None = None) -> Column: ...
 
-    def queries(self, text: Column) -> Column: ...
+    def queries(self, text: Column, tokens: Column | None = None) -> Column: ...
 
 
 def _digest(token: str, hasher: str) -> bytes:
@@ -64,17 +64,14 @@ class HashingEmbedder:
         self.dimension = dimension
         self.hasher = hasher
 
-    def tokens(self, tokens: Column) -> Column:
+    def documents(self, text: Column, tokens: Column | None = None) -> Column:
         dim, hasher = self.dimension, self.hasher
 
         @F.arrow_udf("array<double>")
         def hash_vectors(batch: pa.Array) -> pa.Array:
             return _hash_vectors(batch, dim, hasher)
 
-        return hash_vectors(tokens)
-
-    def documents(self, text: Column) -> Column:
-        return self.tokens(tokenize(text))
+        return hash_vectors(tokenize(text) if tokens is None else tokens)
 
     queries = documents
 
@@ -108,10 +105,10 @@ class NeuralEmbedder:
 
         return encode(text)
 
-    def documents(self, text: Column) -> Column:
+    def documents(self, text: Column, tokens: Column | None = None) -> Column:
         return self._encode(text, fv.PASSAGE_PREFIX)
 
-    def queries(self, text: Column) -> Column:
+    def queries(self, text: Column, tokens: Column | None = None) -> Column:
         return self._encode(text, fv.QUERY_PREFIX)
 
 

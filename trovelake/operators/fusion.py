@@ -17,7 +17,7 @@ from trovelake.functions.text import (
     strip,
     tokenize,
 )
-from trovelake.operators.vector_search import SCORE_DIGITS, ranked
+from trovelake.operators.block_search import SCORE_DIGITS, ranked
 
 
 def hybrid_fusion(

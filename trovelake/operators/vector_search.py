@@ -1,120 +1,59 @@
-"""Exact vector search: one pass over the corpus, a local top-k per task, a final window."""
+"""Exact vector search and maximal marginal relevance."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trovelake import fixed_values as fv
 from trovelake.functions.vector import dot_product, l2_norm
+from trovelake.operators.block_search import (
+    SCORE_DIGITS,
+    final_topk,
+    flat_lists,
+    local_topk,
+    query_keys,
+)
 from trovelake.operators.chunking import apply_filters
 from trovelake.runtime import per_block
 
-# Scores are rounded so that equal scores stay equal whatever order they were summed
-# in; equal scores are then ordered by corpus position, as a stable sort would.
-SCORE_DIGITS = 10
-HIT_SCHEMA = "qid bigint, variant int, doc_pos bigint, piece bigint, score double"
-_COLUMN_BLOCK = 512
-
-
-def ranked(hits: DataFrame, k: int, *order: Column, by: tuple[str, ...] = ("qid", "variant")) -> DataFrame:
-    """Rows with ``rank`` 1..k per group (planned as partial and final WindowGroupLimit)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
 
 def _matrix(lists: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows as a dense matrix cut or zero-padded to ``width``, and the norms of the whole rows."""
-    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-    values = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-    n = len(lengths)
-    if n and (lengths == lengths[0]).all() and lengths[0] in (width, width or lengths[0]):
-        dense = values.reshape(n, int(lengths[0]))
+    row, cells = flat_lists(lists)
+    values = cells.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    n = len(lists)
+    lengths = np.bincount(row, minlength=n)
+    width = int(lengths.max(initial=0)) if width is None else width
+    if (lengths == width).all():
+        dense = values.reshape(n, width)
         return dense, np.sqrt(np.einsum("ij,ij->i", dense, dense))
-    row = np.repeat(np.arange(n), lengths)
-    col = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     norms = np.sqrt(np.bincount(row, weights=values * values, minlength=n))
-    width = int(lengths.max(initial=0)) if width is None else width
+    col = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     dense = np.zeros((n, width))
     keep = col < width
     dense[row[keep], col[keep]] = values[keep]
     return dense, norms
 
 
-def _local_topk(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (query, row) of every score not below its query's k-th best."""
-    n = scores.shape[1]
-    if n > k:
-        floor = np.partition(scores, n - k, axis=1)[:, n - k]
-        return np.nonzero(scores >= floor[:, None])
-    return np.nonzero(np.ones(scores.shape, dtype=bool))
-
-
-def _keep_best(pool: list[np.ndarray], k: int) -> list[np.ndarray]:
-    """Cut a pool (query, score, doc_pos, piece) to the first k per query."""
-    query, score, doc, piece = pool
-    order = np.lexsort((piece, doc, -score, query))
-    query = query[order]
-    first = np.searchsorted(query, query, side="left")
-    order = order[np.arange(len(order)) - first < k]
-    return [column[order] for column in pool]
-
-
-def _scorer(qkeys, qmatrix, qnorms, qfilter, k, metric):
-    groups = [(None, np.arange(len(qkeys)))]
-    if qfilter is not None:
-        names = sorted({f for f in qfilter if f is not None})
-        groups = [(f, np.array([i for i, x in enumerate(qfilter) if x == f])) for f in (None, *names)]
-    blocks = [
-        (name, ids[at : at + _COLUMN_BLOCK])
-        for name, ids in groups
-        for at in range(0, len(ids), _COLUMN_BLOCK)
-    ]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            doc, piece = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            dense, norms = _matrix(batch.column(2), qmatrix.shape[1])
-            for name, ids in blocks:
-                rows = np.arange(len(doc))
-                if name is not None:
-                    rows = np.flatnonzero(pc.fill_null(pc.equal(batch.column(3), name), False))
-                    if not len(rows):
-                        continue
-                part = dense if name is None else dense[rows]
-                dots = qmatrix[ids] @ part.T
-                if metric == "cosine":
-                    scale = qnorms[ids, None] * norms[None, rows]
-                    score = np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
-                else:
-                    gap = qnorms[ids, None] ** 2 + norms[None, rows] ** 2 - 2 * dots
-                    score = 1.0 / (1.0 + np.maximum(gap, 0.0))
-                score = np.round(score, SCORE_DIGITS) + 0.0
-                q, r = _local_topk(score, k)
-                found = [ids[q], score[q, r], doc[rows[r]], piece[rows[r]]]
-                pool = [np.concatenate(pair) for pair in zip(pool, found)]
-            pool = _keep_best(pool, k)
-        q, score, doc, piece = pool
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(qkeys[q, 0]),
-                pa.array(qkeys[q, 1].astype(np.int32)),
-                pa.array(doc),
-                pa.array(piece),
-                pa.array(score),
-            ],
-            names=["qid", "variant", "doc_pos", "piece", "score"],
-        )
-
-    return run
+def _vector_kernel(qmatrix: np.ndarray, qnorms: np.ndarray, metric: str):
+    def prepare(batch: pa.RecordBatch):
+        dense, norms = _matrix(batch.column(2), qmatrix.shape[1])
+
+        def scores(ids: np.ndarray, rows: np.ndarray | None) -> np.ndarray:
+            part, length = (dense, norms) if rows is None else (dense[rows], norms[rows])
+            dots = qmatrix[ids] @ part.T
+            if metric == "cosine":
+                scale = qnorms[ids, None] * length[None, :]
+                return np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
+            gap = qnorms[ids, None] ** 2 + length[None, :] ** 2 - 2 * dots
+            return 1.0 / (1.0 + np.maximum(gap, 0.0))
+
+        return scores
+
+    return prepare
 
 
 def vector_topk(
@@ -130,34 +69,25 @@ def vector_topk(
 
     ``vectors``: doc_pos, piece, embedding and filter columns.  ``queries``: qid,
     variant, embedding, and with ``query_filter`` a column of that name whose value
-    (null = no filter) must equal the corpus column.  ``metric`` is ``cosine`` or
-    ``l2`` (score 1 / (1 + squared distance)).
-
-    No pair is ever materialised as a row: a task multiplies its Arrow batches with a
-    query block and keeps k rows per query, so the one shuffle carries
-    tasks x queries x k rows whatever the corpus size.  Query blocks are counted
-    before they are shipped; more queries mean more passes, not a larger broadcast
-    (``one_block``: the caller has already split them).
+    (null = no filter) must equal the corpus column.  ``metric`` is ``cosine`` (0 for a
+    zero vector) or ``l2`` (score 1 / (1 + squared distance)).
+
+    Query blocks are counted before they are shipped to the tasks; more queries mean
+    more passes, not a larger broadcast (``one_block``: the caller has split them).
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"Unknown metric: {metric}")
     corpus = apply_filters(vectors, filters)
-    extra = [query_filter] if query_filter else []
-    corpus = corpus.select("doc_pos", "piece", "embedding", *extra)
-    queries = queries.select("qid", "variant", "embedding", *extra)
+    queries = queries.select("qid", "variant", "embedding", *([query_filter] if query_filter else []))
 
     def search(block: DataFrame) -> DataFrame:
         table = block.toArrow()
-        keys = np.stack(
-            [table.column(c).to_numpy().astype(np.int64) for c in ("qid", "variant")], axis=1
-        )
         matrix, norms = _matrix(table.column("embedding").combine_chunks())
         wanted = table.column(query_filter).to_pylist() if query_filter else None
-        run = _scorer(keys, matrix, norms, wanted, k, metric)
-        return corpus.mapInArrow(run, HIT_SCHEMA)
+        kernel = _vector_kernel(matrix, norms, metric)
+        return local_topk(corpus, "embedding", query_keys(table), wanted, query_filter, kernel, k)
 
-    local = search(queries) if one_block else per_block(queries, search)
-    return ranked(local, k, F.col("score").desc(), F.col("doc_pos"), F.col("piece"))
+    return final_topk(search(queries) if one_block else per_block(queries, search), k)
 
 
 def mmr_topk(

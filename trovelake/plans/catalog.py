@@ -369,7 +369,7 @@ def _plain_search(index, asked, mode, **options):
 
 
 def bm25_postings(spark, sf_dir):
-    rows = bm25.build_postings(_chunks(spark, sf_dir, "recursive"))
+    rows = bm25.postings(_chunks(spark, sf_dir, "recursive"))
     return rows.groupBy("doc_pos", "piece", "dl").agg(
         F.count("*").alias("terms"),
         F.sum("tf").alias("tokens"),
@@ -396,9 +396,7 @@ def _bm25(spark, sf_dir, filters=None):
     asked = questions(spark, sf_dir).select(
         "qid", F.lit(0).alias("variant"), tx.tokenize(F.col("query")).alias("tokens")
     )
-    hits = bm25.bm25_topk(
-        index.postings, index.terms, index.stats, asked, filters=filters, chunks=index.chunks
-    )
+    hits = bm25.bm25_topk(index.chunks, index.terms, index.stats, asked, filters=filters)
     return hits.select("qid", "rank", "doc_pos", "piece", F.round("score", 6).alias("score"))
 
 
@@ -442,7 +440,7 @@ def multi_query_merge(spark, sf_dir):
 
     def run(block):
         variants = query.explode_variants(block, RULES)
-        return merge_variants(search_variants(index, variants, n_variants=1 + len(RULES)))
+        return merge_variants(search_variants(index, variants))
 
     merged = per_block(questions(spark, sf_dir), run)
     return merged.select("qid", "chunk_id", F.round("score", 6).alias("score"))

@@ -1,32 +1,31 @@
-"""The persisted index: chunk, vector, posting and statistics tables."""
+"""The persisted index: one table of embedded chunks, and corpus statistics."""
 
 from __future__ import annotations
 
-import hashlib
-import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelake import fixed_values as fv
+from trovelake.functions.text import tokenize
 from trovelake.functions.vector import l2_norm
-from trovelake.operators import bm25
+from trovelake.operators.bm25 import corpus_stats, term_stats
 from trovelake.operators.chunking import chunk_documents
 from trovelake.operators.embedding import Embedder, HashingEmbedder
-from trovelake.sources.vector_store import write_vectors
-
-CHUNKS_PER_BUCKET = 500_000
+from trovelake.sources.vector_store import read_vectors, write_vectors
 
 
 @dataclass
 class CorpusIndex:
-    """Handle over the tables of one index folder."""
+    """Handle over the tables of one index folder.
+
+    ``chunks`` holds the chunk key, chunk_id, text, metadata, tokens, embedding and norm.
+    It is columnar, so every search reads only its own columns.
+    """
 
     path: str
     chunks: DataFrame
-    vectors: DataFrame
-    postings: DataFrame
     terms: DataFrame
     n: int
     avgdl: float
@@ -38,10 +37,10 @@ class CorpusIndex:
 
 
 def embed_chunks(chunks: DataFrame, embedder: Embedder) -> DataFrame:
-    """Chunks with ``embedding`` and ``norm``: a narrow plan, no zip of two lists."""
-    return chunks.withColumn("embedding", embedder.documents(F.col("text"))).withColumn(
-        "norm", l2_norm(F.col("embedding"))
-    )
+    """Chunks with ``tokens``, ``embedding`` and ``norm``: a narrow plan, no zip of two lists."""
+    tokenized = chunks.withColumn("tokens", tokenize(F.col("text")))
+    embedding = embedder.documents(F.col("text"), F.col("tokens"))
+    return tokenized.withColumn("embedding", embedding).withColumn("norm", l2_norm(F.col("embedding")))
 
 
 def build_index(
@@ -53,66 +52,30 @@ def build_index(
     chunk_size: int = fv.CHUNK_SIZE,
     chunk_overlap: int = fv.CHUNK_OVERLAP,
     splitter: str = "window",
-    buckets: int | None = None,
 ) -> CorpusIndex:
     """Chunk, embed and index documents under ``path`` (overwritten), as Parquet.
 
-    The text is cleaned and chunked once; the other tables read the stored chunks.
-    Postings are bucketed by chunk, so a search aggregates without a shuffle.
+    One map-only pass writes the chunk table; the statistics aggregate its token
+    column.  The only shuffle carries (term, count) rows that each task has combined.
     """
     embedder = embedder or HashingEmbedder()
     chunked = chunk_documents(documents, strategy, chunk_size, chunk_overlap, splitter)
-    chunked.write.mode("overwrite").parquet(f"{path}/chunks")
-    chunks = spark.read.parquet(f"{path}/chunks")
-    write_vectors(embed_chunks(chunks, embedder).drop("text"), f"{path}/vectors")
-
-    stats = bm25.corpus_stats(chunks).first()
-    if buckets is None:
-        buckets = max(spark.sparkContext.defaultParallelism, math.ceil(stats.n / CHUNKS_PER_BUCKET))
-    name = _table_name(path)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    (
-        bm25.build_postings(chunks, buckets)
-        .write.mode("overwrite")
-        .bucketBy(buckets, *bm25.CHUNK_KEY)
-        .sortBy("term")
-        .option("path", f"{path}/postings")
-        .saveAsTable(name)
-    )
-    terms = bm25.term_stats(spark.table(name), stats.n)
-    terms.write.mode("overwrite").parquet(f"{path}/terms")
-    summary = spark.range(1).select(
-        F.lit(stats.n).cast("bigint").alias("n"),
-        F.lit(float(stats.avgdl)).alias("avgdl"),
-        F.lit(buckets).alias("buckets"),
-    )
-    summary.write.mode("overwrite").parquet(f"{path}/stats")
+    write_vectors(embed_chunks(chunked, embedder), f"{path}/chunks")
+    chunks = read_vectors(spark, f"{path}/chunks")
+    corpus_stats(chunks).write.mode("overwrite").parquet(f"{path}/stats")
+    n = spark.read.parquet(f"{path}/stats").first().n
+    term_stats(chunks, n).write.mode("overwrite").parquet(f"{path}/terms")
     return open_index(spark, path, embedder)
 
 
 def open_index(spark: SparkSession, path: str, embedder: Embedder | None = None) -> CorpusIndex:
-    """Open a stored index; nothing but the one-row statistics is read."""
+    """Open a stored index; only its one-row statistics are read."""
     stats = spark.read.parquet(f"{path}/stats").first()
-    name = _table_name(path)
-    if not spark.catalog.tableExists(name):
-        columns = spark.read.parquet(f"{path}/postings").schema
-        listed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns)
-        spark.sql(
-            f"CREATE TABLE {name} ({listed}) USING parquet "
-            f"CLUSTERED BY ({', '.join(bm25.CHUNK_KEY)}) SORTED BY (term) "
-            f"INTO {stats.buckets} BUCKETS LOCATION '{path}/postings'"
-        )
     return CorpusIndex(
         path=path,
-        chunks=spark.read.parquet(f"{path}/chunks"),
-        vectors=spark.read.parquet(f"{path}/vectors"),
-        postings=spark.table(name),
+        chunks=read_vectors(spark, f"{path}/chunks"),
         terms=spark.read.parquet(f"{path}/terms"),
         n=stats.n,
         avgdl=stats.avgdl,
         embedder=embedder or HashingEmbedder(),
     )
-
-
-def _table_name(path: str) -> str:
-    return "postings_" + hashlib.md5(path.encode("utf-8")).hexdigest()

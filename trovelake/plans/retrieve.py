@@ -31,7 +31,6 @@ def search_variants(
     mode: str = "hybrid",
     filters: dict[str, str] | None = None,
     query_filter: str | None = None,
-    n_variants: int = 1,
 ) -> DataFrame:
     """One search per (qid, variant) of one query block: qid, variant, chunk columns, score, rank.
 
@@ -39,23 +38,15 @@ def search_variants(
     """
     if mode not in fv.SEARCH_MODES:
         raise ValueError(f"Unknown retrieval mode: {mode}")
-    embedded = variants.withColumn("embedding", index.embedder.queries(F.col("text")))
+    embedding = index.embedder.queries(F.col("text"), F.col("tokens"))
+    embedded = variants.withColumn("embedding", embedding)
     common = dict(filters=filters, query_filter=query_filter, one_block=True)
     if mode == "similarity":
-        return attach_chunks(index, vector_topk(index.vectors, embedded, k, **common))
+        return attach_chunks(index, vector_topk(index.chunks, embedded, k, **common))
     if mode == "mmr":
-        return attach_chunks(index, mmr_topk(index.vectors, embedded, k, **common))
-    near = vector_topk(index.vectors, embedded, k * 2, **common)
-    words = bm25_topk(
-        index.postings,
-        index.terms,
-        index.stats,
-        variants,
-        k * 2,
-        chunks=index.chunks,
-        variants=n_variants,
-        **common,
-    )
+        return attach_chunks(index, mmr_topk(index.chunks, embedded, k, **common))
+    near = vector_topk(index.chunks, embedded, k * 2, **common)
+    words = bm25_topk(index.chunks, index.terms, index.stats, variants, k * 2, **common)
     sides = [hits.withColumn("side", F.lit(side)) for side, hits in enumerate((near, words))]
     return hybrid_fusion(attach_chunks(index, sides[0].unionByName(sides[1])), k)
 
@@ -100,7 +91,7 @@ def retrieve(
     def run(block: DataFrame) -> DataFrame:
         variants = explode_variants(block.drop("query_tokens"), rules, use_multi_query)
         query_filter = None if filters else "product_type"
-        found = search_variants(index, variants, k, mode, filters, query_filter, n_variants)
+        found = search_variants(index, variants, k, mode, filters, query_filter)
         asked = F.broadcast(block.select("qid", "query_tokens"))
         merged = merge_variants(found).join(asked, "qid")
         if compress:
