@@ -28,7 +28,7 @@ from trovelake.operators.generators import RuleBasedGenerator
 from trovelake.operators.vector_search import mmr_topk, vector_topk
 from trovelake.plans.evaluate import answer_proxies, compare_chunking, gold_ranks
 from trovelake.plans.index import CorpusIndex, build_index, embed_chunks
-from trovelake.plans.pipeline import AnswerPipeline, answer_questions, first_requests, replay
+from trovelake.plans.answers import AnswerPipeline, answer_questions, first_requests, replay
 from trovelake.plans.retrieve import retrieve, search_variants
 from trovelake.runtime import per_block, scratch_dir, unnest
 from trovelake.sources.documents import clean_documents, clean_questions, document_text

@@ -19,7 +19,7 @@ from trovelake.operators.evaluation import (
     retrieval_metrics,
 )
 from trovelake.plans.index import CorpusIndex
-from trovelake.plans.pipeline import AnswerPipeline, answer_questions
+from trovelake.plans.answers import AnswerPipeline, answer_questions
 from trovelake.plans.retrieve import retrieve
 
 GOLD = ("qid", "question", "expected_doc_id", "expected_section")
@@ -62,6 +62,13 @@ def compare_chunking(
 
 def answer_proxies(pipeline: AnswerPipeline, questions: DataFrame) -> DataFrame:
     """Per question the three overlap proxies of its answer (product inferred)."""
+    scores = proxy_scores(
+        F.col("question"), F.col("expected_section"), F.col("answer"), F.col("contexts")
+    )
+    return _sampled_answers(pipeline, questions).select("qid", *scores)
+
+
+def _sampled_answers(pipeline: AnswerPipeline, questions: DataFrame) -> DataFrame:
     requests = questions.select("qid", "question")
     answers = answer_questions(
         pipeline.index,
@@ -70,21 +77,40 @@ def answer_proxies(pipeline: AnswerPipeline, questions: DataFrame) -> DataFrame:
         min_relevance=pipeline.min_relevance_score,
         **pipeline.options,
     )
-    expected = questions.select("qid", "expected_section")
-    scores = proxy_scores(
-        F.col("question"), F.col("expected_section"), F.col("answer"), F.col("contexts")
-    )
-    return answers.join(expected, "qid").select("qid", *scores)
+    return answers.join(questions.select("qid", "expected_section"), "qid")
 
 
 def evaluate_answers(
     pipeline: AnswerPipeline, questions: DataFrame, limit: int | None = fv.PROXY_QUESTIONS
 ) -> dict[str, Any]:
-    """Mean proxies over the first ``limit`` questions (a fixed sample of the evaluation set)."""
+    """Answer quality over the first ``limit`` questions (a fixed sample of the evaluation set).
+
+    An external judge scores them when it is installed, else the token-overlap proxies.
+    """
     if limit:
         questions = questions.orderBy("qid").limit(limit)
-    row = mean_proxies(answer_proxies(pipeline, questions)).first()
-    return {"framework": "offline_proxy", "metrics": row.asDict()}
+    try:
+        return {"framework": "ragas", "metrics": _ragas_metrics(pipeline, questions)}
+    except Exception as error:  # not installed, no credentials, or a failing judge
+        row = mean_proxies(answer_proxies(pipeline, questions)).first()
+        return {"framework": "offline_proxy", "ragas_error": str(error), "metrics": row.asDict()}
+
+
+def _ragas_metrics(pipeline: AnswerPipeline, questions: DataFrame) -> dict[str, Any]:
+    """External judge over the sampled questions, when its package is installed."""
+    from datasets import Dataset
+    from ragas import evaluate
+    from ragas.metrics import answer_relevancy, context_precision, faithfulness
+
+    answers = _sampled_answers(pipeline, questions)
+    rows = answers.select(
+        "question",
+        "answer",
+        F.transform("contexts", lambda c: c["text"]).alias("contexts"),
+        F.col("expected_section").alias("ground_truth"),
+    ).toPandas()
+    metrics = [faithfulness, answer_relevancy, context_precision]
+    return dict(evaluate(Dataset.from_pandas(rows), metrics=metrics))
 
 
 def measure_latency(
