@@ -263,13 +263,15 @@ def _chunk_rows(strategy):
 
 
 def chunk_stats(spark, sf_dir):
-    parts = [_chunks(spark, sf_dir, s).select("chunk_strategy", "doc_id", "text") for s in fv.CHUNK_STRATEGIES]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    length = F.length("text")
+    lengths = [
+        _chunks(spark, sf_dir, s).select("chunk_strategy", F.length("text").alias("n"))
+        for s in fv.CHUNK_STRATEGIES
+    ]
+    rows = lengths[0].unionByName(lengths[1]).unionByName(lengths[2])
     return rows.groupBy("chunk_strategy").agg(
         F.count("*").alias("chunks"),
-        F.sum(length).alias("chars"),
-        F.max(length).cast("bigint").alias("longest"),
+        F.sum("n").alias("chars"),
+        F.max("n").cast("bigint").alias("longest"),
     )
 
 

@@ -18,10 +18,14 @@ CONTEXT_COLUMNS = ("chunk_id", "text", *fv.METADATA_COLUMNS)
 
 
 def attach_chunks(index: CorpusIndex, hits: DataFrame) -> DataFrame:
-    """Chunk text and metadata for ranked hits: the hits of a counted block are broadcast."""
-    return index.chunks.join(F.broadcast(hits), ["doc_pos", "piece"]).select(
-        *hits.columns, *CONTEXT_COLUMNS
-    ).drop("doc_pos", "piece")
+    """Chunk text and metadata for ranked hits: the hits of a counted block are broadcast.
+
+    The result is partitioned by question.  Every later group and window key contains
+    qid, so fusion, merge and rerank all run without another shuffle.
+    """
+    found = index.chunks.join(F.broadcast(hits), ["doc_pos", "piece"])
+    columns = [c for c in hits.columns if c not in ("doc_pos", "piece")]
+    return found.select(*columns, *CONTEXT_COLUMNS).repartition("qid")
 
 
 def search_variants(

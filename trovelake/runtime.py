@@ -84,16 +84,16 @@ def per_block(
     path = scratch_dir(spark)
     queries.write.parquet(path)
     queries = spark.read.schema(schema).parquet(path)
-    size = F.sum(F.size(weight)) if weight else F.lit(0).cast("bigint")
+    size = F.coalesce(F.sum(F.size(weight)), F.lit(0)) if weight else F.lit(0)
+    sizes = [F.count("*").alias("rows"), size.alias("terms")]
 
     def largest(n: int) -> float:
-        worst = (
-            queries.groupBy(_block(key, n).alias("b"))
-            .agg(F.count("*").alias("rows"), F.coalesce(size, F.lit(0)).alias("terms"))
-            .agg(F.max("rows"), F.max("terms"))
-            .first()
-        )
-        return max((worst[0] or 0) / max_rows, (worst[1] or 0) / max_weight)
+        if n == 1:
+            worst = queries.agg(*sizes).first()
+        else:
+            blocks = queries.groupBy(_block(key, n)).agg(*sizes)
+            worst = blocks.agg(F.max("rows"), F.max("terms")).first()
+        return max(worst[0] / max_rows, worst[1] / max_weight)
 
     blocks, load = 1, largest(1)
     while load > 1:
@@ -111,4 +111,4 @@ def per_block(
 
 
 def _block(key: str, n: int):
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int") if n > 1 else F.lit(0)
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
