@@ -46,6 +46,16 @@ def difference(spark_df: pd.DataFrame, oracle_df: pd.DataFrame) -> str | None:
     return f"{int((~same).sum())} rows differ, first {a.iloc[at].to_dict()} against {b.iloc[at].to_dict()}"
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
+def type_difference(schema, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
+    mine = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in schema}
+    other = {row[0]: row[1] for row in con.execute(f"DESCRIBE {sql}").fetchall()}
+    wrong = {c: (t, other.get(c)) for c, t in mine.items() if other.get(c) != t}
+    return f"types {wrong}" if wrong else None
+
+
 def main() -> int:
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     sf_dir = f"/root/testdata/sf{sf}"
@@ -57,9 +67,12 @@ def main() -> int:
             continue
         started = time.time()
         try:
-            got = run(spark, sf_dir).toPandas()
+            result = run(spark, sf_dir)
+            got = result.toPandas()
             middle = time.time()
-            problem = difference(got, con.execute(sql[name]).df()) if name in sql else "no oracle"
+            problem = type_difference(result.schema, con, sql[name]) or difference(
+                got, con.execute(sql[name]).df()
+            )
         except Exception as error:  # report and go on with the next query
             got, middle, problem = (), time.time(), f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None

@@ -3,7 +3,7 @@
 from pathlib import Path
 
 import pytest
-from check_oracles import connect, difference
+from check_oracles import connect, difference, type_difference
 
 import __spark_entry__ as entry
 
@@ -22,9 +22,11 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("name", list(entry.queries()))
 def test_query(spark, duck, name):
-    got = entry.queries()[name](spark, SF_DIR).toPandas()
+    result, sql = entry.queries()[name](spark, SF_DIR), entry.oracle_sql()[name]
+    got = result.toPandas()
     assert len(got)
-    assert difference(got, duck.execute(entry.oracle_sql()[name]).df()) is None
+    assert type_difference(result.schema, duck, sql) is None
+    assert difference(got, duck.execute(sql).df()) is None
 
 
 def test_flagship(spark):

@@ -30,7 +30,7 @@ from trovelake.plans.evaluate import answer_proxies, compare_chunking, gold_rank
 from trovelake.plans.index import CorpusIndex, build_index, embed_chunks
 from trovelake.plans.answers import AnswerPipeline, answer_questions, first_requests, replay
 from trovelake.plans.retrieve import retrieve, search_variants
-from trovelake.runtime import per_block, scratch_dir, unnest
+from trovelake.runtime import per_block, scratch_dir, spread, unnest
 from trovelake.sources.documents import clean_documents, clean_questions, document_text
 from trovelake.sources.vector_store import (
     VectorCollection,
@@ -64,9 +64,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document table in the document schema: one section per document."""
-    raw = table(spark, sf_dir, "documents")
+    raw = raw_documents(spark, sf_dir)
     doc_id = F.col("doc_id").cast("string")
     return clean_documents(
         raw.select(
@@ -166,12 +170,18 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user.join(reply, ["conv_id", "next"]).drop("next")
 
 
+def _numbered(df: DataFrame, name: str = "rank") -> DataFrame:
+    """Result numbers as BIGINT, the type SQL row numbers have."""
+    return df.withColumn(name, F.col(name).cast("bigint"))
+
+
 def _hits(df: DataFrame, name: str) -> DataFrame:
-    return df.select("qid", "rank", F.col("doc_pos").alias(name), F.round("score", 6).alias("score"))
+    score = F.round("score", 6).alias("score")
+    return _numbered(df).select("qid", "rank", F.col("doc_pos").alias(name), score)
 
 
 def _hit_chunks(df: DataFrame) -> DataFrame:
-    return df.select("qid", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    return _numbered(df).select("qid", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 # --- text ----------------------------------------------------------------------
@@ -197,7 +207,7 @@ def flat_document_text(spark, sf_dir):
 
 def tokenize_counts(spark, sf_dir):
     tokens = tx.tokenize(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return raw_documents(spark, sf_dir).select(
         "doc_id",
         F.size(tokens).cast("bigint").alias("n_tokens"),
         F.size(F.array_distinct(tokens)).cast("bigint").alias("n_distinct"),
@@ -207,12 +217,12 @@ def tokenize_counts(spark, sf_dir):
 
 def sentence_split(spark, sf_dir):
     parts = tx.split_sentences(F.col("text"))
-    return unnest(table(spark, sf_dir, "documents"), parts, "pos", "sentence", keep=("doc_id",))
+    return _numbered(unnest(raw_documents(spark, sf_dir), parts, "pos", "sentence", keep=("doc_id",)), "pos")
 
 
 def sentence_split_dot(spark, sf_dir):
     parts = tx.split_on_period(F.col("text"))
-    return unnest(table(spark, sf_dir, "documents"), parts, "pos", "sentence", keep=("doc_id",))
+    return _numbered(unnest(raw_documents(spark, sf_dir), parts, "pos", "sentence", keep=("doc_id",)), "pos")
 
 
 def lexical_overlap(spark, sf_dir):
@@ -399,7 +409,8 @@ def _bm25(spark, sf_dir, filters=None):
         "qid", F.lit(0).alias("variant"), tx.tokenize(F.col("query")).alias("tokens")
     )
     hits = bm25.bm25_topk(index.chunks, index.terms, index.stats, asked, filters=filters)
-    return hits.select("qid", "rank", "doc_pos", "piece", F.round("score", 6).alias("score"))
+    score = F.round("score", 6).alias("score")
+    return _numbered(hits).select("qid", "rank", "doc_pos", "piece", score)
 
 
 def bm25_topk(spark, sf_dir):
@@ -454,7 +465,7 @@ def _contexts(spark, sf_dir, mode="hybrid"):
 
 
 def retrieve_hybrid(spark, sf_dir):
-    return _contexts(spark, sf_dir).select(
+    return _numbered(_contexts(spark, sf_dir)).select(
         "qid", "rank", "chunk_id", "citation", F.round("score", 6).alias("score")
     )
 

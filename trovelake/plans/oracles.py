@@ -248,8 +248,6 @@ CTES["corpus_stats"] = "SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM chunk
 CTES["term_stats"] = """
   SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf
   FROM (SELECT term, count(*) AS df FROM postings GROUP BY 1), corpus_stats"""
-CTES["chunks_sentence_full"] = ""
-del CTES["chunks_sentence_full"]
 
 # The sentence strategy's copies of the corpus CTEs (chunks_sentence is the base).
 CTES["sentence_chunks"] = """
@@ -269,7 +267,7 @@ CTES["gold"] = f"""
 CTES["cells"] = """
   SELECT vec_id, label, unnest(embedding)::DOUBLE AS val, generate_subscripts(embedding, 1) AS pos
   FROM embeddings"""
-CTES["means"] = "SELECT label AS qid, pos, avg(val) AS val FROM cells GROUP BY 1, 2"
+CTES["means"] = "SELECT CAST(label AS BIGINT) AS qid, pos, avg(val) AS val FROM cells GROUP BY 1, 2"
 CTES["vnorms"] = "SELECT vec_id, label, sqrt(sum(val * val)) AS norm FROM cells GROUP BY 1, 2"
 CTES["mnorms"] = "SELECT qid, sqrt(sum(val * val)) AS norm FROM means GROUP BY 1"
 CTES["pairs"] = """
@@ -508,7 +506,7 @@ FINAL: dict[str, str] = {
   SELECT qid, {valid('draft')} AS valid, {repaired('draft')} AS answer, {valid(repaired('draft'))} AS valid_after
   FROM (SELECT qid, allowed, {_DRAFT} AS draft FROM allowed)""",
     "prompt_messages": f"""
-  SELECT qid, 4 AS messages, md5('system=' || {text(fv.SYSTEM_PROMPT)} || '|user=earlier|assistant=' || query ||
+  SELECT qid, CAST(4 AS BIGINT) AS messages, md5('system=' || {text(fv.SYSTEM_PROMPT)} || '|user=earlier|assistant=' || query ||
       '|user=' || {text(fv.PROMPT_CONTEXT_LABEL)} || blocks || {text(fv.PROMPT_QUESTION_LABEL)} || query) AS prompt_md5
   FROM (SELECT qid, any_value(query) AS query,
           string_agg('[' || citation || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS blocks

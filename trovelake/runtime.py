@@ -45,7 +45,7 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores when the input has fewer splits than that; leave larger inputs alone."""
+    """Use all cores when a file scan has fewer splits than that; leave larger inputs alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 

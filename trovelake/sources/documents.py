@@ -32,7 +32,6 @@ def clean_documents(raw: DataFrame) -> DataFrame:
     with a numeric key needs no generated one.
     """
     position = F.col("doc_pos") if "doc_pos" in raw.columns else F.monotonically_increasing_id()
-    raw = spread(raw.withColumn("doc_pos", position.cast("bigint")), "doc_pos")
     sections = F.transform(
         _required(F.col("sections"), "sections"),
         lambda s: F.struct(
@@ -41,7 +40,7 @@ def clean_documents(raw: DataFrame) -> DataFrame:
         ),
     )
     return raw.select(
-        "doc_pos",
+        position.cast("bigint").alias("doc_pos"),
         *[clean_text(_required(F.col(c), c)).alias(c) for c in SCALARS],
         sections.alias("sections"),
     )
@@ -56,7 +55,8 @@ def load_documents(spark: SparkSession, path: str, *, lines: bool = False) -> Da
         .option("mode", "FAILFAST")
         .json(path)
     )
-    return clean_documents(raw)
+    raw = raw.withColumn("doc_pos", F.monotonically_increasing_id())
+    return clean_documents(spread(raw, "doc_pos"))
 
 
 def clean_questions(raw: DataFrame) -> DataFrame:
