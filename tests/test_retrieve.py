@@ -120,3 +120,11 @@ def test_searches_read_only_their_columns_and_push_the_filter_down(spark, sample
     assert "text" not in read and "tokens" not in read and "embedding" in read
     assert "EqualTo(product_type,loan)" in plan_text
     assert "CartesianProduct" not in plan_text and "NestedLoop" not in plan_text
+
+
+def test_retrieval_shuffles_local_winners_and_questions_only(spark, sample_index):
+    df = retrieve(sample_index, ask(spark, (1, "Какая ставка по кредиту?", None)))
+    plan_text = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan_text and "NestedLoop" not in plan_text
+    # one exchange per search (its local winners) and one that partitions hits by question
+    assert plan_text.count("Exchange hashpartitioning") == 3

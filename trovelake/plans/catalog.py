@@ -18,7 +18,6 @@ from trovelake.functions.vector import cosine_similarity, l2_norm
 from trovelake.operators import answering, bm25, chunking, query
 from trovelake.operators.embedding import HashingEmbedder
 from trovelake.operators.evaluation import (
-    first_relevant_rank,
     mean_proxies,
     per_question_report,
     retrieval_metrics,

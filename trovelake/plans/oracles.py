@@ -85,9 +85,10 @@ CTES["docs"] = f"""
          {clean('lang')} AS product_type, {clean('source')} AS source, {clean('text')} AS body
   FROM documents"""
 CTES["asked"] = f"SELECT item_id AS qid, {clean('text')} AS query FROM benchmark"
+_SECTION = clean(f"title || chr(10) || '{HEADING}' || chr(10) || body")
 for _name, _text in (
-    ("recursive", clean(f"title || chr(10) || '{HEADING}' || chr(10) || body")),
-    ("sentence", f"regexp_replace({clean(f'title || chr(10) || {chr(39)}{HEADING}{chr(39)} || chr(10) || body')}, '([.!?])\\s+', '\\1 ', 'g')"),
+    ("recursive", _SECTION),
+    ("sentence", f"regexp_replace({_SECTION}, '([.!?])\\s+', '\\1 ', 'g')"),
 ):
     CTES[f"windows_{_name}"] = f"""
   SELECT *, unnest(generate_series(0, CASE WHEN length(t) <= {SIZE} THEN 0
@@ -351,7 +352,8 @@ for _end in ("gold", "gold_sentence"):
          coalesce(min(CASE WHEN c.doc_id = g.expected_doc_id AND c.section = '{HEADING}' THEN c.rank END), 0) AS rank,
          string_agg(c.doc_id || ' / ' || c.section, '|' ORDER BY c.rank) AS top_chunks
   FROM gold g LEFT JOIN ctx_fused_{_end} c USING (qid) GROUP BY 1, 2"""
-_RATES = "avg((rank > 0)::INT) AS hit_rate_at_k, avg(CASE WHEN rank > 0 THEN 1.0::DOUBLE / rank ELSE 0.0 END) AS mrr, count(*) AS questions"
+_RATES = """avg((rank > 0)::INT) AS hit_rate_at_k,
+  avg(CASE WHEN rank > 0 THEN 1.0::DOUBLE / rank ELSE 0.0 END) AS mrr, count(*) AS questions"""
 
 
 def _sentence_copies() -> None:
@@ -527,7 +529,9 @@ FINAL: dict[str, str] = {
     SELECT conv_id * 1000 + turn AS qid, turn > 2 AS late, coalesce({tokens('text')}[1], '') AS question
     FROM conversations WHERE role = 'user')""",
     "first_rank": "SELECT qid, expected_doc_id, rank FROM ranks_gold",
-    "hit_rate_mrr": f"SELECT round(hit_rate_at_k, 6) AS hit_rate_at_k, round(mrr, 6) AS mrr, questions FROM (SELECT {_RATES} FROM ranks_gold)",
+    "hit_rate_mrr": f"""
+  SELECT round(hit_rate_at_k, 6) AS hit_rate_at_k, round(mrr, 6) AS mrr, questions
+  FROM (SELECT {_RATES} FROM ranks_gold)""",
     "question_report": f"""
   SELECT qid, expected_doc_id || ' / {HEADING}' AS expected, rank > 0 AS hit, rank, coalesce(top_chunks, '') AS top_chunks
   FROM ranks_gold""",
