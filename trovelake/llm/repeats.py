@@ -159,14 +159,33 @@ class Repeats:
                 np.frombuffer(c.buffers()[2], kind)[_range(c, np.dtype(kind).itemsize)]
                 for c in table.column("units").chunks if len(c)
             ])
-            windows = place & 255
-            length = windows + self.size - 1
-            group = Group(
-                table.column("anchor").to_numpy(), table.column("key").to_numpy(), place >> 16,
-                place >> 8 & 255, windows, units, np.cumsum(length) - length,
-            )
-            key, start, run = _merged(*self.resolve(group, self))
-            yield _batch(key=key, start=start, run=run)
+            anchor, key = table.column("anchor").to_numpy(), table.column("key").to_numpy()
+            length = (place & 255) + self.size - 1
+            at = np.cumsum(length) - length
+            for rows in _by_anchor(anchor, length):
+                ends = np.cumsum(length[rows])
+                take = np.arange(ends[-1]) + np.repeat(at[rows] - (ends - length[rows]), length[rows])
+                own = place[rows]
+                group = Group(anchor[rows], key[rows], own >> 16, own >> 8 & 255, own & 255, units[take], ends - length[rows])
+                found, start, run = _merged(*self.resolve(group, self))
+                yield _batch(key=found, start=start, run=run)
+
+
+#: Units that are compared at once; the stretches of one anchor stay together.
+_RESOLVE_UNITS = 1 << 20
+
+
+def _by_anchor(anchor: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
+    """Row numbers in parts of bounded size, all rows of an anchor in one part."""
+    order = np.argsort(anchor, kind="stable")
+    begins = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
+    units = np.r_[0, np.cumsum(length[order])][begins]
+    low = 0
+    while low < len(begins):
+        high = max(low + 1, int(np.searchsorted(units, units[low] + _RESOLVE_UNITS)))
+        stop = begins[high] if high < len(begins) else len(order)
+        yield order[begins[low] : stop]
+        low = high
 
 
 def _range(column: pa.Array, width: int) -> slice:
