@@ -8,13 +8,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelake.llm import bpe, language_id, ngram_join, packing, substring_dedup, suffix_dedup
+from trovelake.llm import (
+    bpe,
+    chat_format,
+    embedding_dedup,
+    language_id,
+    ngram_join,
+    packing,
+    substring_dedup,
+    suffix_dedup,
+    topk_search,
+    warc,
+)
+from trovelake.llm.tables import stored
+from trovelake.runtime import scratch_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    steps = F.transform("embedding", lambda x: F.floor(F.lit(1024.0) * x.cast("double")))
+    vectors = _read(spark, sf_dir, "embeddings").where(finite).select("vec_id", steps.alias("v"))
+    queries = vectors.where(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "query_id")
+    return topk_search.exact_top_k(vectors, queries, k=10)
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.repair_roles(_read(spark, sf_dir, "conversations"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(
         _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
@@ -32,6 +57,21 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_read(spark, sf_dir, "documents"), words=4, percent=85).drop("keep")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = scratch_dir(spark)
+    warc.write_archives(_read(spark, sf_dir, "pages"), archives)
+    captures = warc.assemble(warc.read_records(spark, archives))
+    page = F.regexp_extract(F.decode(F.col("metadata")[0]["payload"], "utf-8"), r"page_id: (\d*)", 1)
+    read = stored(captures.select(
+        "capture_id", page.try_cast("long").alias("page_id"), F.col("response.type").alias("record_type"),
+        F.col("response.refers_to").alias("refers"), F.octet_length("response.payload").cast("long").alias("size"),
+        F.when(F.col("response.type") == "revisit", F.substring_index("response.digest", ":", -1))
+        .otherwise(F.sha2("response.payload", 256)).alias("payload_digest")))
+    first = read.select(F.col("capture_id").alias("refers"), F.col("page_id").alias("refers_to"), F.col("size").alias("full"))
+    return read.join(first, "refers", "left").select(
+        "page_id", F.coalesce("full", "size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _read(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -40,6 +80,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", F.coalesce(held_out, F.lit(False))).drop("text")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     decoded = bpe.decode(bpe.encode(_read(spark, sf_dir, "documents"), tokenizer), tokenizer)
@@ -57,10 +101,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk_search": op1_topk_search,
+    "op2_chat_format": op2_chat_format,
     "op3_packing": op3_packing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_ngram_join": op5_ngram_join,
+    "op6_warc": op6_warc,
     "op7_language_id": op7_language_id,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_bpe": op9_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
 }

@@ -46,14 +46,34 @@ def block_of(key: str, blocks: int):
     return F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
 
 
+def _unique(kind: T.DataType, rows: int, known: int | None, distinct: int) -> bool:
+    whole = isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+    return whole and (known or 0) == rows == distinct
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    return stored(df.orderBy(*df.columns).withColumn("key", F.monotonically_increasing_id()))
+
+
+def unique_keys(df: DataFrame, name: str) -> DataFrame:
+    """Add ``key``, a unique long in the order of column ``name``, the first of ``df``.
+
+    Where the column is a unique, non-null integer it is the key itself.  Otherwise rows are
+    sorted by all their columns, nulls first, and numbered; equal rows get keys of their own.
+    """
+    n, known, distinct = df.groupBy(name).agg(F.count("*").alias("n")).agg(
+        F.sum("n"), F.sum(F.when(F.col(name).isNotNull(), F.col("n"))), F.count(name)).first()
+    if _unique(df.schema[name].dataType, n or 0, known, distinct):
+        return df.withColumn("key", F.col(name).cast("long"))
+    return _numbered(df)
+
+
 def corpus(documents: DataFrame) -> Corpus:
-    """Give every row a unique long key whose order is that of doc_id.
+    """Documents with unique keys (see ``unique_keys``) and counted sizes; null text is empty.
 
-    Where doc_id is a unique, non-null integer it is the key itself.  Otherwise rows are
-    sorted by (doc_id, text), nulls first, and numbered; rows that share a doc_id are then
-    documents of their own, and of wholly equal rows one comes first.  Null text is empty.
+    Rows that share or lack a doc_id are documents of their own, in the order of (doc_id with
+    nulls first, text).
     """
-    kind = documents.schema["doc_id"].dataType
     docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows, known, distinct, size = (
         docs.groupBy("doc_id")
@@ -62,8 +82,6 @@ def corpus(documents: DataFrame) -> Corpus:
         .first()
     )
     rows, size = rows or 0, size or 0
-    whole = isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
-    if whole and (known or 0) == rows == distinct:
+    if _unique(documents.schema["doc_id"].dataType, rows, known, distinct):
         return Corpus(docs.withColumn("key", F.col("doc_id").cast("long")), rows, size)
-    numbered = docs.orderBy("doc_id", "text").withColumn("key", F.monotonically_increasing_id())
-    return Corpus(stored(numbered), rows, size)
+    return Corpus(_numbered(docs), rows, size)
