@@ -19,12 +19,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StringType, StructField, StructType
 
-from trovelake.llm.tables import corpus
+from trovelake.llm.tables import block_of, corpus
 
-_ANSWER = "block int, words array<string>, sizes binary, ids binary"
+_ANSWER = "block int, words binary, sizes binary, ids binary"
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
 _ENCODE_ROWS = 8192
 
@@ -92,69 +94,108 @@ def encode(documents: DataFrame, tokenizer: str) -> DataFrame:
     """
     docs = corpus(documents)
     buckets = docs.blocks
+    id_type = to_arrow_type(documents.schema["doc_id"].dataType)
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts of each block in a batch as one compressed row, which is what the shuffle carries."""
+        for batch in batches:
+            order = np.argsort(batch.column(0).to_numpy(), kind="stable")
+            batch = batch.take(pa.array(order))
+            block, texts = batch.column(0).to_numpy(), batch.column(2).cast(pa.large_binary())
+            begins = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
+            rows: list[list] = [[], [], [], []]
+            for low, high in zip(begins, [*begins[1:], len(block)], strict=True):
+                part = texts[low:high].to_pylist()
+                values = (block[low], batch.column(1)[low:high].to_pylist(), _packed(list(map(len, part))), _squeezed(b"".join(part)))
+                for column, value in zip(rows, values, strict=True):
+                    column.append(value)
+            kinds = (pa.int32(), pa.list_(id_type), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["block", "ids", "sizes", "texts"])
+
+    def texts_of(sizes: bytes, data: bytes) -> list[str]:
+        data, stops = _opened(data), np.cumsum(_unpacked(sizes)).tolist()
+        return [data[a:b].decode() for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, words = splitter(tokenizer), {}
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.setdefault(block, set()).update(split(text))
+            for block, _, sizes, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for text in texts_of(sizes, data):
+                    words.setdefault(block, set()).update(split(text))
         for block, found in words.items():
             own: dict[int, list[str]] = {}
             for word in sorted(found):
                 own.setdefault(zlib.crc32(word.encode()) % buckets, []).append(word)
+            packed = [_squeezed("\n".join(w).encode()) for w in own.values()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(own), pa.int32()), pa.array(list(own), pa.int32()),
-                 pa.array(list(own.values()), pa.list_(pa.string()))],
+                [pa.array([block] * len(own), pa.int32()), pa.array(list(own), pa.int32()), pa.array(packed, pa.binary())],
                 names=["block", "bucket", "words"])
 
     def encode_bucket(group: pa.Table) -> pa.Table:
-        library = splitter(tokenizer).words
-        lists = group.column("words").combine_chunks()
-        coded = lists.flatten().dictionary_encode()
-        words, ids = coded.dictionary.to_pylist(), []
+        library, ids_of = splitter(tokenizer).words, {}
+        for packed in group.column("words"):
+            ids_of.update(dict.fromkeys(_opened(packed.as_py()).decode().split("\n"), b""))
+        words = list(ids_of)
         for low in range(0, len(words), _ENCODE_ROWS):
-            ids += [e.ids for e in library.encode_batch_fast(words[low : low + _ENCODE_ROWS], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for word in ids for i in word), "<u4", int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        index, bounds = coded.indices.to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
-        size_rows, id_rows = [], []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            n = sizes[index[a:b]]
-            take = np.arange(n.sum()) + np.repeat(starts[index[a:b]] - (np.cumsum(n) - n), n)
-            size_rows.append(n.astype("<u4").tobytes())
-            id_rows.append(flat[take].tobytes())
-        return pa.table({"block": group.column("block"), "words": lists,
-                         "sizes": pa.array(size_rows, pa.binary()), "ids": pa.array(id_rows, pa.binary())})
-
-    def assemble(texts: pa.Table, answers: pa.Table) -> pa.Table:
+            part = words[low : low + _ENCODE_ROWS]
+            for word, found in zip(part, library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                ids_of[word] = found.ids
+        sizes, ids = [], []
+        for packed in group.column("words"):
+            found = [ids_of[w] for w in _opened(packed.as_py()).decode().split("\n")]
+            sizes.append(_packed(list(map(len, found))))
+            ids.append(_packed([i for word in found for i in word]))
+        return pa.table({"block": group.column("block"), "words": group.column("words"),
+                         "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
+
+    def assemble(bundles: pa.Table, answers: pa.Table) -> pa.Table:
         split, ids_of = splitter(tokenizer), {}
-        for words, sizes, ids in zip(*(answers.column(c) for c in ("words", "sizes", "ids")), strict=True):
-            stops = (4 * np.cumsum(np.frombuffer(sizes.as_py(), "<u4"), dtype=np.int64)).tolist()
-            data, low = ids.as_py(), 0
-            for word, stop in zip(words.as_py(), stops, strict=True):
+        for packed, sizes, ids in zip(*(answers.column(c).to_pylist() for c in ("words", "sizes", "ids")), strict=True):
+            stops = (4 * np.cumsum(_unpacked(sizes))).tolist()
+            data, low = _unpacked(ids).astype("<i4").tobytes(), 0
+            for word, stop in zip(_opened(packed).decode().split("\n"), stops, strict=True):
                 ids_of[word] = data[low:stop]
                 low = stop
         out = []
-        for batch in texts.to_batches(max_chunksize=1024):
-            at = {name: i for i, name in enumerate(batch.schema.names)}
-            rows = [b"".join(map(ids_of.__getitem__, split(t))) for t in batch.column(at["text"]).to_pylist()]
+        for _, ids, sizes, data in zip(*(c.to_pylist() for c in bundles.columns), strict=True):
+            rows = [b"".join(map(ids_of.__getitem__, split(t))) for t in texts_of(sizes, data)]
             offsets = np.cumsum([0, *map(len, rows)]) // 4
-            values = pa.array(np.frombuffer(b"".join(rows), "<i4"))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-            out.append(pa.RecordBatch.from_arrays([batch.column(at["doc_id"]), lists], names=["doc_id", "ids"]))
+            lists = pa.ListArray.from_arrays(
+                pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+            out.append(pa.RecordBatch.from_arrays([pa.array(ids, id_type), lists], names=["doc_id", "ids"]))
         return pa.Table.from_batches(out)
 
-    blocks = docs.by_block()
-    words = blocks.select("block", "text").mapInArrow(distinct, "block int, bucket int, words array<string>")
-    answers = words.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(encode_bucket, _ANSWER)
     kind = documents.schema["doc_id"].dataType.simpleString()
+    located = docs.docs.select(block_of("key", buckets).alias("block"), "doc_id", "text")
+    blocks = located.mapInArrow(bundle, f"block int, ids array<{kind}>, sizes binary, texts binary").repartition(buckets, "block")
+    words = blocks.mapInArrow(distinct, "block int, bucket int, words binary")
+    answers = words.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(encode_bucket, _ANSWER)
     return (
         blocks.groupBy("block").cogroup(answers.groupBy("block"))
         .applyInArrow(assemble, f"doc_id {kind}, ids array<int>")
     )
 
 
+def _squeezed(data: bytes) -> bytes:
+    return zstandard.compress(data, 3)
+
+
+def _opened(data: bytes) -> bytes:
+    return zstandard.decompress(data)
+
+
+def _packed(numbers: list[int]) -> bytes:
+    """Small numbers, compressed; in 16 bits where all fit."""
+    values = np.array(numbers, np.int64)
+    wide = len(values) and int(values.max()) >> 16
+    return (b"w" if wide else b"n") + _squeezed(values.astype("<u4" if wide else "<u2").tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(_opened(data[1:]), "<u4" if data[:1] == b"w" else "<u2").astype(np.int64)
+
+
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """Add ``decoded``: the pieces of ``ids``, special tokens too, joined by one space.
 
