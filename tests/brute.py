@@ -5,18 +5,10 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
-import re
 from collections import Counter
 
 import numpy as np
 
-WORD = re.compile("[a-zа-яё0-9%]+", re.IGNORECASE)
-
-
-def words(text):
-    return [w.lower().replace("ё", "е") for w in WORD.findall(text)]
-
-
 def windows(text, size, overlap):
     starts = itertools.count(0, max(size - overlap, 1))
     out = []
@@ -27,9 +19,9 @@ def windows(text, size, overlap):
     return [w for w in map(str.strip, out) if w]
 
 
-def hash_vector(text, dim=384, name="blake2b"):
+def hash_vector(tokens, dim=384, name="blake2b"):
     v = np.zeros(dim)
-    for w in words(text):
+    for w in tokens:
         raw = w.encode()
         d = hashlib.blake2b(raw, digest_size=8).digest() if name == "blake2b" else hashlib.md5(raw).digest()
         v[int.from_bytes(d[:4], "big") % dim] += -1.0 if d[4] & 1 else 1.0
@@ -50,14 +42,15 @@ def top(scores, k):
 
 
 def bm25(texts, query, k1=1.5, b=0.75):
-    docs = [Counter(words(t)) for t in texts]
+    """Scores of token lists for a list of query tokens."""
+    docs = [Counter(t) for t in texts]
     sizes = [sum(d.values()) for d in docs]
     mean = max(sum(sizes) / max(len(sizes), 1), 1)
     df = Counter(w for d in docs for w in d)
     out = []
     for d, size in zip(docs, sizes):
         norm = k1 * (1 - b + b * max(size, 1) / mean)
-        terms = (w for w in words(query) if d[w])
+        terms = (w for w in query if d[w])
         out.append(
             sum(
                 math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * d[w] * (k1 + 1) / (d[w] + norm)
@@ -65,71 +58,3 @@ def bm25(texts, query, k1=1.5, b=0.75):
             )
         )
     return out
-
-
-def mmr(query, vectors, k, fetch, weight):
-    near = [cosine(query, v) for v in vectors]
-    left, picked = top(near, fetch), []
-    while left and len(picked) < k:
-        gain = [
-            weight * near[i]
-            - (1 - weight) * max((cosine(vectors[i], vectors[j]) for j in picked), default=0.0)
-            for i in left
-        ]
-        picked.append(left.pop(top(gain, 1)[0]))
-    return picked
-
-
-def overlap(left, right):
-    left, right = set(left), set(right)
-    return len(left & right) / len(left) if left else 0.0
-
-
-def hybrid(vector_list, bm25_list, k, weight=0.55):
-    """Lists of (id, score) to the fused top k."""
-    total, order = Counter(), []
-    for share, hits in ((weight, vector_list), (1 - weight, bm25_list)):
-        best = max((s for _, s in hits), default=1.0) or 1.0
-        for i, s in hits:
-            total[i] += share * (s / best)
-            if i not in order:
-                order.append(i)
-    chosen = top([total[i] for i in order], k)
-    return [(order[i], total[order[i]]) for i in chosen]
-
-
-def compress(query, text, limit=520):
-    if len(text) <= limit:
-        return text
-    asked = set(words(query))
-    parts = [p for p in map(str.strip, text.replace("\n", " ").split(". ")) if p]
-    parts.sort(key=lambda p: -len(asked & set(words(p))))
-    out, used = [], 0
-    for p in parts:
-        p = p if p[-1] == "." else p + "."
-        if used >= limit:
-            break
-        if not out or used + len(p) <= limit:
-            out.append(p)
-            used += len(p)
-    return " ".join(out)[:limit].strip()
-
-
-def retrieve(chunks, query, variants, product, k=5):
-    """Hybrid retrieval over chunk dicts under one product (None: all), without compression."""
-    texts = [c["text"] for c in chunks]
-    vectors = [hash_vector(t) for t in texts]
-    allowed = [i for i, c in enumerate(chunks) if product is None or c["product_type"] == product]
-    best, seen = {}, []
-    for text in variants:
-        asked = hash_vector(text)
-        near = [cosine(asked, vectors[i]) for i in allowed]
-        said = bm25(texts, text)
-        said = [said[i] for i in allowed]
-        lists = [[(allowed[i], scores[i]) for i in top(scores, 2 * k)] for scores in (near, said)]
-        for i, score in hybrid(lists[0], [x for x in lists[1] if x[1] > 0], k):
-            if i not in best:
-                seen.append(i)
-            best[i] = max(score, best.get(i, -9.0))
-    key = [best[i] + overlap(words(query), words(texts[i])) for i in seen]
-    return [(chunks[seen[i]]["chunk_id"], best[seen[i]]) for i in top(key, k)]

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trovelake import AnswerPipeline, fixed_values as fv
-from trovelake.operators.generators import RuleBasedGenerator
+from trovelake.operators.generators import OllamaGenerator, RuleBasedGenerator
 from trovelake.plans.answers import AnswerCache, answer_questions, first_requests, replay
 from trovelake.plans.evaluate import (
     compare_chunking,
@@ -131,3 +131,27 @@ def test_answer_quality(pipeline, sample_questions):
 def test_latency_report(sample_index):
     report = measure_latency(sample_index, "вклад", runs=2)
     assert report["cached_avg_ms"] < report["baseline_avg_ms"]
+
+
+def test_refused_questions_reach_no_service(spark, sample_index, tmp_path):
+    calls = tmp_path / "calls"
+
+    def post(url, data, timeout):  # local, so that it is pickled by value
+        with open(str(calls), "a") as log:
+            log.write("call\n")
+
+        class Reply:
+            def raise_for_status(self):
+                pass
+
+            def json(self):
+                return {"message": {"content": "ok"}}
+
+        return Reply()
+
+    rows = spark.createDataFrame([(1, "вклад", "deposit"), (2, "zzz", "none")], "qid bigint, question string, product_type string")
+    refused = answer_questions(sample_index, rows, OllamaGenerator(post=post), min_relevance=99.0).collect()
+    assert [r.answer for r in refused] == [fv.LOW_RELEVANCE_ANSWER] * 2 and not calls.exists()
+    answered = answer_questions(sample_index, rows, OllamaGenerator(post=post)).collect()
+    assert sum(r.answer != fv.LOW_RELEVANCE_ANSWER for r in answered) == 1
+    assert calls.read_text().count("call") == 1

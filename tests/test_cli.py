@@ -23,6 +23,9 @@ def test_prepare_and_build(spark, capsys, tmp_path):
 
 
 def test_ask_and_evaluate(spark, capsys, tmp_path):
+    with pytest.raises(SystemExit, match="no index"):
+        run(capsys, tmp_path, "ask", "x")
+    run(capsys, tmp_path, "build-index")
     out = run(capsys, tmp_path, "ask", "Какая доходность у вклада Копилка?", "--product-type", "deposit")
     answer, _, rest = out.partition("{")
     assert "DOC-SV-30" in answer and json.loads("{" + rest)["metadata"]["mode"] == "hybrid"
@@ -30,6 +33,19 @@ def test_ask_and_evaluate(spark, capsys, tmp_path):
     assert metrics["questions"] == 20 and metrics["hit_rate_at_k"] >= 0.85
 
 
+def test_stored_index_is_opened_and_quality_commands(spark, capsys, tmp_path):
+    run(capsys, tmp_path, "ask", "вклад", "--build")
+    files = sorted(p.name for p in (tmp_path / "index" / "chunks").iterdir())
+    run(capsys, tmp_path, "ask", "вклад")
+    assert sorted(p.name for p in (tmp_path / "index" / "chunks").iterdir()) == files
+    compared = json.loads(run(capsys, tmp_path, "compare-chunking"))
+    assert set(compared) == {"size", "sentence", "recursive"} and all(m["questions"] == 20 for m in compared.values())
+    quality = json.loads(run(capsys, tmp_path, "evaluate-rag"))
+    assert all(0 < v <= 1 for v in quality["metrics"].values())
+    latency = json.loads(run(capsys, tmp_path, "performance"))
+    assert latency["cached_avg_ms"] < latency["baseline_avg_ms"]
+
+
 def test_bad_arguments(tmp_path):
     with pytest.raises(SystemExit):
         main(["ask", "x", "--mode", "fuzzy"])

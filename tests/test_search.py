@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trovelake.functions.text import tokenize
-from trovelake.operators import bm25
+from trovelake.operators import bm25, vector_search
 from trovelake.operators.vector_search import mmr_topk, vector_topk
 from trovelake.runtime import per_block
 
@@ -18,6 +18,7 @@ GROUPS = ["a" if i % 3 == 0 else "b" for i in range(len(VECTORS))]
 QUERIES = [[1.0, 0.0, 1.0, -1.0, 0.0, 1.0], [0.0] * DIM, [-1.0, -1.0, 0.0, 0.0, 1.0, 0.5]]
 WORDS = ["вклад", "ставка", "the", "cat", "5%", "дом", "банк"]
 TEXTS = [" ".join(random.choice(WORDS) for _ in range(random.randint(0, 12))) for _ in range(50)]
+TOKENS = [t.split() for t in TEXTS]
 ASKED = ["ставка the the", "дом", "zebra", "", "5% банк cat вклад"]
 
 
@@ -78,10 +79,21 @@ def test_distance_scores(vectors, queries):
 def test_mmr(vectors, queries):
     got = found(mmr_topk(vectors, queries, 5, 12, 0.65))
     for n, q in enumerate(QUERIES):
-        picks = brute.mmr(q, VECTORS, 5, 12, 0.65)
+        near = brute.top([brute.cosine(q, v) for v in VECTORS], 12)
+        picks = [i for i, _ in got[n]]
+        assert picks[0] == near[0] and len(set(picks)) == 5 and set(picks) <= set(near)
         assert got[n] == [(i, brute.cosine(q, VECTORS[i])) for i in picks]
 
 
+def test_mmr_by_hand(spark):
+    """b is nearer than c but nearly a copy of a: -0.4 x 0.995 against -0.4 x 0.6."""
+    data = [(0, 0, [1.0, 0.0]), (1, 0, [0.995, 0.1]), (2, 0, [0.6, 0.8])]
+    corpus = spark.createDataFrame(data, "doc_pos bigint, piece bigint, embedding array<double>")
+    query = spark.createDataFrame([(1, 0, [1.0, 0.0])], "qid bigint, variant int, embedding array<double>")
+    order = {w: [r.doc_pos for r in mmr_topk(corpus, query, 3, 3, w).orderBy("rank").collect()] for w in (0.3, 0.9)}
+    assert order == {0.3: [0, 2, 1], 0.9: [0, 1, 2]}
+
+
 def test_mmr_without_diversity_is_similarity(vectors, queries):
     assert found(mmr_topk(vectors, queries, 5, 12, 1.0)) == found(vector_topk(vectors, queries, 5))
 
@@ -92,10 +104,54 @@ def test_query_blocks_do_not_change_results(vectors, queries):
     assert found(split) == whole
 
 
-def test_a_query_too_large_for_any_block_is_refused(spark):
-    one = spark.createDataFrame([(1, ["x"] * 50)], "qid bigint, tokens array<string>")
-    with pytest.raises(ValueError):
-        per_block(one, lambda b: b, weight="tokens", max_weight=10)
+def test_a_query_too_large_for_any_block_is_a_block_alone(spark):
+    many = spark.createDataFrame([(i, ["x"] * (50 if i == 3 else 1)) for i in range(20)], "qid bigint, tokens array<string>")
+    sizes = []
+
+    def run(block):
+        sizes.append(sorted(r.qid for r in block.collect()))
+        return block
+
+    assert per_block(many, run, weight="tokens", max_weight=10).count() == 20
+    assert [3] in sizes and max(map(len, sizes)) <= 10
+
+
+def test_the_shuffle_of_a_search_does_not_grow_with_the_scan(spark, tmp_path):
+    """Few tasks take all splits, so the rows for the last ranking follow the cluster."""
+    query = spark.createDataFrame([(1, 0, [1.0, 0.5])], "qid bigint, variant int, embedding array<double>")
+    rows = []
+    for splits in (8, 64):
+        path = str(tmp_path / str(splits))
+        data = spark.range(0, 6400, numPartitions=splits).select(
+            F.col("id").alias("doc_pos"), F.lit(0).cast("bigint").alias("piece"),
+            F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+        data.write.parquet(path)
+        spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # one split per file
+        hits = local_hits(spark.read.parquet(path), query)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        rows.append(hits)
+    assert rows[0] == rows[1] <= 5 * 8
+
+
+def local_hits(corpus, query):
+    """Rows of the local top-k, counted below the final ranking."""
+    seen = []
+    real = vector_search.final_topk
+    vector_search.final_topk = lambda hits, k: seen.append(hits.count()) or real(hits, k)
+    try:
+        vector_topk(corpus, query, 5).collect()
+    finally:
+        vector_search.final_topk = real
+    return seen[0]
+
+
+def test_a_heavy_term_keeps_its_hits(spark):
+    """The sign is tested on the raw score, not on the rounded one."""
+    rows = [(i, 0, "loan", ["the"]) for i in range(20)]
+    chunks = spark.createDataFrame(rows, "doc_pos bigint, piece bigint, product_type string, tokens array<string>")
+    terms = spark.createDataFrame([("the", 20, 1e-12)], "term string, df bigint, idf double")
+    query = spark.createDataFrame([(1, 0, ["the"])], "qid bigint, variant int, tokens array<string>")
+    assert bm25.bm25_topk(chunks, terms, (20, 1.0), query, 5).count() == 5
 
 
 @pytest.fixture(scope="module")
@@ -121,7 +177,7 @@ def test_bm25_topk(spark, texts, statistics):
     """Repeated query words count repeatedly; chunks without tokens count in the statistics."""
     rows = bm25.bm25_topk(texts, *statistics, asked(spark), 7).orderBy("qid", "rank").collect()
     for n, query in enumerate(ASKED):
-        scores = brute.bm25(TEXTS, query)
+        scores = brute.bm25(TOKENS, query.split())
         order = [i for i in brute.top(scores, 7) if scores[i] > 0]
         mine = [(r.doc_pos, pytest.approx(r.score, abs=1e-9)) for r in rows if r.qid == n]
         assert mine == [(i, scores[i]) for i in order]
@@ -132,13 +188,14 @@ def test_bm25_statistics_stay_global_under_filters(spark, texts, statistics, per
     how = {"query_filter": "product_type"} if per_query else {"filters": {"product_type": "loan"}}
     rows = bm25.bm25_topk(texts, *statistics, asked(spark, "loan"), 5, **how).orderBy("rank").collect()
     for n, query in enumerate(ASKED):
-        scores = [s if i % 2 else 0.0 for i, s in enumerate(brute.bm25(TEXTS, query))]
+        scores = [s if i % 2 else 0.0 for i, s in enumerate(brute.bm25(TOKENS, query.split()))]
         order = [i for i in brute.top(scores, 5) if scores[i] > 0]
         assert [(r.doc_pos, pytest.approx(r.score)) for r in rows if r.qid == n] == [(i, scores[i]) for i in order]
 
 
-def test_postings_aggregate_without_a_second_shuffle(texts):
+def test_postings_are_counted_without_a_shuffle(texts):
     df = bm25.postings(texts)
-    assert df.groupBy().agg(F.sum("tf")).first()[0] == sum(len(brute.words(t)) for t in TEXTS)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    found = {(r.doc_pos, r.term): (r.tf, r.dl) for r in df.collect()}
+    assert found == {(i, w): (t.count(w), len(t)) for i, t in enumerate(TOKENS) for w in t}
+    below = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in below and "Repartition" not in below.split("InMemoryRelation")[0]

@@ -43,8 +43,20 @@ def test_collection_upsert(spark, tmp_path):
     assert collection.upsert(rows(spark, ("b", [0.0, 2.0], "y2"), ("c", [2.0, 0.0], "z"))) == 1
     current = {"a": "x2", "b": "y2", "c": "z"}
     assert {r.chunk_id: r.text for r in collection.rows().collect()} == current
-    collection.upsert(rows(spark, ("c", [2.0, 0.0], "z")), version=1)  # a repeated batch replaces its version
-    assert {r.chunk_id: r.text for r in collection.rows().collect()} == {"a": "x2", "b": "y", "c": "z"}
+    collection.upsert(rows(spark, ("c", [2.0, 0.0], "z")), writer="w", batch=0)
+    collection.upsert(rows(spark, ("d", [2.0, 0.0], "t")))
+    collection.upsert(rows(spark, ("c", [2.0, 0.0], "z3")), writer="w", batch=0)  # repeated: replaces its own rows
+    assert {r.chunk_id: r.text for r in collection.rows().collect()} == {**current, "c": "z3", "d": "t"}
+    assert collection.versions() == [0, 1, 2, 3]
+
+
+def test_tied_null_and_repeated_versions_give_one_row(spark):
+    df = spark.createDataFrame(
+        [("a", 1, "x"), ("a", 1, "y"), ("b", None, "p"), ("b", 0, "q"), (None, None, "n"), ("c", None, "c"), ("c", None, "c")],
+        "key string, version int, text string",
+    )
+    kept = {r.key: r.text for r in last_writer_wins(df.repartition(4), "key", "version").collect()}
+    assert kept.pop("a") in ("x", "y") and kept == {"b": "q", None: "n", "c": "c"}
 
 
 def test_collection_search_and_compaction(spark, tmp_path):
@@ -56,6 +68,7 @@ def test_collection_search_and_compaction(spark, tmp_path):
     for stored in (collection, compacted):
         hits = stored.search(query, 2).orderBy("rank").collect()
         assert [h.score for h in hits] == [pytest.approx(0.5), pytest.approx(0.1)]
+        assert [(h.chunk_id, h.text) for h in hits] == [("b", "y"), ("a", "x2")]
     assert compacted.versions() == [0]
     assert compacted.path.endswith("named")
 
@@ -67,13 +80,17 @@ def test_stream_of_documents_updates_a_collection(spark, tmp_path):
     )
     folder, collection = str(tmp_path / "in"), VectorCollection(spark, str(tmp_path / "out"))
 
-    def arrive(*docs):
+    def arrive(*docs, source=folder, checkpoint="checkpoint"):
         data = [(i, "T", "loan", "", "S", [("h", text)]) for i, text in docs]
-        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").json(folder)
-        stream = spark.readStream.schema(schema).json(folder)
-        upsert_stream(stream, collection, str(tmp_path / "checkpoint")).awaitTermination()
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").json(source)
+        stream = spark.readStream.schema(schema).json(source)
+        upsert_stream(stream, collection, str(tmp_path / checkpoint)).awaitTermination()
 
+    collection.upsert(rows(spark, ("before", [1.0], "kept")).withColumn("doc_id", F.lit("d0")))
     arrive(("d1", "first"), ("d2", "second"))
+    collection.upsert(rows(spark, ("between", [1.0], "kept")).withColumn("doc_id", F.lit("d9")))
     arrive(("d1", "changed"), ("d3", "third"))
+    arrive(("d4", "fourth"), source=str(tmp_path / "other"), checkpoint="fresh")
     texts = {r.doc_id: r.text for r in collection.rows().collect()}
-    assert texts == {"d1": "T\nh\nchanged", "d2": "T\nh\nsecond", "d3": "T\nh\nthird"}
+    assert texts == {"d0": "kept", "d9": "kept", "d4": "T\nh\nfourth",
+                     "d1": "T\nh\nchanged", "d2": "T\nh\nsecond", "d3": "T\nh\nthird"}

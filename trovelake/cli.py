@@ -10,6 +10,7 @@ import json
 from collections.abc import Sequence
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from trovelake import fixed_values as fv
@@ -21,7 +22,7 @@ from trovelake.plans.evaluate import (
     evaluate_retrieval,
     measure_latency,
 )
-from trovelake.plans.index import build_index, embed_chunks
+from trovelake.plans.index import build_index, embed_chunks, open_index
 from trovelake.plans.answers import AnswerPipeline
 from trovelake.runtime import local_session
 from trovelake.operators.chunking import chunk_documents
@@ -40,7 +41,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--index-path", default=str(ARTIFACTS / "index"))
     commands = p.add_subparsers(dest="command", required=True)
 
-    prepare = commands.add_parser("prepare", help="clean and write normalized documents")
+    prepare = commands.add_parser("prepare", help="store the documents in cleaned form")
     prepare.add_argument("--output", default=str(ARTIFACTS / "clean_documents"))
 
     build = commands.add_parser("build-index", help="embed and store the chunks")
@@ -53,6 +54,7 @@ def parser() -> argparse.ArgumentParser:
     ask.add_argument("question")
     ask.add_argument("--product-type", choices=fv.PRODUCT_TYPES)
     ask.add_argument("--mode", choices=fv.SEARCH_MODES, default="hybrid")
+    ask.add_argument("--build", action="store_true", help="build the index first; else a stored one is opened")
 
     evaluate = commands.add_parser("evaluate-retrieval", help="hit rate and mean reciprocal rank")
     evaluate.add_argument("--strategy", choices=fv.CHUNK_STRATEGIES, default="recursive")
@@ -89,7 +91,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
         return {"store": "table", "path": built.path, "chunks": built.n}
 
     if args.command == "ask":
-        pipeline = AnswerPipeline(index(), create_generator())
+        try:
+            found = index() if args.build else open_index(spark, args.index_path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            raise SystemExit(f"no index at {args.index_path}: run build-index, or ask with --build") from error
+        pipeline = AnswerPipeline(found, create_generator())
         response = pipeline.answer(args.question, product_type=args.product_type, mode=args.mode)
         return {
             "answer": response.answer,

@@ -21,7 +21,6 @@ MIN_RELEVANCE = 0.12
 TEMPERATURE = 0.2
 MAX_TOKENS = 500
 HTTP_TIMEOUT_SECONDS = 60
-PROXY_QUESTIONS = 8
 
 CHUNK_STRATEGIES = ("size", "sentence", "recursive")
 SEARCH_MODES = ("similarity", "mmr", "hybrid")

@@ -13,6 +13,15 @@ from trovelake import fixed_values as fv
 _WS = r"[\s\x1c-\x1f]"
 _EDGES = rf"(?U)\A{_WS}+|{_WS}+\z"
 _TOKENS = f"(?iu){fv.TOKEN_PATTERN}"
+# Replacements that clean a text, in order; the column and the SQL function both follow them.
+_CLEANING = (
+    (fv.CONTROL_CHARS, ""),
+    (r"\r\n?", "\n"),
+    (r"[ \t]+", " "),
+    (r"(?U)[\s&&[^\n]]*\n[\s&&[^\n]]*", "\n"),
+    (r"\n{3,}", "\n\n"),
+    (_EDGES, ""),
+)
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -31,12 +40,9 @@ def strip(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Drop control characters, unify line ends, squeeze blanks, trim lines and text."""
-    text = F.regexp_replace(text, fv.CONTROL_CHARS, "")
-    text = F.regexp_replace(text, r"\r\n?", "\n")
-    text = F.regexp_replace(text, r"[ \t]+", " ")
-    text = F.regexp_replace(text, r"(?U)[\s&&[^\n]]*\n[\s&&[^\n]]*", "\n")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return strip(text)
+    for pattern, replacement in _CLEANING:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text
 
 
 def tokenize(text: Column) -> Column:
@@ -90,15 +96,8 @@ def register_sql_functions(spark: SparkSession) -> None:
     They are SQL expression functions, so Catalyst inlines them into the plan.
     """
     clean = "text"
-    for pattern, repl in (
-        (fv.CONTROL_CHARS, ""),
-        (r"\r\n?", "\n"),
-        (r"[ \t]+", " "),
-        (r"(?U)[\s&&[^\n]]*\n[\s&&[^\n]]*", "\n"),
-        (r"\n{3,}", "\n\n"),
-        (_EDGES, ""),
-    ):
-        newline = repl.replace("\n", "\\n")
+    for pattern, replacement in _CLEANING:
+        newline = replacement.replace("\n", "\\n")
         clean = f"regexp_replace({clean}, r'{pattern}', '{newline}')"
     spark.sql(
         f"CREATE OR REPLACE TEMPORARY FUNCTION clean_text(text STRING) RETURNS STRING RETURN {clean}"

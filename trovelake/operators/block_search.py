@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 # in; equal scores are then ordered by corpus position, as a stable sort would.
 SCORE_DIGITS = 10
 HIT_SCHEMA = "qid bigint, variant int, doc_pos bigint, piece bigint, score double"
-_COLUMN_BLOCK = 512
+_COLUMN_BLOCK = 128
 
 # Kernel: batch -> score(query indices, row indices or None for all) -> query x row matrix.
 Scores = Callable[[np.ndarray, "np.ndarray | None"], np.ndarray]
@@ -79,10 +79,11 @@ def local_topk(
                     rows = np.flatnonzero(pc.fill_null(pc.equal(batch.column(3), name), False))
                     if not len(rows):
                         continue
-                matrix = np.round(scores(ids, rows), SCORE_DIGITS) + 0.0
-                q, r = _best(matrix, k, positive)
+                raw = scores(ids, rows)
+                matrix = np.round(raw, SCORE_DIGITS) + 0.0
+                q, r = _best(matrix, k, raw > 0 if positive else np.ones(raw.shape, dtype=bool))
                 at = r if rows is None else rows[r]
-                found = [ids[q], matrix[q, r], doc[at], piece[at]]
+                found = _keep([ids[q], matrix[q, r], doc[at], piece[at]], k)
                 pool = [np.concatenate(pair) for pair in zip(pool, found)]
             pool = _keep(pool, k)
         q, score, doc, piece = pool
@@ -90,13 +91,22 @@ def local_topk(
         names = ["qid", "variant", "doc_pos", "piece", "score"]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return corpus.select(*columns).mapInArrow(run, HIT_SCHEMA)
+    return corpus.select(*columns).coalesce(search_tasks(corpus)).mapInArrow(run, HIT_SCHEMA)
 
 
-def _best(matrix: np.ndarray, k: int, positive: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (query, row) of every score not below its query's k-th best."""
+def search_tasks(corpus: DataFrame) -> int:
+    """Most tasks of a search pass: every task sends k rows per query to the last ranking.
+
+    A task takes several scan splits in turn, so these rows follow the cluster and not the
+    number of splits of the corpus.
+    """
+    spark = corpus.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _best(matrix: np.ndarray, k: int, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (query, row) of every kept score not below its query's k-th best."""
     n = matrix.shape[1]
-    keep = matrix > 0 if positive else np.ones(matrix.shape, dtype=bool)
     if n > k:
         floor = np.partition(matrix, n - k, axis=1)[:, n - k]
         keep &= matrix >= floor[:, None]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,19 +24,34 @@ def with_tokens(chunks: DataFrame) -> DataFrame:
     return chunks if "tokens" in chunks.columns else chunks.withColumn("tokens", tokenize(F.col("text")))
 
 
-def postings(chunks: DataFrame, partitions: int | None = None) -> DataFrame:
+def postings(chunks: DataFrame) -> DataFrame:
     """One row per (chunk, term): tf, the chunk's length dl and the product type.
 
-    Chunks are hash-partitioned on the chunk key before their tokens are exploded.
-    That partitioning also satisfies the aggregation, so the shuffle carries each text
-    once instead of its exploded terms, and it cannot skew because the key is unique.
+    Terms are counted inside each Arrow batch of chunks, so nothing is shuffled.
     """
-    columns = [c for c in (*CHUNK_KEY, "product_type", "text", "tokens") if c in chunks.columns]
-    keyed = chunks.select(*columns).repartition(*([partitions] if partitions else []), *CHUNK_KEY)
-    sized = with_tokens(keyed).withColumn("dl", F.size("tokens"))
-    keep = (*CHUNK_KEY, "product_type", "dl")
-    rows = unnest(sized, F.col("tokens"), "term", keep=keep)
-    return rows.groupBy(*keep, "term").agg(F.count("*").cast("int").alias("tf"))
+    rows = with_tokens(chunks).select(*CHUNK_KEY, "product_type", "tokens")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:3])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, words = flat_lists(batch.column(3))
+            length = np.bincount(row, minlength=batch.num_rows)
+            coded = words.dictionary_encode()
+            code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            size = max(1, len(coded.dictionary))
+            cells, tf = np.unique(row * size + code, return_counts=True)
+            at = pa.array(cells // size)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(i).take(at) for i in range(3)),
+                    pa.array(length.astype(np.int32)).take(at),
+                    coded.dictionary.take(pa.array(cells % size)),
+                    pa.array(tf.astype(np.int32)),
+                ],
+                names=[*batch.schema.names[:3], "dl", "term", "tf"],
+            )
+
+    return rows.mapInArrow(count, f"{kind}, dl int, term string, tf int")
 
 
 def doc_stats(chunks: DataFrame) -> DataFrame:

@@ -43,6 +43,33 @@ def split_text(
     return sliding_windows(text, size, overlap)
 
 
+def section_texts(documents: DataFrame) -> DataFrame:
+    """One row per section with the text that is cut: title, heading and body."""
+    fields = ("doc_pos", "doc_id", "title", "product_type", "updated_at", "source")
+    return unnest(documents, F.col("sections"), "section_pos", "s", keep=fields).select(
+        "*",
+        F.col("s.heading").alias("section"),
+        clean_text(F.concat_ws("\n", "title", "s.heading", "s.text")).alias("section_text"),
+    )
+
+
+def pieces_by_strategy(
+    documents: DataFrame, size: int = fv.CHUNK_SIZE, overlap: int = fv.CHUNK_OVERLAP
+) -> DataFrame:
+    """``chunk_strategy`` and ``pieces`` of every section under all strategies, from one cleaned text."""
+    ways = F.array(
+        *(
+            F.struct(
+                F.lit(s).alias("chunk_strategy"),
+                split_text(F.col("section_text"), s, size, overlap).alias("pieces"),
+            )
+            for s in fv.CHUNK_STRATEGIES
+        )
+    )
+    rows = unnest(section_texts(documents), ways, "way", keep=("doc_pos", "section_pos"))
+    return rows.select("doc_pos", "section_pos", "way.chunk_strategy", "way.pieces")
+
+
 def chunk_documents(
     documents: DataFrame,
     strategy: str = "recursive",
@@ -56,12 +83,7 @@ def chunk_documents(
     them; ``piece`` packs the section position and the chunk index.  Windows cut from
     cleaned text and stripped are already clean, so they are not cleaned again.
     """
-    fields = ("doc_pos", "doc_id", "title", "product_type", "updated_at", "source")
-    sections = unnest(documents, F.col("sections"), "section_pos", "s", keep=fields).select(
-        "*",
-        F.col("s.heading").alias("section"),
-        clean_text(F.concat_ws("\n", "title", "s.heading", "s.text")).alias("section_text"),
-    )
+    sections = section_texts(documents)
     pieces = split_text(F.col("section_text"), strategy, chunk_size, chunk_overlap, splitter)
     chunk_id = F.concat_ws(":", "doc_id", "section", F.lit(strategy), F.col("chunk_index"))
     return unnest(sections, pieces, "chunk_index", "text").select(

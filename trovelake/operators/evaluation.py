@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from trovelake.functions.text import let, overlap_ratio, tokenize
 
 
-def first_relevant_rank(gold: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Per question the first rank whose doc_id and section match, 0 if none, and the listed chunks.
+def first_relevant_rank(questions: DataFrame, contexts: DataFrame, gold: DataFrame | None = None) -> DataFrame:
+    """Per question the first rank at a relevant place, 0 if none, and the listed chunks.
 
-    ``gold``: qid, question, expected_doc_id, expected_section.
+    ``questions``: qid, question, expected_doc_id, expected_section.  ``gold`` (qid, doc_id,
+    section) lists all relevant places of a question; without it the expected one counts.
     """
     label = F.concat_ws(" / ", F.col("doc_id"), F.col("section"))
     found = contexts.select("qid", "rank", "doc_id", "section", label.alias("label"))
     match = (F.col("doc_id") == F.col("expected_doc_id")) & (F.col("section") == F.col("expected_section"))
+    if gold is not None:
+        places = gold.select("qid", "doc_id", "section").distinct().withColumn("relevant", F.lit(True))
+        found = found.join(places, ["qid", "doc_id", "section"], "left")
+        match = F.col("relevant")
     listed = F.sort_array(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "label"))))
     return (
-        gold.join(found, "qid", "left")
+        questions.join(found, "qid", "left")
         .groupBy("qid", "question", "expected_doc_id", "expected_section")
         .agg(
             F.coalesce(F.min(F.when(match, F.col("rank"))), F.lit(0)).alias("rank"),
@@ -29,7 +34,7 @@ def first_relevant_rank(gold: DataFrame, contexts: DataFrame) -> DataFrame:
 
 def per_question_report(ranks: DataFrame) -> DataFrame:
     """question, expected, hit, rank and top_chunks per qid."""
-    expected = F.concat(F.col("expected_doc_id"), F.lit(" / "), F.col("expected_section"))
+    expected = F.concat(F.coalesce("expected_doc_id", F.lit("none")), F.lit(" / "), F.col("expected_section"))
     return ranks.select(
         "qid",
         "question",

@@ -25,6 +25,8 @@ class GenerationConfig:
 
 
 class Generator(Protocol):
+    """Answers as a column; a null question gives null and calls no service."""
+
     def generate(self, question: Column, contexts: Column, history: Column) -> Column: ...
 
 
@@ -46,11 +48,15 @@ class _ChatGenerator:
 
         @F.arrow_udf("string")
         def chat(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            send = connect()
+            send = None
             for batch in batches:
-                yield pa.array([send(json.loads(m)) for m in batch.to_pylist()], pa.string())
+                if send is None and batch.null_count < len(batch):
+                    send = connect()
+                answers = [None if m is None else send(json.loads(m)) for m in batch.to_pylist()]
+                yield pa.array(answers, pa.string())
 
-        return chat(F.to_json(chat_messages(question, contexts, history)))
+        messages = F.to_json(chat_messages(question, contexts, history))
+        return chat(F.when(question.isNotNull(), messages))
 
 
 class OpenAIGenerator(_ChatGenerator):

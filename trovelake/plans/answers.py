@@ -69,7 +69,9 @@ def answer_questions(
     rows = asked.join(found, "qid", "left")
     contexts = F.col("contexts")
     relevant = rows.withColumn("relevant", is_relevant(contexts, min_relevance))
-    raw = generator.generate(F.col("question"), contexts, F.col("history"))
+    # A refused request has no question to generate for: generators never see it.
+    asked_for = F.when(F.col("relevant"), F.col("question"))
+    raw = generator.generate(asked_for, contexts, F.col("history"))
     answered = relevant.withColumn("raw", F.when(F.col("relevant"), raw))
     answer = F.when(F.col("relevant"), repair_citations(F.col("raw"), contexts)).otherwise(
         fv.LOW_RELEVANCE_ANSWER

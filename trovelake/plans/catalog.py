@@ -17,6 +17,7 @@ from trovelake.functions import text as tx
 from trovelake.functions.vector import cosine_similarity, l2_norm
 from trovelake.operators import answering, bm25, chunking, query
 from trovelake.operators.embedding import HashingEmbedder
+from trovelake.operators.containment import containing
 from trovelake.operators.evaluation import (
     mean_proxies,
     per_question_report,
@@ -30,7 +31,13 @@ from trovelake.plans.index import CorpusIndex, build_index, embed_chunks
 from trovelake.plans.answers import AnswerPipeline, answer_questions, first_requests, replay
 from trovelake.plans.retrieve import retrieve, search_variants
 from trovelake.runtime import per_block, scratch_dir, spread, unnest
-from trovelake.sources.documents import clean_documents, clean_questions, document_text
+from trovelake.sources.documents import (
+    clean_documents,
+    clean_questions,
+    document_text,
+    load_documents,
+    write_clean_documents,
+)
 from trovelake.sources.vector_store import (
     VectorCollection,
     last_writer_wins,
@@ -57,6 +64,7 @@ HEADING = "body"
 GATE = 0.8
 
 _indexes: dict[tuple[str, str, str], CorpusIndex] = {}
+_gold: dict[tuple[str, str], str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,32 +111,29 @@ def corpus_index(spark: SparkSession, sf_dir: str, strategy: str = "recursive")
     return _indexes[key]
 
 
+def gold_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (question, document) whose document contains the whole text of the question; stored once."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _gold:
+        asked = questions(spark, sf_dir).withColumn("tokens", tx.tokenize(F.col("query")))
+        body = F.col("sections")[0]["text"]
+        read = documents(spark, sf_dir).select("doc_pos", "doc_id", "product_type", body.alias("body"))
+        pairs = per_block(asked, lambda block: containing(read, block), weight="tokens")
+        _gold[key] = write_vectors(pairs, scratch_dir(spark))
+    return read_vectors(spark, _gold[key]).withColumn("section", F.lit(HEADING))
+
+
 def gold_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions with a gold document: the first one that has the question's longest sentence."""
-    asked = questions(spark, sf_dir)
-    sentences = F.transform(
-        tx.split_sentences(F.col("query")),
-        lambda s, i: F.struct((-F.length(s)).alias("n"), i.alias("i"), s.alias("s")),
-    )
-    asked = asked.select("qid", "query", F.array_min(sentences)["s"].alias("sentence"))
-    said = unnest(
-        documents(spark, sf_dir),
-        F.array_distinct(tx.split_sentences(F.col("sections")[0]["text"])),
-        "sentence",
-        keep=("doc_pos", "doc_id", "product_type"),
-    )
-    first = F.min(F.struct("doc_pos", "doc_id", "product_type")).alias("gold")
-    return (
-        said.join(asked, "sentence")
-        .groupBy("qid", "query")
-        .agg(first)
-        .select(
-            "qid",
-            F.col("query").alias("question"),
-            F.col("gold.doc_id").alias("expected_doc_id"),
-            F.lit(HEADING).alias("expected_section"),
-            F.col("gold.product_type").alias("product_type"),
-        )
+    """All questions; the first document that contains one is its expected document (null: none)."""
+    first = gold_pairs(spark, sf_dir).groupBy("qid").agg(
+        F.min(F.struct("doc_pos", "doc_id", "product_type")).alias("gold")
+    )
+    return questions(spark, sf_dir).join(first, "qid", "left").select(
+        "qid",
+        F.col("query").alias("question"),
+        F.col("gold.doc_id").alias("expected_doc_id"),
+        F.lit(HEADING).alias("expected_section"),
+        F.col("gold.product_type").alias("product_type"),
     )
 
 
@@ -214,6 +219,44 @@ def tokenize_counts(spark, sf_dir):
     )
 
 
+def sql_text_functions(spark, sf_dir):
+    """T-1, T-2 and T-5 as SQL users call them."""
+    tx.register_sql_functions(spark)
+    return raw_documents(spark, sf_dir).selectExpr(
+        "doc_id",
+        "md5(clean_text(text)) AS text_md5",
+        "md5(array_join(tokenize(text), ' ')) AS tokens_md5",
+        "round(token_overlap(tokenize(text), tokenize(source || ' the el le der')), 6) AS overlap",
+    )
+
+
+def sql_vector_cosine(spark, sf_dir):
+    """E6 as SQL users call it: every vector against the mean of its label."""
+    tx.register_sql_functions(spark)
+    means = centroids(spark, sf_dir).select("label", F.col("embedding").alias("mean"))
+    pairs = stored_vectors(spark, sf_dir).join(means, "label")
+    return pairs.selectExpr("doc_pos AS vec_id", "round(vector_cosine(embedding, mean), 6) AS score")
+
+
+def json_round_trip(spark, sf_dir):
+    """The document table written as raw JSON, scanned, cleaned, written clean and scanned again."""
+    raw, clean = scratch_dir(spark), scratch_dir(spark)
+    doc_id = F.col("doc_id").cast("string")
+    raw_documents(spark, sf_dir).select(
+        doc_id.alias("doc_id"),
+        F.concat(F.lit(" Document\t"), doc_id).alias("title"),
+        F.col("lang").alias("product_type"),
+        F.lit("").alias("updated_at"),
+        "source",
+        F.array(F.struct(F.lit(HEADING).alias("heading"), "text")).alias("sections"),
+    ).write.json(raw)
+    write_clean_documents(load_documents(spark, raw, lines=True), clean)
+    body = F.col("sections")[0]["text"]
+    return load_documents(spark, clean, lines=True).select(
+        "doc_id", "title", F.md5(body).alias("text_md5"), F.length(body).cast("bigint").alias("n_chars")
+    )
+
+
 def sentence_split(spark, sf_dir):
     parts = tx.split_sentences(F.col("text"))
     return _numbered(unnest(raw_documents(spark, sf_dir), parts, "pos", "sentence", keep=("doc_id",)), "pos")
@@ -272,11 +315,10 @@ def _chunk_rows(strategy):
 
 
 def chunk_stats(spark, sf_dir):
-    lengths = [
-        _chunks(spark, sf_dir, s).select("chunk_strategy", F.length("text").alias("n"))
-        for s in fv.CHUNK_STRATEGIES
-    ]
-    rows = lengths[0].unionByName(lengths[1]).unionByName(lengths[2])
+    pieces = chunking.pieces_by_strategy(documents(spark, sf_dir))
+    rows = unnest(pieces, F.col("pieces"), "text", keep=("chunk_strategy",)).select(
+        "chunk_strategy", F.length("text").alias("n")
+    )
     return rows.groupBy("chunk_strategy").agg(
         F.count("*").alias("chunks"),
         F.sum("n").alias("chars"),
@@ -346,6 +388,33 @@ def collection_upsert(spark, sf_dir):
     return collection.rows().groupBy("label").agg(F.count("*").alias("records"), first.alias("first_cells"))
 
 
+def _two_batches(spark, sf_dir):
+    """A collection of all vectors whose even labels were replaced by a second batch."""
+    rows = stored_vectors(spark, sf_dir).select(
+        "*", F.col("doc_pos").cast("string").alias("chunk_id"), F.concat(F.lit("v"), "label").alias("text")
+    )
+    collection = VectorCollection(spark, scratch_dir(spark))
+    collection.upsert(rows)
+    negated = F.transform("embedding", lambda x: -x)
+    collection.upsert(rows.where("label % 2 = 0").withColumns({"embedding": negated, "text": F.lit("new")}))
+    return collection
+
+
+def _collection_hits(df):
+    return _numbered(df).select(
+        "qid", "rank", F.col("chunk_id").cast("bigint").alias("vec_id"), "text", "label", F.round("score", 6).alias("score")
+    )
+
+
+def collection_search(spark, sf_dir):
+    return _collection_hits(_two_batches(spark, sf_dir).search(centroids(spark, sf_dir)))
+
+
+def collection_search_filtered(spark, sf_dir):
+    hits = _two_batches(spark, sf_dir).search(centroids(spark, sf_dir), filters={"text": "new"})
+    return _collection_hits(hits)
+
+
 def hash_embedding(spark, sf_dir):
     rows = embed_chunks(_chunks(spark, sf_dir, "recursive"), HashingEmbedder(hasher="md5"))
     cells = unnest(rows, F.col("embedding"), "bucket", "value", keep=("chunk_id",)).where("value <> 0")
@@ -521,17 +590,18 @@ def relevance_gate(spark, sf_dir):
 
 
 def _context_lists(spark, sf_dir):
+    """Every question with its contexts; a question without any has an empty list."""
     lists = answering.collect_contexts(_contexts(spark, sf_dir))
-    return questions(spark, sf_dir).join(lists, "qid", "left")
+    none = F.array().cast(lists.schema["contexts"].dataType)
+    return questions(spark, sf_dir).join(lists, "qid", "left").withColumn("contexts", F.coalesce("contexts", none))
 
 
 def citation_repair(spark, sf_dir):
     """A draft that cites its first context, and on odd questions an unknown source too."""
-    first = F.get("contexts", F.lit(0))["citation"]
+    first = F.coalesce(F.get("contexts", F.lit(0))["citation"], F.lit("no source"))
     bad = F.when(F.col("qid") % 2 == 1, F.lit(" [nowhere]")).otherwise("")
     draft = F.concat(F.lit("See ["), first, F.lit("]"), bad)
-    rows = _context_lists(spark, sf_dir).where(F.col("contexts").isNotNull())
-    rows = rows.select("qid", "contexts", draft.alias("draft"))
+    rows = _context_lists(spark, sf_dir).select("qid", "contexts", draft.alias("draft"))
     fixed = answering.repair_citations(F.col("draft"), F.col("contexts"))
     return rows.select(
         "qid",
@@ -546,7 +616,7 @@ def prompt_messages(spark, sf_dir):
     turn = F.struct(F.lit("earlier").alias("user"), F.col("query").alias("assistant"))
     messages = answering.chat_messages(F.col("query"), F.col("contexts"), F.array(turn))
     flat = F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|")
-    rows = _context_lists(spark, sf_dir).where(F.col("contexts").isNotNull())
+    rows = _context_lists(spark, sf_dir)
     return rows.select("qid", F.size(messages).cast("bigint").alias("messages"), F.md5(flat).alias("prompt_md5"))
 
 
@@ -580,7 +650,11 @@ def answer_cache(spark, sf_dir):
 
 def _ranks(spark, sf_dir):
     return gold_ranks(
-        corpus_index(spark, sf_dir), gold_questions(spark, sf_dir), rules=RULES, lexicon=LEXICON
+        corpus_index(spark, sf_dir),
+        gold_questions(spark, sf_dir),
+        gold=gold_pairs(spark, sf_dir),
+        rules=RULES,
+        lexicon=LEXICON,
     )
 
 
@@ -605,8 +679,10 @@ def question_report(spark, sf_dir):
 
 
 def chunking_comparison(spark, sf_dir):
-    indexes = {s: corpus_index(spark, sf_dir, s) for s in fv.CHUNK_STRATEGIES}
-    return compare_chunking(indexes, gold_questions(spark, sf_dir), rules=RULES, lexicon=LEXICON)
+    windows = corpus_index(spark, sf_dir)  # size and recursive cut the same windows: one index serves both
+    indexes = {"size": windows, "recursive": windows, "sentence": corpus_index(spark, sf_dir, "sentence")}
+    asked, gold = gold_questions(spark, sf_dir), gold_pairs(spark, sf_dir)
+    return compare_chunking(indexes, asked, gold=gold, rules=RULES, lexicon=LEXICON)
 
 
 def answer_quality_proxies(spark, sf_dir):
@@ -625,6 +701,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_question_table": clean_question_table,
     "flat_document_text": flat_document_text,
     "tokenize_counts": tokenize_counts,
+    "sql_text_functions": sql_text_functions,
+    "sql_vector_cosine": sql_vector_cosine,
+    "json_round_trip": json_round_trip,
     "sentence_split": sentence_split,
     "sentence_split_dot": sentence_split_dot,
     "lexical_overlap": lexical_overlap,
@@ -643,6 +722,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vector_round_trip": vector_round_trip,
     "upsert_last_writer": upsert_last_writer,
     "collection_upsert": collection_upsert,
+    "collection_search": collection_search,
+    "collection_search_filtered": collection_search_filtered,
     "hash_embedding": hash_embedding,
     "hash_vector_topk": hash_vector_topk,
     "hash_vector_mmr": hash_vector_mmr,

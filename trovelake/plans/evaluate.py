@@ -25,11 +25,17 @@ from trovelake.plans.retrieve import retrieve
 GOLD = ("qid", "question", "expected_doc_id", "expected_section")
 
 
-def gold_ranks(index: CorpusIndex, questions: DataFrame, k: int = fv.TOP_K, **options) -> DataFrame:
-    """First relevant rank of every question, searched in hybrid mode under its gold product."""
+def gold_ranks(
+    index: CorpusIndex, questions: DataFrame, k: int = fv.TOP_K, gold: DataFrame | None = None, **options
+) -> DataFrame:
+    """First relevant rank of every question, searched in hybrid mode under its gold product.
+
+    ``gold`` (qid, doc_id, section) lists all relevant places; without it the expected
+    document and section of a question are its only one.
+    """
     queries = questions.select("qid", F.col("question").alias("query"), "product_type")
     contexts = retrieve(index, queries, k, "hybrid", **options)
-    return first_relevant_rank(questions.select(*GOLD), contexts)
+    return first_relevant_rank(questions.select(*GOLD), contexts, gold)
 
 
 def evaluate_retrieval(
@@ -46,10 +52,18 @@ def evaluate_retrieval(
 def compare_chunking(
     indexes: dict[str, CorpusIndex], questions: DataFrame, k: int = fv.TOP_K, **options
 ) -> DataFrame:
-    """One metrics row per chunking strategy, rounded to four digits."""
+    """One metrics row per chunking strategy, rounded to four digits.
+
+    Strategies that name the same index are ranked once.
+    """
+    named: dict[int, list[str]] = {}
+    for name, index in indexes.items():
+        named.setdefault(id(index), []).append(name)
     ranks = [
-        gold_ranks(index, questions, k, **options).select(F.lit(name).alias("strategy"), "rank")
-        for name, index in indexes.items()
+        gold_ranks(indexes[names[0]], questions, k, **options).select(
+            F.explode(F.array(*map(F.lit, names))).alias("strategy"), "rank"
+        )
+        for names in named.values()
     ]
     scored = retrieval_metrics(reduce(DataFrame.unionByName, ranks), "strategy")
     return scored.select(
@@ -65,52 +79,20 @@ def answer_proxies(pipeline: AnswerPipeline, questions: DataFrame) -> DataFrame:
     scores = proxy_scores(
         F.col("question"), F.col("expected_section"), F.col("answer"), F.col("contexts")
     )
-    return _sampled_answers(pipeline, questions).select("qid", *scores)
-
-
-def _sampled_answers(pipeline: AnswerPipeline, questions: DataFrame) -> DataFrame:
-    requests = questions.select("qid", "question")
     answers = answer_questions(
         pipeline.index,
-        requests,
+        questions.select("qid", "question"),
         pipeline.generator,
         min_relevance=pipeline.min_relevance_score,
         **pipeline.options,
     )
-    return answers.join(questions.select("qid", "expected_section"), "qid")
+    return answers.join(questions.select("qid", "expected_section"), "qid").select("qid", *scores)
 
 
-def evaluate_answers(
-    pipeline: AnswerPipeline, questions: DataFrame, limit: int | None = fv.PROXY_QUESTIONS
-) -> dict[str, Any]:
-    """Answer quality over the first ``limit`` questions (a fixed sample of the evaluation set).
-
-    An external judge scores them when it is installed, else the token-overlap proxies.
-    """
-    if limit:
-        questions = questions.orderBy("qid").limit(limit)
-    try:
-        return {"framework": "ragas", "metrics": _ragas_metrics(pipeline, questions)}
-    except Exception as error:  # not installed, no credentials, or a failing judge
-        row = mean_proxies(answer_proxies(pipeline, questions)).first()
-        return {"framework": "offline_proxy", "ragas_error": str(error), "metrics": row.asDict()}
-
-
-def _ragas_metrics(pipeline: AnswerPipeline, questions: DataFrame) -> dict[str, Any]:
-    """External judge over the sampled questions, when its package is installed."""
-    from datasets import Dataset
-    from ragas import evaluate
-    from ragas.metrics import answer_relevancy, context_precision, faithfulness
-
-    answers = _sampled_answers(pipeline, questions)
-    rows = answers.select(
-        "question",
-        "answer",
-        F.transform("contexts", lambda c: c["text"]).alias("contexts"),
-        F.col("expected_section").alias("ground_truth"),
-    ).toPandas()
-    metrics = [faithfulness, answer_relevancy, context_precision]
-    return dict(evaluate(Dataset.from_pandas(rows), metrics=metrics))
+def evaluate_answers(pipeline: AnswerPipeline, questions: DataFrame) -> dict[str, Any]:
+    """Answer quality over all questions by the token-overlap proxies."""
+    row = mean_proxies(answer_proxies(pipeline, questions)).first()
+    return {"framework": "offline_proxy", "metrics": row.asDict()}
 
 
 def measure_latency(

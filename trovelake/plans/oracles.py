@@ -136,7 +136,7 @@ SEARCHES = {
     "en": f"SELECT qid, 0 AS variant, query AS text, '{FILTERS['product_type']}' AS wanted FROM asked",
     "multi": "SELECT qid, variant, text, CAST(NULL AS VARCHAR) AS wanted FROM variants",
     "full": "SELECT qid, variant, text, wanted FROM variants JOIN inferred USING (qid)",
-    "gold": "SELECT qid, variant, text, product_type AS wanted FROM variants JOIN gold USING (qid)",
+    "gold": "SELECT qid, variant, text, coalesce(product_type, wanted) AS wanted FROM variants JOIN gold USING (qid) JOIN inferred USING (qid)",
 }
 
 
@@ -256,13 +256,11 @@ CTES["sentence_chunks"] = """
          source || ' / ' || section AS citation FROM chunks_sentence"""
 
 # --- gold --------------------------------------------------------------------------
-CTES["gold_sentence"] = f"""
-  SELECT qid, query, list_sort(list_transform({sentences('query')},
-           lambda s, i: {{'n': -length(s), 'i': i, 's': s}}))[1].s AS sentence FROM asked"""
-CTES["gold"] = f"""
-  SELECT qid, query, arg_min(doc_id, doc_pos) AS expected_doc_id, arg_min(product_type, doc_pos) AS product_type
-  FROM gold_sentence JOIN (SELECT DISTINCT doc_pos, doc_id, product_type, unnest({sentences('body')}) AS sentence
-                           FROM docs) USING (sentence) GROUP BY 1, 2"""
+CTES["gold_pairs"] = """
+  SELECT qid, doc_pos, doc_id, product_type FROM asked JOIN docs ON query <> '' AND contains(body, query)"""
+CTES["gold"] = """
+  SELECT a.qid, query, arg_min(doc_id, doc_pos) AS expected_doc_id, arg_min(product_type, doc_pos) AS product_type
+  FROM asked a LEFT JOIN gold_pairs USING (qid) GROUP BY 1, 2"""
 
 # --- label centroids -----------------------------------------------------------------
 CTES["cells"] = """
@@ -349,9 +347,10 @@ CTES["answers"] = f"""
 for _end in ("gold", "gold_sentence"):
     CTES[f"ranks_{_end}"] = f"""
   SELECT g.qid, g.expected_doc_id,
-         coalesce(min(CASE WHEN c.doc_id = g.expected_doc_id AND c.section = '{HEADING}' THEN c.rank END), 0) AS rank,
+         coalesce(min(CASE WHEN p.doc_id IS NOT NULL AND c.section = '{HEADING}' THEN c.rank END), 0) AS rank,
          string_agg(c.doc_id || ' / ' || c.section, '|' ORDER BY c.rank) AS top_chunks
-  FROM gold g LEFT JOIN ctx_fused_{_end} c USING (qid) GROUP BY 1, 2"""
+  FROM gold g LEFT JOIN ctx_fused_{_end} c USING (qid)
+  LEFT JOIN gold_pairs p ON p.qid = g.qid AND p.doc_id = c.doc_id GROUP BY 1, 2"""
 _RATES = """avg((rank > 0)::INT) AS hit_rate_at_k,
   avg(CASE WHEN rank > 0 THEN 1.0::DOUBLE / rank ELSE 0.0 END) AS mrr, count(*) AS questions"""
 
@@ -416,9 +415,21 @@ def _bm25_sql(searches: str, where: str = "TRUE") -> str:
     FROM bm_{searches} h WHERE score > 0 AND {where}) WHERE rank <= {K}"""
 
 
-_DRAFT = "'See [' || allowed[1] || ']' || CASE WHEN qid % 2 = 1 THEN ' [nowhere]' ELSE '' END"
+_DRAFT = "'See [' || coalesce(allowed[1], 'no source') || ']' || CASE WHEN qid % 2 = 1 THEN ' [nowhere]' ELSE '' END"
 _OWN = f"coalesce({sentences('body')}[1], '')"
 
+
+def _collection(condition: str) -> str:
+    """Distance search over the vectors of which even labels were negated."""
+    return f"""
+  SELECT qid, rank, vec_id, text, label, round(score, 6) AS score FROM (
+    SELECT qid, vec_id, label, CASE WHEN label % 2 = 0 THEN 'new' ELSE 'v' || label END AS text,
+           1.0 / (1.0 + gap) AS score, row_number() OVER (PARTITION BY qid ORDER BY gap, vec_id) AS rank
+    FROM (SELECT m.qid, c.vec_id, c.label,
+                 sum(power(CASE WHEN c.label % 2 = 0 THEN -c.val ELSE c.val END - m.val, 2)) AS gap
+          FROM cells c JOIN means m USING (pos) WHERE {condition} GROUP BY 1, 2, 3)) WHERE rank <= {K}"""
+
+
 FINAL: dict[str, str] = {
     "clean_text": "SELECT doc_id, md5(body) AS text_md5, length(body) AS n_chars FROM docs",
     "clean_question_table": "SELECT qid, query FROM asked",
@@ -429,6 +440,12 @@ FINAL: dict[str, str] = {
     "tokenize_counts": f"""
   SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct, md5(array_to_string(t, ' ')) AS tokens_md5
   FROM (SELECT doc_id, {tokens('text')} AS t FROM documents)""",
+    "sql_text_functions": f"""
+  SELECT doc_id, md5({clean('text')}) AS text_md5, md5(array_to_string(t, ' ')) AS tokens_md5,
+         round({ratio('t', 'o')}, 6) AS overlap
+  FROM (SELECT doc_id, text, {tokens('text')} AS t, {tokens("source || ' the el le der'")} AS o FROM documents)""",
+    "sql_vector_cosine": "SELECT vec_id, round(score, 6) AS score FROM pairs WHERE qid = label",
+    "json_round_trip": "SELECT doc_id, 'Document ' || doc_id AS title, md5(body) AS text_md5, length(body) AS n_chars FROM docs",
     "sentence_split": f"""
   SELECT doc_id, e.p - 1 AS pos, e.s AS sentence FROM (
     SELECT doc_id, unnest(list_transform({sentences('text')}, lambda s, i: {{'s': s, 'p': i}})) AS e FROM documents)""",
@@ -469,6 +486,8 @@ FINAL: dict[str, str] = {
     "collection_upsert": """
   SELECT label, count(*) AS records, round(sum(CASE WHEN label % 2 = 0 THEN -val ELSE val END), 6) AS first_cells
   FROM cells WHERE pos = 1 GROUP BY 1""",
+    "collection_search": _collection("TRUE"),
+    "collection_search_filtered": _collection("label % 2 = 0"),
     "hash_embedding": """
   SELECT chunk_id, count(*) AS nonzero, round(sum(val / norm), 6) AS total, round(sum(val / norm * bucket), 6) AS moment
   FROM chunk_cells JOIN chunk_norms USING (doc_pos, piece) JOIN chunks USING (doc_pos, piece)
@@ -506,13 +525,13 @@ FINAL: dict[str, str] = {
   FROM asked LEFT JOIN gate USING (qid) LEFT JOIN drafts USING (qid) LEFT JOIN allowed USING (qid)""",
     "citation_repair": f"""
   SELECT qid, {valid('draft')} AS valid, {repaired('draft')} AS answer, {valid(repaired('draft'))} AS valid_after
-  FROM (SELECT qid, allowed, {_DRAFT} AS draft FROM allowed)""",
+  FROM (SELECT qid, coalesce(allowed, []) AS allowed, {_DRAFT} AS draft FROM asked LEFT JOIN allowed USING (qid))""",
     "prompt_messages": f"""
   SELECT qid, CAST(4 AS BIGINT) AS messages, md5('system=' || {text(fv.SYSTEM_PROMPT)} || '|user=earlier|assistant=' || query ||
-      '|user=' || {text(fv.PROMPT_CONTEXT_LABEL)} || blocks || {text(fv.PROMPT_QUESTION_LABEL)} || query) AS prompt_md5
-  FROM (SELECT qid, any_value(query) AS query,
-          string_agg('[' || citation || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS blocks
-        FROM ctx GROUP BY 1)""",
+      '|user=' || {text(fv.PROMPT_CONTEXT_LABEL)} || coalesce(blocks, '') || {text(fv.PROMPT_QUESTION_LABEL)} || query) AS prompt_md5
+  FROM asked LEFT JOIN (
+    SELECT qid, string_agg('[' || citation || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS blocks
+    FROM ctx GROUP BY 1) USING (qid)""",
     "history_query": f"""
   SELECT conv_id, turn, CAST(n AS BIGINT) AS exchanges, md5(CASE WHEN n = 0 THEN text ELSE
       CASE WHEN n = 2 THEN turn2 || ' ' ELSE '' END || turn1 || '{fv.HISTORY_QUESTION_LABEL}' || text END) AS query_md5
@@ -533,7 +552,7 @@ FINAL: dict[str, str] = {
   SELECT round(hit_rate_at_k, 6) AS hit_rate_at_k, round(mrr, 6) AS mrr, questions
   FROM (SELECT {_RATES} FROM ranks_gold)""",
     "question_report": f"""
-  SELECT qid, expected_doc_id || ' / {HEADING}' AS expected, rank > 0 AS hit, rank, coalesce(top_chunks, '') AS top_chunks
+  SELECT qid, coalesce(expected_doc_id, 'none') || ' / {HEADING}' AS expected, rank > 0 AS hit, rank, coalesce(top_chunks, '') AS top_chunks
   FROM ranks_gold""",
     "chunking_comparison": f"""
   SELECT strategy, round(hit_rate_at_k, 4) AS hit_rate_at_k, round(mrr, 4) AS mrr, questions FROM (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -37,7 +38,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under the shared folder the cluster names in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="trovelake-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -76,8 +77,8 @@ def per_block(
     The queries are computed once into a table in the shared folder: several branches
     of a search read them, and it cuts their lineage.  The size is counted, not
     estimated: one block when everything fits, otherwise the queries are hash-split on
-    ``key`` until the largest block fits.  ``weight`` names an array column whose total
-    length is bounded too.
+    ``key`` until every block fits or holds a single key.  ``weight`` names an array column
+    whose total length is bounded too; one query that is heavier by itself is a block alone.
     """
     spark = queries.sparkSession
     schema = queries.schema
@@ -85,22 +86,20 @@ def per_block(
     queries.write.parquet(path)
     queries = spark.read.schema(schema).parquet(path)
     size = F.coalesce(F.sum(F.size(weight)), F.lit(0)) if weight else F.lit(0)
-    sizes = [F.count("*").alias("rows"), size.alias("terms")]
+    keys = queries.groupBy(key).agg(F.count("*").alias("rows"), size.alias("terms"))
 
-    def largest(n: int) -> float:
-        if n == 1:
-            worst = queries.agg(*sizes).first()
-        else:
-            blocks = queries.groupBy(_block(key, n)).agg(*sizes)
-            worst = blocks.agg(F.max("rows"), F.max("terms")).first()
-        return max(worst[0] / max_rows, worst[1] / max_weight)
+    def excess(n: int) -> float:
+        """How far the largest block that can still be split is over the bounds."""
+        block = keys.groupBy(_block(key, n)).agg(
+            F.sum("rows").alias("rows"), F.sum("terms").alias("terms"), F.count("*").alias("keys")
+        )
+        over = F.greatest(F.col("rows") / max_rows, F.col("terms") / max_weight)
+        return block.where("keys > 1").agg(F.coalesce(F.max(over), F.lit(0.0))).first()[0]
 
-    blocks, load = 1, largest(1)
+    blocks, load = 1, excess(1)
     while load > 1:
-        wanted = max(blocks + 1, math.ceil(blocks * load * 1.2))
-        if wanted > 1 << 20:
-            raise ValueError(f"a single {key} is too large for one query block")
-        blocks, load = wanted, largest(wanted)
+        blocks = max(blocks + 1, math.ceil(blocks * min(load * 1.2, 64)))
+        load = excess(blocks)
     if blocks == 1:
         return run(queries)
     path = scratch_dir(spark)  # laid out by block, so that each block reads its own files

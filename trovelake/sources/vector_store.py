@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trovelake import fixed_values as fv
 from trovelake.operators.vector_search import vector_topk
 
 DEFAULT_COLLECTION = "passages"
+_FOLDER = re.compile(r"/version=(\d+)/writer=([^/]+)/batch=(-?\d+)/")
 
 
 def write_vectors(vectors: DataFrame, path: str) -> str:
@@ -23,24 +29,26 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def last_writer_wins(rows: DataFrame, key: str, *version: str) -> DataFrame:
-    """The newest row per key.
+    """Exactly one row per key (null is a key too): the newest, nulls oldest.
 
-    Winners are found on the narrow key and version columns with map-side partial
-    aggregation, so a key with very many versions does not fill one task; whole rows are
-    only matched against the winners.
+    Rows of one version are ordered by a hash of their other columns, so the choice does not
+    depend on partitioning.  The aggregate combines in each task, so a key with very many
+    versions sends one row per task.
     """
-    order = F.struct(*version) if len(version) > 1 else F.col(version[0])
-    newest = rows.groupBy(key).agg(F.max(order).alias("_newest"))
-    tagged = rows.withColumn("_newest", order)
-    return tagged.join(newest, [key, "_newest"], "left_semi").drop("_newest")
+    others = [f.name for f in rows.schema.fields if f.name != key]
+    hashed = [f.name for f in rows.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    order = F.struct(*version, F.xxhash64(*hashed).alias("_tie"))
+    newest = rows.groupBy(key).agg(F.max_by(F.struct(*others), order).alias("_newest"))
+    return newest.select(key, "_newest.*").select(*rows.columns)
 
 
 class VectorCollection:
     """A named collection keyed by chunk_id, created on first use.
 
-    An upsert adds one immutable ``version=N`` folder, so its cost follows the batch and
-    not the collection, and repeating it after a failure replaces the same folder.
-    Readers see the newest version of every chunk_id.
+    An upsert adds one folder ``version=N/writer=W/batch=B`` above all present versions, so
+    its cost follows the batch and not the collection, and it never touches what another
+    writer made.  A batch that its writer repeats after a failure replaces its own folder
+    and keeps its version.  Readers see the newest row of every chunk_id.
     """
 
     def __init__(self, spark: SparkSession, directory: str, name: str = DEFAULT_COLLECTION):
@@ -55,40 +63,58 @@ class VectorCollection:
                 return None
             raise
 
-    def versions(self) -> list[int]:
+    def batches(self) -> dict[tuple[str, int], int]:
+        """Version of each stored (writer, batch), from the names of the files; runs no job."""
         stored = self._stored()
-        if stored is None:
-            return []
-        return sorted(r.version for r in stored.select("version").distinct().collect())
+        found = map(_FOLDER.search, stored.inputFiles() if stored is not None else [])
+        return {(unquote(m[2]), int(m[3])): int(m[1]) for m in found if m}
 
-    def upsert(self, rows: DataFrame, version: int | None = None) -> int:
+    def versions(self) -> list[int]:
+        return sorted(set(self.batches().values()))
+
+    def upsert(self, rows: DataFrame, writer: str | None = None, batch: int = 0) -> int:
         """Insert or replace rows by chunk_id; the last row of a repeated id wins.
 
         ``rows``: chunk_id, doc_pos, piece, embedding and any metadata or text columns.
+        ``writer`` and ``batch`` name a batch that may be repeated; without a writer every
+        call is a batch of its own.
         """
-        if version is None:
-            version = max(self.versions(), default=-1) + 1
+        writer = writer or uuid.uuid4().hex
+        stored = self.batches()
+        version = stored.get((writer, batch), max(stored.values(), default=-1) + 1)
         unique = last_writer_wins(rows, "chunk_id", "doc_pos", "piece")
-        unique.write.mode("overwrite").parquet(f"{self.path}/version={version}")
+        unique.write.mode("overwrite").parquet(f"{self.path}/version={version}/writer={writer}/batch={batch}")
         return version
 
     def rows(self) -> DataFrame:
-        """Current rows; a collection with one version is read without a shuffle."""
+        """Current rows; a collection with one batch is read without a shuffle."""
         stored = self._stored()
         if stored is None:
             raise ValueError(f"collection is empty: {self.path}")
-        if len(self.versions()) > 1:
-            stored = last_writer_wins(stored, "chunk_id", "version")
-        return stored.drop("version")
+        if len(self.batches()) > 1:
+            stored = last_writer_wins(stored, "chunk_id", "version", "writer", "batch")
+        return stored.drop("version", "writer", "batch")
 
     def search(
         self, queries: DataFrame, k: int = fv.TOP_K, filters: dict[str, str] | None = None
     ) -> DataFrame:
-        """Nearest rows by squared distance, scored 1 / (1 + distance)."""
-        return vector_topk(self.rows(), queries, k, filters, metric="l2")
+        """Nearest rows by squared distance, scored 1 / (1 + distance).
+
+        Returns qid, variant, rank, score, chunk_id and the other columns of the rows, text
+        and metadata included.  Rows are told apart by chunk_id; equal scores are ordered by
+        its hash.
+        """
+        rows = self.rows().drop("doc_pos", "piece")
+        keyed = rows.withColumns(
+            {"doc_pos": F.xxhash64("chunk_id"), "piece": F.xxhash64(F.lit(1), "chunk_id")}
+        )
+        hits = vector_topk(keyed, queries, k, filters, metric="l2")
+        found = keyed.drop("qid", "variant", "rank", "score").join(hits, ["doc_pos", "piece"])
+        rest = [c for c in rows.columns if c not in ("qid", "variant", "rank", "score", "embedding", "norm")]
+        return found.select("qid", "variant", "rank", "score", *rest)
 
     def compact(self, directory: str) -> VectorCollection:
-        """Write the current rows as version 0 of a new collection elsewhere."""
+        """Write the current rows as the first batch of a new collection elsewhere."""
         target = VectorCollection(self.spark, directory, self.path.rsplit("/", 1)[1])
-        self.rows().write.mode("overwrite").parquet(f"{target.path}/version=0")
+        self.rows().write.mode("overwrite").parquet(f"{target.path}/version=0/writer=compact/batch=0")
         return target

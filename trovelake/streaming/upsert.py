@@ -22,14 +22,16 @@ def upsert_stream(
 ) -> StreamingQuery:
     """Chunk, embed and upsert every micro-batch of a streaming document source.
 
-    A micro-batch is one collection version named after its batch id, so a batch that
-    is run again after a failure replaces its own folder: the effect is exactly once.
+    A micro-batch is named by the id that Spark keeps in the checkpoint and its batch id: run
+    again after a failure it replaces its own rows and nothing else, so the effect is exactly
+    once, and streams, checkpoints and direct upserts may share a collection.
     """
     embedder = embedder or HashingEmbedder()
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
+        stream = batch.sparkSession.read.schema("id string").json(f"{checkpoint}/metadata").first().id
         chunks = chunk_documents(clean_documents(batch), strategy)
-        collection.upsert(embed_chunks(chunks, embedder), version=batch_id)
+        collection.upsert(embed_chunks(chunks, embedder), writer=stream, batch=batch_id)
 
     writer = documents.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
