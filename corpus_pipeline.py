@@ -1,4 +1,4 @@
-"""Corpus pipeline over ``documents``: language ID, near-duplicate removal, substring dedup, packing."""
+"""Corpus pipeline over ``documents``: language ID, near-duplicate removal, suffix dedup, packing."""
 
 from __future__ import annotations
 
@@ -8,17 +8,47 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelake.llm import language_id, packing
-from trovelake.llm.tables import stored
+from trovelake.llm import language_id, ngram_join, packing, suffix_dedup
+from trovelake.llm.tables import stored, unique_keys
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; null texts and texts without a letter go."""
-    model = language_id.train(docs)
-    scored = language_id.predict(docs, model)
+    """Documents whose text has a language; null texts and texts without a letter go.
+
+    The trees are fitted on the documents' own language tags, which are no input of a prediction.
+    """
+    scored = language_id.predict(docs, language_id.train(docs))
     return scored.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
 
 
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the first, of each group linked by a Jaccard similarity of 0.8 or more of five-word shingles.
+
+    Documents without words are in no group and stay.  All columns pass through.
+    """
+    keyed = unique_keys(docs, "doc_id", "_key")
+    found = ngram_join.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80)
+    kept = found.where("keep").select(F.col("doc_id").alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 100-byte strings that also begin earlier; a character goes only as a whole.
+
+    Documents of which nothing is left go; null texts stay null.  ``n_chars`` follows the text.
+    """
+    keyed = unique_keys(docs, "doc_id", "_key")
+    cut = suffix_dedup.remove_repeats(
+        keyed.select(F.col("_key").alias("doc_id"), "text"), whole_characters=True
+    ).where("n_bytes > n_removed or n_bytes = 0")
+    cut = cut.select(F.col("doc_id").alias("_key"), F.decode("kept", "utf-8").alias("_kept"))
+    rest = keyed.withColumn("_none", F.col("text").isNull()).drop("text").join(cut, "_key")
+    out = rest.withColumn("text", F.when(~F.col("_none"), F.col("_kept")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of the documents with their places in training sequences."""
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -27,10 +57,12 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", keep_languages),
+    ("ngram_join", keep_one_of_near_copies),
+    ("suffix_dedup", cut_repeats),
     ("packing", pack_documents),
 ]
 
-#: Trained code lengths and tokenizer ids are beyond SQL; the tests hold stages against brute force.
+#: Trained code lengths and tokenizer ids are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

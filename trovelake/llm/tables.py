@@ -51,21 +51,23 @@ def _unique(kind: T.DataType, rows: int, known: int | None, distinct: int) -> bo
     return whole and (known or 0) == rows == distinct
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    return stored(df.orderBy(*df.columns).withColumn("key", F.monotonically_increasing_id()))
+def _numbered(df: DataFrame, first: str, into: str = "key") -> DataFrame:
+    others = [f.name for f in df.schema.fields if f.name != first and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return stored(df.orderBy(first, *others).withColumn(into, F.monotonically_increasing_id()))
 
 
-def unique_keys(df: DataFrame, name: str) -> DataFrame:
-    """Add ``key``, a unique long in the order of column ``name``, the first of ``df``.
+def unique_keys(df: DataFrame, name: str, into: str = "key") -> DataFrame:
+    """Add column ``into``, a unique long in the order of column ``name``.
 
     Where the column is a unique, non-null integer it is the key itself.  Otherwise rows are
-    sorted by all their columns, nulls first, and numbered; equal rows get keys of their own.
+    sorted by it and all other columns, nulls first, and numbered; equal rows get keys of
+    their own.
     """
     n, known, distinct = df.groupBy(name).agg(F.count("*").alias("n")).agg(
         F.sum("n"), F.sum(F.when(F.col(name).isNotNull(), F.col("n"))), F.count(name)).first()
     if _unique(df.schema[name].dataType, n or 0, known, distinct):
-        return df.withColumn("key", F.col(name).cast("long"))
-    return _numbered(df)
+        return df.withColumn(into, F.col(name).cast("long"))
+    return _numbered(df, name, into)
 
 
 def corpus(documents: DataFrame) -> Corpus:
@@ -84,4 +86,4 @@ def corpus(documents: DataFrame) -> Corpus:
     rows, size = rows or 0, size or 0
     if _unique(documents.schema["doc_id"].dataType, rows, known, distinct):
         return Corpus(docs.withColumn("key", F.col("doc_id").cast("long")), rows, size)
-    return Corpus(_numbered(docs), rows, size)
+    return Corpus(_numbered(docs, "doc_id"), rows, size)
