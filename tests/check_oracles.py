@@ -29,7 +29,7 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
         if df[c].dtype == object or str(df[c].dtype) in ("string", "str"):
             df[c] = df[c].map(lambda v: "<null>" if v is None or v != v else str(v))
         elif df[c].dtype != bool:
-            df[c] = df[c].astype(float).round(9)
+            df[c] = df[c].astype(float).round(9).fillna(-1e300)  # null equals null
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
