@@ -10,11 +10,12 @@ crosses the shuffle once per block.
 from __future__ import annotations
 
 import json
+import math
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,13 @@ from trovelake.llm.tables import block_of, corpus
 _ANSWER = "block int, words binary, sizes binary, ids binary"
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
 _ENCODE_ROWS = 8192
+#: Text bytes of a block on average; a task holds the distinct words of one block.
+_BLOCK_BYTES = 12 << 20
+
+
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
 
 
 class WordSplitter:
@@ -39,14 +47,8 @@ class WordSplitter:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        self.library = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None}))
-        #: Encodes words that are normalized already.
-        self.words = Tokenizer.from_str(json.dumps(spec | {"truncation": None, "padding": None, "normalizer": None}))
-        specials = [re.escape(t["content"]) for t in spec["added_tokens"]]
+        self.path = path
+        specials = [re.escape(t["content"]) for t in _spec(path)["added_tokens"]]
         self.special = re.compile("(" + "|".join(specials) + ")") if specials else None
         kinds: dict[str, str] = {"L": "", "N": ""}
         for c in map(chr, range(0x250)):
@@ -56,6 +58,20 @@ class WordSplitter:
         pattern = f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\\s{letters}{numbers}]+"
         self.find = re.compile(pattern).findall
 
+    def _tokenizer(self, **changes):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(json.dumps(_spec(self.path) | {"truncation": None, "padding": None} | changes))
+
+    @cached_property
+    def library(self):
+        return self._tokenizer()
+
+    @cached_property
+    def words(self):
+        """Encodes words that are normalized already."""
+        return self._tokenizer(normalizer=None)
+
     def __call__(self, text: str) -> list[str]:
         if self.special and self.special.search(text):
             out: list[str] = []
@@ -79,8 +95,7 @@ def splitter(path: str) -> WordSplitter:
 @lru_cache(maxsize=2)
 def _pieces(path: str) -> pa.Array:
     """Piece of each id; null where the vocabulary has none."""
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
+    spec = _spec(path)
     piece_of = {i: piece for piece, i in spec["model"]["vocab"].items()}
     piece_of |= {t["id"]: t["content"] for t in spec["added_tokens"]}
     return pa.array([piece_of.get(i) for i in range(max(piece_of, default=-1) + 1)], pa.string())
@@ -93,7 +108,7 @@ def encode(documents: DataFrame, tokenizer: str) -> DataFrame:
     repeated; other columns are not read; an empty table gives no rows.
     """
     docs = corpus(documents)
-    buckets = docs.blocks
+    buckets = max(docs.blocks, math.ceil(docs.text_bytes / _BLOCK_BYTES))
     id_type = to_arrow_type(documents.schema["doc_id"].dataType)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
