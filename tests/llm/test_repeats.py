@@ -5,9 +5,11 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from trovelake.llm import substring_dedup, suffix_dedup
+from trovelake.llm.repeats import Repeats
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -54,6 +56,27 @@ def test_words(spark, seed, size, anchor):
         assert (r.n_words, r.n_removed, r.kept) == (len(units), sum(gone), kept)
 
 
+def test_long_texts_in_parts(spark, monkeypatch):
+    """Texts cut for memory give the same result as whole ones."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join([*rng.choices("abcdefgh", k=150), passage, *rng.choices("abc", k=150)])) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for module, cut in ((substring_dedup, lambda t: WORD.findall(t.encode())), (suffix_dedup, lambda t: t.encode())):
+        size = 20 if module is substring_dedup else 100
+        wanted = [sum(g) for g in removed([cut(t) for _, t in rows], size)]
+        from trovelake.llm import grams, repeats
+
+        monkeypatch.setattr(repeats, "SEGMENT_UNITS", 130)
+        monkeypatch.setattr(grams, "CHUNK_BYTES", 64)
+        whole = Repeats(size, 6, "words" if size == 20 else "bytes", None)
+        batch = pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["key", "text"])
+        places = [c for b in whole._stretches(iter([batch])) for c in zip(*(x.to_pylist() for x in b.columns), strict=True)]
+        covered = sum(p & 255 for _, _, _, p, run in places if not run) + sum(run for *_, run in places)
+        assert covered == sum(max(0, len(cut(t)) - size + 1) for _, t in rows)
+        assert [r.n_removed for r in module.remove_repeats(df).orderBy("doc_id").collect()] == wanted
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 @pytest.mark.parametrize(("size", "anchor"), [(100, 16), (30, 8), (9, 9), (5, 2)])
 def test_bytes(spark, seed, size, anchor):

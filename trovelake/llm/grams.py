@@ -75,9 +75,9 @@ class Texts:
         self.data, self.offsets = data, offsets
 
     @classmethod
-    def chunks(cls, column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Texts]]:
+    def chunks(cls, column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int, Texts]]:
         """(first row, end row, texts) of runs of rows with about ``limit`` bytes."""
-        column = column.cast(pa.large_string())
+        column, limit = column.cast(pa.large_string()), limit or CHUNK_BYTES
         n = len(column)
         if not n:
             return
@@ -105,3 +105,16 @@ class Texts:
         edge[cut] = after[cut] = True
         starts, ends = np.flatnonzero(edge), np.flatnonzero(after)
         return starts, ends, np.searchsorted(starts, self.offsets)
+
+    def word_hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit hash of each word, and the number of the first word of each text (and the total)."""
+        starts, ends, first = self.words()
+        hashes = np.zeros(len(starts), _U)
+        low = 0
+        while low < len(starts):  # in parts, so that memory stays small for a long text
+            high = max(low + 1, int(np.searchsorted(ends, starts[low] + 2 * CHUNK_BYTES, "right")))
+            base = starts[low]
+            part = Rolling(BYTE_VALUES[self.data[base : ends[high - 1]]])
+            hashes[low:high] = part.of(starts[low:high] - base, ends[low:high] - base)
+            low = high
+        return hashes, first

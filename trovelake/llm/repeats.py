@@ -32,6 +32,9 @@ from trovelake.llm.grams import BYTE_VALUES, Rolling, Texts, mix, sliding_min
 from trovelake.llm.tables import Corpus, block_of, stored
 
 _U = np.uint64
+#: Units of one long text that are compared at once.  A stretch cut here differs from whole
+#: ones, so its windows are compared one by one; no window is lost.
+SEGMENT_UNITS = 1 << 21
 
 
 @dataclass
@@ -75,17 +78,24 @@ class Repeats:
         return runs.unionByName(border)
 
     def units(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit value of each unit, and the number of the first unit of each text (and the total)."""
+        """Each unit (a byte, or the hash of a word), and the number of the first one of each text (and the total)."""
         if self.unit == "bytes":
-            return BYTE_VALUES[texts.data], texts.offsets
-        starts, ends, first = texts.words()
-        return Rolling(BYTE_VALUES[texts.data]).of(starts, ends), first
+            return texts.data, texts.offsets
+        return texts.word_hashes()
 
     def _stretches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, found = batch.column(0).to_numpy(), []
             for low, high, texts in Texts.chunks(batch.column(1)):
-                found.append(self._chunk(keys[low:high], *self.units(texts)))
+                units, first = self.units(texts)
+                step = max(SEGMENT_UNITS, self.size)
+                if high - low > 1 or len(units) <= step:
+                    found.append(self._chunk(keys[low:high], units, first))
+                    continue
+                for at in range(0, len(units) - self.size + 1, step):  # a long text, window by window in one part
+                    part = units[at : at + step + self.size - 1]
+                    anchor, body, key, place = self._chunk(keys[low:high], part, np.array([0, len(part)]))
+                    found.append((anchor, body, key, place + (at << 16)))
             if found:
                 anchor, body, key, place = (np.concatenate(c) for c in zip(*found, strict=True))
                 order, again = _equals(anchor, body, key, place)
@@ -101,6 +111,7 @@ class Repeats:
 
     def _chunk(self, keys: np.ndarray, values: np.ndarray, first: np.ndarray) -> tuple:
         """The stretches of some texts: anchor, hash of the whole, key, place (start, lead, windows)."""
+        values = BYTE_VALUES[values] if self.unit == "bytes" else values
         n, size = len(values), self.size
         lengths = np.diff(first)
         if n < size:
@@ -134,7 +145,6 @@ class Repeats:
             own = batch.column(batch.schema.get_field_index("key")).to_numpy()
             for low, high, texts in Texts.chunks(batch.column(batch.schema.get_field_index("text"))):
                 values, first = self.units(texts)
-                values = texts.data if self.unit == "bytes" else values
                 left, right = np.searchsorted(key, own[low:high]), np.searchsorted(key, own[low:high], "right")
                 many = right - left
                 pick = np.arange(many.sum()) + np.repeat(left - (np.cumsum(many) - many), many)
