@@ -137,5 +137,12 @@ def test_retrieval_shuffles_local_winners_and_questions_only(spark, sample_index
     df = retrieve(sample_index, ask(spark, (1, "Какая ставка по кредиту?", None)))
     plan_text = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan_text and "NestedLoop" not in plan_text
-    # one exchange per search (its local winners) and one that partitions hits by question
-    assert plan_text.count("Exchange hashpartitioning") == 3
+    # the searches have run; what is left partitions their few hits by question
+    assert plan_text.count("Exchange hashpartitioning") == 1
+
+
+def test_one_question_fetches_the_texts_of_its_hits_only(spark, sample_index):
+    df = retrieve(sample_index, ask(spark, (1, "Какая ставка по кредиту?", None)))
+    scan = df._jdf.queryExecution().executedPlan().toString().split("FileScan parquet")[1]
+    assert "EqualTo(doc_pos" in scan.split("PushedFilters: ")[1].split("\n")[0]
+    assert "embedding" not in scan.split("ReadSchema: ")[1].split("\n")[0]

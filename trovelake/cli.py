@@ -24,7 +24,7 @@ from trovelake.plans.evaluate import (
 )
 from trovelake.plans.index import build_index, embed_chunks, open_index
 from trovelake.plans.answers import AnswerPipeline
-from trovelake.runtime import local_session
+from trovelake.runtime import local_session, ship_package
 from trovelake.operators.chunking import chunk_documents
 from trovelake.sources.documents import load_documents, load_questions, write_clean_documents
 from trovelake.sources.vector_store import VectorCollection
@@ -124,6 +124,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
 def main(argv: Sequence[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.getActiveSession() or local_session("trovelake")
+    ship_package(spark)
     result = run(spark, args)
     if args.command == "ask":
         print(result.pop("answer"))

@@ -11,6 +11,7 @@ pushdown), the partitioning, the final ranking and every retry.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 SCORE_DIGITS = 10
 HIT_SCHEMA = "qid bigint, variant int, doc_pos bigint, piece bigint, score double"
 _COLUMN_BLOCK = 128
+_PRUNED_DOCUMENTS = 64
 
 # Kernel: batch -> score(query indices, row indices or None for all) -> query x row matrix.
 Scores = Callable[[np.ndarray, "np.ndarray | None"], np.ndarray]
@@ -123,6 +125,22 @@ def _keep(pool: list[np.ndarray], k: int) -> list[np.ndarray]:
     return [column[order] for column in pool]
 
 
+def with_rows(corpus: DataFrame, hits: DataFrame, *columns: str) -> DataFrame:
+    """Join the hits of one counted query block with ``columns`` of their corpus rows.
+
+    The hits are computed once and come back as a local table: their number is bounded by
+    the block.  When they lie in few documents, the scan is told which, so that it skips
+    the row groups of all others.
+    """
+    table = hits.toArrow()
+    local = corpus.sparkSession.createDataFrame(table, hits.schema)
+    places = pc.unique(table.column("doc_pos")).to_pylist()
+    if len(places) <= _PRUNED_DOCUMENTS:  # equalities, as a long IN reaches Parquet as one range only
+        wanted = reduce(lambda a, b: a | b, (F.col("doc_pos") == p for p in places), F.lit(False))
+        corpus = corpus.where(wanted)
+    return corpus.select("doc_pos", "piece", *columns).join(F.broadcast(local), ["doc_pos", "piece"])
+
+
 def query_keys(table: pa.Table) -> np.ndarray:
     """(qid, variant) of a collected query block."""
     parts = [table.column(c).to_numpy().astype(np.int64) for c in ("qid", "variant")]

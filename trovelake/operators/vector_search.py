@@ -15,9 +15,10 @@ from trovelake.operators.block_search import (
     flat_lists,
     local_topk,
     query_keys,
+    with_rows,
 )
 from trovelake.operators.chunking import apply_filters
-from trovelake.runtime import per_block
+from trovelake.runtime import MAX_BLOCK_HITS, MAX_BLOCK_QUERIES, per_block
 
 
 def _matrix(lists: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -110,14 +111,12 @@ def mmr_topk(
         near = vector_topk(vectors, block, fetch_k, filters, query_filter, one_block=True)
         return _diversify(vectors, near, k, lambda_mult)
 
-    return search(queries) if one_block else per_block(queries, search)
+    rows = max(1, MAX_BLOCK_HITS // fetch_k)
+    return search(queries) if one_block else per_block(queries, search, max_rows=min(rows, MAX_BLOCK_QUERIES))
 
 
 def _diversify(vectors: DataFrame, near: DataFrame, k: int, lambda_mult: float) -> DataFrame:
-    # near holds fetch_k rows per query of one counted block, so it may be broadcast.
-    wide = vectors.select("doc_pos", "piece", "embedding").join(
-        F.broadcast(near), ["doc_pos", "piece"]
-    )
+    wide = with_rows(vectors, near, "embedding")
     wide = wide.withColumn("norm", l2_norm(F.col("embedding")))
     lists = wide.groupBy("qid", "variant").agg(
         F.sort_array(

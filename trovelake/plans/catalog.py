@@ -30,7 +30,14 @@ from trovelake.plans.evaluate import answer_proxies, compare_chunking, gold_rank
 from trovelake.plans.index import CorpusIndex, build_index, embed_chunks
 from trovelake.plans.answers import AnswerPipeline, answer_questions, first_requests, replay
 from trovelake.plans.retrieve import retrieve, search_variants
-from trovelake.runtime import per_block, scratch_dir, spread, unnest
+from trovelake.runtime import (
+    MAX_BLOCK_QUERIES,
+    MAX_BLOCK_TERMS,
+    per_block,
+    scratch_dir,
+    spread,
+    unnest,
+)
 from trovelake.sources.documents import (
     clean_documents,
     clean_questions,
@@ -439,10 +446,10 @@ def _plain_search(index, asked, mode, **options):
     """One variant per question, no inference: the bare search modes."""
 
     def run(block):
-        single = query.explode_variants(block, multi=False)
+        single = query.explode_variants(block.drop("tokens"), multi=False)
         return search_variants(index, single, mode=mode, **options)
 
-    return per_block(asked, run)
+    return per_block(asked.withColumn("tokens", tx.tokenize(F.col("query"))), run, weight="tokens")
 
 
 # --- BM25 ----------------------------------------------------------------------
@@ -520,10 +527,14 @@ def multi_query_merge(spark, sf_dir):
     index = corpus_index(spark, sf_dir)
 
     def run(block):
-        variants = query.explode_variants(block, RULES)
+        variants = query.explode_variants(block.drop("tokens"), RULES)
         return merge_variants(search_variants(index, variants))
 
-    merged = per_block(questions(spark, sf_dir), run)
+    weighed = questions(spark, sf_dir).withColumn("tokens", tx.tokenize(F.col("query")))
+    most = 1 + len(RULES)
+    merged = per_block(
+        weighed, run, weight="tokens", max_rows=MAX_BLOCK_QUERIES // most, max_weight=MAX_BLOCK_TERMS // most
+    )
     return merged.select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
 

@@ -7,23 +7,24 @@ from pyspark.sql import functions as F
 
 from trovelake import fixed_values as fv
 from trovelake.functions.text import citation, tokenize
+from trovelake.operators.block_search import with_rows
 from trovelake.operators.bm25 import bm25_topk
 from trovelake.operators.fusion import compress_text, hybrid_fusion, merge_variants, rerank
 from trovelake.operators.query import effective_product, explode_variants
 from trovelake.operators.vector_search import mmr_topk, vector_topk
 from trovelake.plans.index import CorpusIndex
-from trovelake.runtime import MAX_BLOCK_QUERIES, per_block
+from trovelake.runtime import MAX_BLOCK_HITS, MAX_BLOCK_QUERIES, MAX_BLOCK_TERMS, per_block
 
 CONTEXT_COLUMNS = ("chunk_id", "text", *fv.METADATA_COLUMNS)
 
 
 def attach_chunks(index: CorpusIndex, hits: DataFrame) -> DataFrame:
-    """Chunk text and metadata for ranked hits: the hits of a counted block are broadcast.
+    """Chunk text and metadata for the ranked hits of a counted block.
 
     The result is partitioned by question.  Every later group and window key contains
     qid, so fusion, merge and rerank all run without another shuffle.
     """
-    found = index.chunks.join(F.broadcast(hits), ["doc_pos", "piece"])
+    found = with_rows(index.chunks, hits, *CONTEXT_COLUMNS)
     columns = [c for c in hits.columns if c not in ("doc_pos", "piece")]
     return found.select(*columns, *CONTEXT_COLUMNS).repartition("qid")
 
@@ -111,6 +112,11 @@ def retrieve(
             cited.alias("citation"),
         )
 
+    rows = min(MAX_BLOCK_QUERIES, MAX_BLOCK_HITS // (4 * k)) // n_variants
     return per_block(
-        analysed, run, weight="query_tokens", max_rows=max(1, MAX_BLOCK_QUERIES // n_variants)
+        analysed,
+        run,
+        weight="query_tokens",
+        max_rows=max(1, rows),
+        max_weight=MAX_BLOCK_TERMS // n_variants,
     )

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 # doubles are 12 MB; 400k (query, term) rows are about 30 MB.
 MAX_BLOCK_QUERIES = 4096
 MAX_BLOCK_TERMS = 400_000
+# Hits of a block that are joined with their rows: about 10 MB.
+MAX_BLOCK_HITS = 160_000
 
 
 def local_session(app: str = "trovelake", cores: str = "*", **conf: str) -> SparkSession:
@@ -34,6 +38,19 @@ def local_session(app: str = "trovelake", cores: str = "*", **conf: str) -> Spar
     return builder.getOrCreate()
 
 
+_shipped: dict[str, str] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, however they were started."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        package = Path(__file__).resolve().parent
+        base = Path(tempfile.mkdtemp(prefix="trovelake-ship-")) / package.name
+        _shipped[application] = shutil.make_archive(str(base), "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(_shipped[application])
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder under the shared folder the cluster names in spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
