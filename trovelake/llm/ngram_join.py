@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trovelake.llm.components import components
-from trovelake.llm.grams import BYTE_VALUES, Rolling, Texts, mix
+from trovelake.llm.grams import Rolling, Texts, mix
 from trovelake.llm.tables import Corpus, block_of, corpus, stored
 
 WORDS = 5
@@ -59,10 +59,10 @@ class NgramSets:
     def of(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-gram hashes, sorted within each text, and the bounds of each text's set."""
         data = texts.data
-        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-        starts, ends, first = Texts(data, texts.offsets).words()
+        data = np.where((data >= 65) & (data <= 90), data | 32, data)
+        hashes, first = Texts(data, texts.offsets).word_hashes()
         count = np.diff(first)
-        grams = Rolling(Rolling(BYTE_VALUES[data]).of(starts, ends))
+        grams = Rolling(hashes)
         many = np.where(count >= self.words, count - self.words + 1, np.minimum(count, 1))
         text = np.repeat(np.arange(len(count)), many)
         begin = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many) + first[text]
@@ -298,7 +298,8 @@ class NgramJoin:
         band = F.floor(F.log("n") / F.lit(step) + F.lit(1e-9)).cast("int")
         prefix = known.where(length > 0).select(
             "key", F.explode(F.slice("grams", 1, length.cast("int"))).alias("g"), band.alias("band"))
-        met = prefix.select("key", "g.gram", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+        prefix = stored(prefix.select("key", "g.gram", "band"))  # read for the least keys and for the join
+        met = prefix.select("key", "gram", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
         first = met.groupBy("gram", "band").agg(F.min("key").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
         return met.join(first, ["gram", "band"]).where("key <> b").select(F.col("key").alias("a"), "b").distinct()
 
