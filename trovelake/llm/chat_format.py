@@ -148,8 +148,11 @@ def repair_roles(conversations: DataFrame, *, costs: Costs = Costs(), segment: i
     )
     key, kind = ["conv_id", "segment"], conversations.schema["conv_id"].dataType.simpleString()
 
+    # A fixed number: rows without texts are small, but repairing them isn't.
+    parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def ordered(df: DataFrame, *more: str) -> DataFrame:
-        return df.repartition(*key).sortWithinPartitions(*key, "turn", "role", *more)
+        return df.repartition(parts, *key).sortWithinPartitions(*key, "turn", "role", *more)
 
     def reduce(rows: pd.DataFrame) -> pd.DataFrame:
         total = automaton.product(rows["code"].tolist())
