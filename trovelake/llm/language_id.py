@@ -48,7 +48,7 @@ def _positions(lengths: np.ndarray) -> np.ndarray:
 
 def train(documents: DataFrame, *, order: int = ORDER, sample_docs: int = SAMPLE_DOCS,
           sample_bytes: int = SAMPLE_BYTES, max_languages: int = MAX_LANGUAGES) -> PartialMatching:
-    """Fit on rows with a text and a lang: a bounded sample per language, drawn by text hash.
+    """Fit on rows with a text and a lang: a bounded sample of texts per language, drawn by text hash.
 
     Rows with null text or lang and texts without letters don't count.  Without any usable
     row the model knows no language and predicts ``und``.
@@ -56,12 +56,17 @@ def train(documents: DataFrame, *, order: int = ORDER, sample_docs: int = SAMPLE
     usable = documents.where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= sample_bytes)
     ).select("lang", "text", F.xxhash64("text").alias("draw"))
-    languages = [
-        r.lang for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    ]
+    found = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("draw").alias("texts"))
+    found = found.orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    languages = [r.lang for r in found]
+    # Twice the wanted share of the hash range: few rows, and copies of a text combine in each task.
+    reach = F.lit(False)
+    for r in found:
+        last = int((min(1.0, 2 * sample_docs / max(r.texts, 1)) - 0.5) * 2.0**64)
+        reach |= (F.col("lang") == r.lang) & (F.col("draw") <= min(last, (1 << 63) - 1))
     drawn = Window.partitionBy("lang").orderBy("draw", "text")
     sample = (
-        usable.where(F.col("lang").isin(languages) if languages else F.lit(False))
+        usable.where(reach).groupBy("lang", "draw").agg(F.min("text").alias("text"))
         .withColumn("_rank", F.row_number().over(drawn)).where(F.col("_rank") <= sample_docs)
     )
 
@@ -147,8 +152,11 @@ class PartialMatching:
                 self._tables.append((names, child, costs, escapes))
         return self._tables
 
-    def code_lengths(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Bits of each text (laid end to end in ``data``) in each language."""
+    def code_lengths(self, data: np.ndarray, lengths: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """Bits of each text (laid end to end in ``data``) in each language.
+
+        The first ``known`` bytes of a text are context only and cost nothing.
+        """
         size, texts = len(self.languages), len(lengths)
         bits = np.zeros((texts, size))
         if not len(data):
@@ -167,8 +175,10 @@ class PartialMatching:
             rows = child[node, data]
             fallen = np.flatnonzero(rows < 0)
             below[fallen] += escapes[node[fallen]]
-            known = np.flatnonzero(rows >= 0)
-            below[known] = costs[rows[known]]
+            seen = np.flatnonzero(rows >= 0)
+            below[seen] = costs[rows[seen]]
+        if known is not None:
+            below[inside < known[owner]] = 0
         for lang in range(size):
             bits[:, lang] = np.bincount(owner, weights=below[:, lang], minlength=texts)
         return bits
@@ -198,7 +208,12 @@ def predict(documents: DataFrame, model: PartialMatching) -> DataFrame:
                 size += len(raw[high])
                 high += 1
             lengths = np.array([len(r) for r in raw[low:high]])
-            bits = trees.code_lengths(np.frombuffer(b"".join(raw[low:high]), np.uint8), lengths)
+            bits = np.zeros((high - low, len(trees.languages)))
+            for start in range(0, int(lengths.max()) or 1, _CHUNK):  # more than once for a long text alone
+                back = min(start, trees.order)
+                parts = [r[start - back : start + _CHUNK] for r in raw[low:high]]
+                own = np.array([len(p) for p in parts])
+                bits += trees.code_lengths(np.frombuffer(b"".join(parts), np.uint8), own, np.full(len(own), back))
             each = bits / np.maximum(lengths, 1)[:, None]
             at = each.argmin(axis=1)
             least = each[np.arange(len(at)), at]
