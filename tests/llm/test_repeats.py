@@ -71,7 +71,7 @@ def test_long_texts_in_parts(spark, monkeypatch):
         monkeypatch.setattr(grams, "CHUNK_BYTES", 64)
         whole = Repeats(size, 6, "words" if size == 20 else "bytes", None)
         batch = pa.record_batch([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["key", "text"])
-        places = [c for b in whole._stretches(iter([batch])) for c in zip(*(x.to_pylist() for x in b.columns), strict=True)]
+        places = [c for b in whole._stretches(iter([batch]), bytes(1 << 17)) for c in zip(*(x.to_pylist() for x in b.columns), strict=True)]
         covered = sum(p & 255 for _, _, _, p, run in places if not run) + sum(run for *_, run in places)
         assert covered == sum(max(0, len(cut(t)) - size + 1) for _, t in rows)
         assert [r.n_removed for r in module.remove_repeats(df).orderBy("doc_id").collect()] == wanted

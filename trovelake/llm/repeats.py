@@ -5,9 +5,11 @@ one text.  A window is repeated if its units also begin at an earlier place (sma
 or same key and earlier start).
 
 Winnowing gives each window one anchor: of its seeds (``seed`` consecutive units) the one
-with the least hash, the leftmost of equals.  Equal windows have equal anchors at the same
-place, so windows need comparison only where anchors are equal.  Windows in a row with one
-anchor form a stretch:
+that comes first in an order that is the same everywhere, the leftmost of equals.  The order
+puts very common seeds last, then goes by hash.  Equal windows have equal anchors at the same
+place, so windows need comparison only where anchors are equal.  A window at the border of a
+passage that very many texts share is anchored outside the passage, so a common seed anchors
+only windows inside it, which are equal.  Windows in a row with one anchor form a stretch:
 
 1. Stretches that are equal as a whole go to one task, where all but the first are repeated.
    Equal stretches of one batch are settled there, so a passage of many copies crosses the
@@ -34,7 +36,10 @@ from trovelake.llm.tables import Corpus, block_of, stored
 _U = np.uint64
 #: Units of one long text that are compared at once.  A stretch cut here differs from whole
 #: ones, so its windows are compared one by one; no window is lost.
-SEGMENT_UNITS = 1 << 21
+SEGMENT_UNITS = 1 << 20
+#: Cells in which seeds are counted to find the common ones.
+SEED_BITS = 20
+SEED_CELLS = 1 << SEED_BITS
 
 
 @dataclass
@@ -63,9 +68,9 @@ class Repeats:
         """Runs of repeated windows: key, start, run (windows in a row); runs may touch or overlap."""
         if not 0 < self.seed <= self.size <= self.seed + 254:
             raise ValueError("seed must be shorter than the window, by at most 254 units")
-        parts = docs.blocks
+        parts, common = docs.blocks, self._common_seeds(docs)
         settled = stored(
-            docs.docs.select("key", "text").mapInArrow(self._stretches, _STRETCHES)
+            docs.docs.select("key", "text").mapInArrow(lambda it: self._stretches(it, common), _STRETCHES)
             .repartition(parts, "anchor").mapInArrow(_settle, _SETTLED)
         )
         runs = settled.where("run > 0").select("key", "start", "run")
@@ -83,18 +88,49 @@ class Repeats:
             return texts.data, texts.offsets
         return texts.word_hashes()
 
-    def _stretches(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def _common_seeds(self, docs: Corpus) -> bytes:
+        """One bit for each of a fixed number of cells of the seed hash: is it far above the mean?
+
+        Every seed of the corpus counts.  A task reports the cells that stand out in it, so the
+        counts are low estimates; they decide the order of seeds only, never a result.
+        """
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells = np.zeros(SEED_CELLS, np.int64)
+            for batch in batches:
+                for _, _, texts in Texts.chunks(batch.column(0)):
+                    units, _ = self.units(texts)
+                    for at in range(0, len(units), SEGMENT_UNITS):
+                        seeds = self._seeds(units[at : at + SEGMENT_UNITS + self.seed - 1])
+                        cells += np.bincount(_cell(seeds), minlength=SEED_CELLS)
+            total = int(cells.sum())
+            found = np.flatnonzero(cells >= max(32, total >> 16))  # so few cells, whatever the task's size
+            yield _batch(cell=np.r_[found, -1], n=np.r_[cells[found], total])
+
+        counts = docs.docs.select("text").mapInArrow(count, "cell long, n long")
+        table = counts.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # a row for each cell at most
+        cell, n = table.column("cell").to_numpy(), table.column("n").to_numpy()
+        common = np.zeros(SEED_CELLS, bool)
+        common[cell[(cell >= 0) & (n >= 8 * n[cell < 0].sum() // SEED_CELLS)]] = True
+        return np.packbits(common).tobytes()
+
+    def _seeds(self, units: np.ndarray) -> np.ndarray:
+        values = BYTE_VALUES[units] if self.unit == "bytes" else units
+        return Rolling(values).windows(self.seed)
+
+    def _stretches(self, batches: Iterator[pa.RecordBatch], common: bytes) -> Iterator[pa.RecordBatch]:
+        last = np.unpackbits(np.frombuffer(common, np.uint8)).astype(_U) << _U(63)
         for batch in batches:
             keys, found = batch.column(0).to_numpy(), []
             for low, high, texts in Texts.chunks(batch.column(1)):
                 units, first = self.units(texts)
                 step = max(SEGMENT_UNITS, self.size)
                 if high - low > 1 or len(units) <= step:
-                    found.append(self._chunk(keys[low:high], units, first))
+                    found.append(self._chunk(keys[low:high], units, first, last))
                     continue
                 for at in range(0, len(units) - self.size + 1, step):  # a long text, window by window in one part
                     part = units[at : at + step + self.size - 1]
-                    anchor, body, key, place = self._chunk(keys[low:high], part, np.array([0, len(part)]))
+                    anchor, body, key, place = self._chunk(keys[low:high], part, np.array([0, len(part)]), last)
                     found.append((anchor, body, key, place + (at << 16)))
             if found:
                 anchor, body, key, place = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -109,7 +145,7 @@ class Repeats:
                     run=np.r_[np.zeros(len(first), "i8"), run[2]],
                 )
 
-    def _chunk(self, keys: np.ndarray, values: np.ndarray, first: np.ndarray) -> tuple:
+    def _chunk(self, keys: np.ndarray, values: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple:
         """The stretches of some texts: anchor, hash of the whole, key, place (start, lead, windows)."""
         values = BYTE_VALUES[values] if self.unit == "bytes" else values
         n, size = len(values), self.size
@@ -118,7 +154,8 @@ class Repeats:
             return tuple(np.zeros(0, t) for t in (_U, _U, np.int64, np.int64))
         rolling = Rolling(values)
         seeds = rolling.windows(self.seed)
-        ranked = (seeds & _U(0xFFFFFFFF00000000)) | np.arange(len(seeds), dtype=_U)
+        ranked = (seeds >> _U(1)) & _U(0x7FFFFFFF00000000) | np.arange(len(seeds), dtype=_U)
+        ranked |= last[_cell(seeds)]
         owner = (sliding_min(ranked, size - self.seed + 1) & _U(0xFFFFFFFF)).astype(np.int64)
         room = np.maximum(lengths - size + 1, 0)  # windows of each text
         text = np.repeat(np.arange(len(lengths)), room)
@@ -182,7 +219,7 @@ class Repeats:
 
 
 #: Units that are compared at once; the stretches of one anchor stay together.
-_RESOLVE_UNITS = 1 << 20
+_RESOLVE_UNITS = 1 << 19
 
 
 def _by_anchor(anchor: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
@@ -198,6 +235,10 @@ def _by_anchor(anchor: np.ndarray, length: np.ndarray) -> Iterator[np.ndarray]:
         low = high
 
 
+def _cell(seeds: np.ndarray) -> np.ndarray:
+    return (seeds >> _U(64 - SEED_BITS)).astype(np.int64)
+
+
 def _range(column: pa.Array, width: int) -> slice:
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     return slice(offsets[0] // width, offsets[-1] // width)
