@@ -12,7 +12,7 @@ from trovelake.operators.chunking import (
     sliding_windows,
     split_text,
 )
-from trovelake.operators.separator_split import split_by_separators
+from trovelake.operators.separator_split import separator_pieces
 
 
 def windows(spark, text, size, overlap):
@@ -87,16 +87,32 @@ def test_metadata_map(sample):
     assert set(row.m) == set(fv.METADATA_COLUMNS)
 
 
-def test_separator_splitter_keeps_everything():
+def separated(spark, text, separators, size, overlap):
+    df = spark.createDataFrame([(text,)], "t string")
+    return df.select(separator_pieces(F.col("t"), separators, size, overlap)).first()[0]
+
+
+def test_separator_splitter_keeps_everything(spark):
     text = "Первое предложение. Второе предложение! Третье; четвертое, пятое.\n\nНовый абзац " + "x" * 90
     for name, separators in fv.SPLIT_SEPARATORS.items():
         for overlap in (0, 10):
-            pieces = split_by_separators(text, separators, 40, overlap)
-            assert all(len(p) <= 40 for p in pieces), name
+            pieces = separated(spark, text, separators, 40, overlap)
+            assert all(0 < len(p) <= 40 for p in pieces), name
             assert "".join(pieces).count("x") >= 90
             assert all(word in " ".join(pieces) for word in ("Первое", "Второе", "Третье", "пятое", "абзац"))
 
 
+def test_separator_splitter_by_hand(spark):
+    split = lambda t, n, o, s=(". ", " ", ""): separated(spark, t, s, n, o)
+    assert split("aa bb cc", 100, 0) == ["aa bb cc"]
+    assert split("aa bb cc", 5, 0) == ["aa bb", "cc"]
+    assert split("aa bb cc", 6, 3) == ["aa bb", "bb cc"]  # the tail " bb" is kept
+    assert split("one. two words. x", 8, 0) == ["one", ". two", "words", ". x"]  # the long part is cut at spaces
+    assert split("abcdef", 3, 1) == ["abc", "cde", "ef"]
+    assert split("abc de", 3, 0) == ["abc", "de"]  # a part of exactly the size is cut to letters and merged again
+    assert split("", 5, 0) == [] and split(None, 5, 0) == [] and split("  \n ", 5, 0) == []
+
+
 def test_separator_splitter_as_a_column(sample):
     rows = chunk_documents(sample, "recursive", 120, 20, splitter="separators").collect()
     assert rows and all(0 < len(r.text) <= 120 for r in rows)

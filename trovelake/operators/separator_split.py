@@ -1,61 +1,128 @@
-"""Separator-based splitting: an alternative to character windows.
+"""Separator-based splitting: an alternative to character windows, as column expressions.
 
-Text is cut at the coarsest separator it contains, pieces still too long are cut at finer
-ones, and neighbours are merged up to the chunk size with a tail kept as overlap.  The
-recursion depends on each text, which SQL expressions cannot state, so it is an Arrow UDF
-over whole texts; chunks of one text depend on that text alone.
+Text is cut at the coarsest separator it contains, parts that are too long are cut at finer
+ones, and neighbours are merged up to the chunk size with a tail kept as overlap.
+
+The descent is a fold over the separators, coarsest first.  Its state is the list of parts
+in reading order; a part is *settled* once it is shorter than the chunk size, and one that is
+not is replaced by its own parts at the first separator it contains.  Settled neighbours that
+were cut from one text are a run; merging is a second fold, over the parts.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trovelake.functions.text import let, strip
+
+_STATE = (
+    "struct<chunks:array<string>,window:array<struct<text:string,n:int>>,total:int,run:bigint>"
+)
 
-def _cut(text: str, separator: str) -> list[str]:
-    """Parts of the text, each later part keeping the separator in front."""
+
+def _cut(text: Column, separator: str) -> Column:
+    """Non-empty parts of the text, each later part keeping the separator in front."""
     if not separator:
-        return list(text)
-    first, *rest = text.split(separator)
-    return [p for p in (first, *(separator + r for r in rest)) if p]
-
-
-def _merge(parts: list[str], size: int, overlap: int) -> list[str]:
-    """Join neighbours while they fit; the next chunk starts with up to ``overlap`` characters."""
-    chunks: list[str] = []
-    window: list[str] = []
-    total = 0
-    for part in parts:
-        if window and total + len(part) > size:
-            chunks.append("".join(window).strip())
-            while window and (total > overlap or total + len(part) > size):
-                total -= len(window.pop(0))
-        window.append(part)
-        total += len(part)
-    chunks.append("".join(window).strip())
-    return [c for c in chunks if c]
-
-
-def split_by_separators(text: str, separators: tuple[str, ...], size: int, overlap: int) -> list[str]:
-    level = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
-    finer = separators[level + 1 :]
-    chunks: list[str] = []
-    short: list[str] = []
-    for part in _cut(text, separators[level]):
-        if len(part) <= size:
-            short.append(part)
-            continue
-        chunks += _merge(short, size, overlap) if short else []
-        short = []
-        chunks += split_by_separators(part, finer, size, overlap) if finer else [part.strip()]
-    return chunks + (_merge(short, size, overlap) if short else [])
+        return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    quoted = re.sub(r"([^\w\s])", r"\\\1", separator)
+    parts = F.transform(
+        F.split(text, quoted, -1), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(separator), p))
+    )
+    return F.filter(parts, lambda p: p != "")
+
+
+def _part(text: Column, run: Column, size: int) -> Column:
+    n = F.length(text)
+    return F.struct(
+        text.alias("text"), n.alias("n"), run.cast("bigint").alias("run"), (n < size).alias("settled")
+    )
+
+
+def _parts(text: Column, separators: tuple[str, ...], size: int) -> Column:
+    """The fold over the separators: (text, n, run, settled) in reading order."""
+    start = F.struct(
+        text.alias("text"), F.length(text).alias("n"), F.lit(0).cast("bigint").alias("run"),
+        F.lit(False).alias("settled"),
+    )
+    parts = F.array(start)
+    for level, separator in enumerate(separators, 1):
+        cut_all = _descent(level << 32, separator, size, level == len(separators))
+        parts = let(parts, cut_all)
+    return parts
+
+
+def _descent(base: int, separator: str, size: int, last: bool) -> Callable[[Column], Column]:
+    """Replace each part that isn't settled and contains the separator by its own parts."""
+
+    def step(part: Column, i: Column) -> Column:
+        run = F.lit(base) + i
+        pieces = F.transform(_cut(part["text"], separator), lambda p: _part(p, run, size))
+        here = F.lit(True) if last or not separator else F.contains(part["text"], F.lit(separator))
+        return F.when(~part["settled"] & here, pieces).otherwise(F.array(part))
+
+    return lambda parts: F.flatten(F.transform(parts, step))
+
+
+def _joined(window: Column) -> Column:
+    return F.filter(
+        F.array(strip(F.array_join(F.transform(window, lambda w: w["text"]), ""))), lambda c: c != ""
+    )
+
+
+def _tail(window: Column, most: Column) -> Column:
+    """The longest tail of the window with at most ``most`` characters."""
+    none = F.array().cast("array<struct<text:string,n:int>>")
+    start = F.struct(none.alias("kept"), F.lit(0).alias("total"), F.lit(True).alias("open"))
+
+    def step(state: Column, part: Column) -> Column:
+        fits = state["open"] & (state["total"] + part["n"] <= most)
+        return F.struct(
+            F.when(fits, F.concat(F.array(part), state["kept"])).otherwise(state["kept"]).alias("kept"),
+            F.when(fits, state["total"] + part["n"]).otherwise(state["total"]).alias("total"),
+            fits.alias("open"),
+        )
+
+    return F.aggregate(F.reverse(window), start, step)
+
+
+def _merged(parts: Column, size: int, overlap: int) -> Column:
+    none = F.array().cast("array<struct<text:string,n:int>>")
+    start = F.struct(
+        F.array().cast("array<string>").alias("chunks"), none.alias("window"), F.lit(0).alias("total"),
+        F.lit(-1).cast("bigint").alias("run"),
+    ).cast(_STATE)
+
+    def state(chunks: Column, window: Column, total: Column, run: Column) -> Column:
+        return F.struct(chunks.alias("chunks"), window.alias("window"), total.alias("total"), run.alias("run")).cast(_STATE)
+
+    def step(s: Column, part: Column) -> Column:
+        own = F.array(F.struct(part["text"].alias("text"), part["n"].alias("n")))
+        flushed = F.concat(s["chunks"], _joined(s["window"]))
+        alone = state(F.concat(flushed, _joined(own)), none, F.lit(0), F.lit(-1))
+        first = state(flushed, own, part["n"], part["run"])
+        more = state(s["chunks"], F.concat(s["window"], own), s["total"] + part["n"], s["run"])
+        most = F.least(F.lit(overlap), F.lit(size) - part["n"])
+        full = let(
+            _tail(s["window"], most),
+            lambda t: state(flushed, F.concat(t["kept"], own), t["total"] + part["n"], s["run"]),
+        )
+        return (
+            F.when(~part["settled"], alone)
+            .when(s["run"] != part["run"], first)
+            .when(s["total"] + part["n"] > size, full)
+            .otherwise(more)
+        )
+
+    return F.aggregate(parts, start, step, lambda s: F.concat(s["chunks"], _joined(s["window"])))
 
 
 def separator_pieces(text: Column, separators: tuple[str, ...], size: int, overlap: int) -> Column:
-    @F.arrow_udf("array<string>")
-    def split(texts: pa.Array) -> pa.Array:
-        pieces = [split_by_separators(t or "", separators, size, overlap) for t in texts.to_pylist()]
-        return pa.array(pieces, pa.list_(pa.string()))
+    """Stripped, non-empty chunks of a text; null and empty text give none.
 
-    return split(text)
+    A part of exactly ``size`` characters is cut further where a finer separator allows.
+    """
+    return let(_parts(F.coalesce(text, F.lit("")), separators, size), lambda p: _merged(p, size, overlap))

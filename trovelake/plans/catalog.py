@@ -300,13 +300,13 @@ def citation_extraction(spark, sf_dir):
 # --- chunking ------------------------------------------------------------------
 
 
-def _chunks(spark, sf_dir, strategy):
-    return chunking.chunk_documents(documents(spark, sf_dir), strategy)
+def _chunks(spark, sf_dir, strategy, splitter="window"):
+    return chunking.chunk_documents(documents(spark, sf_dir), strategy, splitter=splitter)
 
 
-def _chunk_rows(strategy):
+def _chunk_rows(strategy, splitter="window"):
     def run(spark, sf_dir):
-        return _chunks(spark, sf_dir, strategy).select(
+        return _chunks(spark, sf_dir, strategy, splitter).select(
             "chunk_id",
             "title",
             "product_type",
@@ -723,6 +723,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunk_size": _chunk_rows("size"),
     "chunk_sentence": _chunk_rows("sentence"),
     "chunk_recursive": _chunk_rows("recursive"),
+    "chunk_separators_size": _chunk_rows("size", "separators"),
+    "chunk_separators_sentence": _chunk_rows("sentence", "separators"),
+    "chunk_separators_recursive": _chunk_rows("recursive", "separators"),
     "chunk_stats": chunk_stats,
     "metadata_filter": metadata_filter,
     "vector_topk": vector_similarity_topk,

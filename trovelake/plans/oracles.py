@@ -101,6 +101,62 @@ for _name, _text in (
   SELECT doc_pos, row_number() OVER (PARTITION BY doc_pos ORDER BY nth) - 1 AS piece,
          doc_id, title, product_type, source, '{HEADING}' AS section, text
   FROM cut_{_name} WHERE text <> ''"""
+
+
+def _cut_at(separator: str) -> str:
+    if not separator:
+        return "regexp_extract_all(p.text, '(?s).')"
+    parts = f"string_split(p.text, {text(separator)})"
+    joined = f"list_transform({parts}, lambda q, j: CASE WHEN j = 1 THEN q ELSE {text(separator)} || q END)"
+    return f"list_filter({joined}, lambda q: q <> '')"
+
+
+def _separator_ctes(strategy: str, size: int, overlap: int) -> None:
+    """Splitting at separators as two list folds: over the separators, then over the parts."""
+    separators = fv.SPLIT_SEPARATORS[strategy]
+    CTES[f"parts_{strategy}_0"] = f"""
+  SELECT * EXCLUDE (body), [{{'text': {_SECTION}, 'run': CAST(0 AS BIGINT), 'settled': FALSE}}] AS parts FROM docs"""
+    for level, separator in enumerate(separators, 1):
+        here = "TRUE" if level == len(separators) or not separator else f"contains(p.text, {text(separator)})"
+        part = f"{{'text': q, 'run': CAST({level << 32} + i AS BIGINT), 'settled': length(q) < {size}}}"
+        CTES[f"parts_{strategy}_{level}"] = f"""
+  SELECT * REPLACE (flatten(list_transform(parts, lambda p, i: CASE WHEN NOT p.settled AND {here}
+      THEN list_transform({_cut_at(separator)}, lambda q: {part}) ELSE [p] END)) AS parts)
+  FROM parts_{strategy}_{level - 1}"""
+
+    def flushed(window: str) -> str:
+        whole = trim(f"array_to_string({window}, '')")
+        return f"list_filter([{whole}], lambda c: c <> '')"
+
+    def length_from(j: str) -> str:
+        return f"length(array_to_string(st.win[{j}:], ''))"
+
+    done = f"list_concat(st.chunks, {flushed('st.win')})"
+    start = f"list_filter(range(1, len(st.win) + 2), lambda j: {length_from('j')} <= least({overlap}, {size} - e.total))[1]"
+    CTES[f"merged_{strategy}"] = f"""
+  SELECT * EXCLUDE (parts), list_reduce(
+    list_transform(parts, lambda p: {{'chunks': CAST([] AS VARCHAR[]), 'win': [p.text], 'total': length(p.text),
+                                      'run': p.run, 'settled': p.settled}}),
+    lambda st, e: CASE
+      WHEN NOT e.settled THEN {{'chunks': list_concat({done}, {flushed('e.win')}), 'win': CAST([] AS VARCHAR[]),
+                                'total': CAST(0 AS BIGINT), 'run': CAST(-1 AS BIGINT), 'settled': TRUE}}
+      WHEN st.run <> e.run THEN {{'chunks': {done}, 'win': e.win, 'total': e.total, 'run': e.run, 'settled': TRUE}}
+      WHEN st.total + e.total > {size} THEN {{
+        'chunks': {done}, 'win': list_concat(st.win[{start}:], e.win),
+        'total': {length_from(start)} + e.total, 'run': e.run, 'settled': TRUE}}
+      ELSE {{'chunks': st.chunks, 'win': list_concat(st.win, e.win), 'total': st.total + e.total,
+             'run': e.run, 'settled': TRUE}} END,
+    {{'chunks': CAST([] AS VARCHAR[]), 'win': CAST([] AS VARCHAR[]), 'total': CAST(0 AS BIGINT),
+      'run': CAST(-1 AS BIGINT), 'settled': TRUE}}) AS st
+  FROM parts_{strategy}_{len(separators)}"""
+    CTES[f"separated_{strategy}"] = f"""
+  SELECT doc_pos, doc_id, title, product_type, source, '{HEADING}' AS section, piece - 1 AS piece, {clean('chunk')} AS text
+  FROM (SELECT *, unnest(chunks) AS chunk, unnest(range(1, len(chunks) + 1)) AS piece
+        FROM (SELECT *, list_concat(st.chunks, {flushed('st.win')}) AS chunks FROM merged_{strategy}))"""
+
+
+for _name in fv.CHUNK_STRATEGIES:
+    _separator_ctes(_name, SIZE, fv.CHUNK_OVERLAP)
 CTES["chunks"] = """
   SELECT *, doc_id || ':' || section || ':recursive:' || piece AS chunk_id,
          source || ' / ' || section AS citation FROM chunks_recursive"""
@@ -392,7 +448,7 @@ def _chunk_sql(strategy: str, base: str) -> str:
     return f"""
   SELECT doc_id || ':' || section || ':{strategy}:' || piece AS chunk_id, title, product_type, source,
          section, '{strategy}' AS chunk_strategy, CAST(piece AS VARCHAR) AS chunk_index,
-         length(text) AS n_chars, md5(text) AS text_md5 FROM chunks_{base}"""
+         length(text) AS n_chars, md5(text) AS text_md5 FROM {base}"""
 
 
 def _hit_sql(cte: str) -> str:
@@ -461,9 +517,12 @@ FINAL: dict[str, str] = {
     "citation_extraction": f"""
   SELECT doc_id, array_to_string(regexp_extract_all(
     text || ' [' || source || ' / body] [' || lang || '] [', '{fv.CITATION_PATTERN}', 1), '|') AS citations FROM documents""",
-    "chunk_size": _chunk_sql("size", "recursive"),
-    "chunk_sentence": _chunk_sql("sentence", "sentence"),
-    "chunk_recursive": _chunk_sql("recursive", "recursive"),
+    "chunk_size": _chunk_sql("size", "chunks_recursive"),
+    "chunk_sentence": _chunk_sql("sentence", "chunks_sentence"),
+    "chunk_recursive": _chunk_sql("recursive", "chunks_recursive"),
+    "chunk_separators_size": _chunk_sql("size", "separated_size"),
+    "chunk_separators_sentence": _chunk_sql("sentence", "separated_sentence"),
+    "chunk_separators_recursive": _chunk_sql("recursive", "separated_recursive"),
     "chunk_stats": """
   SELECT s AS chunk_strategy, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS chars, max(length(text)) AS longest
   FROM (SELECT 'size' AS s, text FROM chunks_recursive UNION ALL SELECT 'recursive', text FROM chunks_recursive
