@@ -30,15 +30,13 @@ _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
 @lru_cache(maxsize=2)
-def _encoders(path: str):
-    """The tokenizer file as a library tokenizer, and as byte-pair ranks of the same ids.
+def _ranks(path: str):
+    """The tokenizer file as byte-pair ranks, which give the same ids several times faster.
 
-    The rank encoder gives the same ids several times faster.  It takes texts of common
-    Latin characters only, where no two Unicode versions disagree; other texts go to the
-    library itself.
+    Only texts of common Latin characters go this way, where no two Unicode versions
+    disagree; other texts go to the library itself.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as file:
         model = json.load(file)
@@ -55,18 +53,25 @@ def _encoders(path: str):
         r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     )
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    return fast
+
+
+@lru_cache(maxsize=2)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    return fast, library
+    return library
 
 
 def encode_texts(texts: list[str], path: str) -> Iterator[np.ndarray]:
     """Token ids of each text as the tokenizers library gives them, without special tokens added."""
-    fast, library = _encoders(path)
+    fast = _ranks(path)
     for text in texts:
         if _UNUSUAL.search(text):
-            ids = library.encode(text, add_special_tokens=False).ids
+            ids = _library(path).encode(text, add_special_tokens=False).ids
             yield np.asarray(ids, dtype="<u4")
         else:
             yield fast.encode_to_numpy(text, allowed_special="all")
@@ -167,23 +172,23 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 def pack(pieces: DataFrame, *, window: int = WINDOW, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Give each piece (``length`` from 1 to ``window``) a ``sequence_id`` and an ``offset`` in it.
 
-    All other columns pass through.  Rows are packed as they are, repeated ones too; an
+    All other columns pass through, beside the packing itself, which sees lengths only (columns
+    of the two new names are replaced).  Rows are packed as they are, repeated ones too; an
     empty table gives an empty one; a null length or one outside the window is an error.
     """
-    spark = pieces.sparkSession
-    table = stored(pieces)
+    table = stored(pieces.drop("sequence_id", "offset").withColumn("_piece", F.monotonically_increasing_id()))
     shards = max(1, math.ceil(table.count() / shard_pieces))
-    table = table.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    out = spark.createDataFrame([], pieces.schema).schema.add("sequence_id", "long").add("offset", "long")
+    shard = F.pmod(F.xxhash64("_piece"), F.lit(shards)).alias("_shard")
 
     def place(group: pa.Table) -> pa.Table:
-        group = group.sort_by([(c, "ascending") for c in ("length", "doc_id", "start") if c in group.column_names])
+        group = group.sort_by("_piece")
         lengths = group.column("length").to_numpy()
         if len(lengths) and not 1 <= lengths.min() <= lengths.max() <= window:
             raise ValueError("a piece must have from 1 to window tokens")
         sequence, offset = best_fit_decreasing(lengths, window)
         ids = (group.column("_shard").to_numpy() << 32) + sequence
-        group = group.drop_columns(["_shard"])
-        return group.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
+        return pa.table({"_piece": group.column("_piece"), "sequence_id": pa.array(ids), "offset": pa.array(offset)})
 
-    return table.groupBy("_shard").applyInArrow(place, out)
+    narrow = table.select("_piece", shard, F.col("length").cast("long").alias("length"))
+    places = narrow.groupBy("_shard").applyInArrow(place, "_piece long, sequence_id long, offset long")
+    return table.join(places, "_piece").drop("_piece")
