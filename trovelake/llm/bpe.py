@@ -19,11 +19,10 @@ from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StringType, StructField, StructType
 
 from trovelake.llm.tables import block_of, corpus
 
@@ -93,12 +92,12 @@ def splitter(path: str) -> WordSplitter:
 
 
 @lru_cache(maxsize=2)
-def _pieces(path: str) -> pa.Array:
+def _pieces(path: str) -> list[str | None]:
     """Piece of each id; null where the vocabulary has none."""
     spec = _spec(path)
     piece_of = {i: piece for piece, i in spec["model"]["vocab"].items()}
     piece_of |= {t["id"]: t["content"] for t in spec["added_tokens"]}
-    return pa.array([piece_of.get(i) for i in range(max(piece_of, default=-1) + 1)], pa.string())
+    return [piece_of.get(i) for i in range(max(piece_of, default=-1) + 1)]
 
 
 def encode(documents: DataFrame, tokenizer: str) -> DataFrame:
@@ -214,28 +213,11 @@ def _unpacked(data: bytes) -> np.ndarray:
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """Add ``decoded``: the pieces of ``ids``, special tokens too, joined by one space.
 
-    Ids meet their pieces in a join with the vocabulary, which the tokenizer file bounds and
-    each task holds as one column.  Null ids give an empty text; ids outside the vocabulary
-    and null ones are left out.  A column ``decoded`` of the input is replaced.
+    Ids meet their pieces in a join with the vocabulary, which the tokenizer file bounds: one
+    row that holds it as an array, by position.  Null ids give an empty text; ids outside the
+    vocabulary and null ones are left out.  A column ``decoded`` of the input is replaced.
     """
-    encoded = encoded.drop("decoded")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(tokenizer)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                lists = part.column(part.schema.get_field_index("ids"))
-                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
-                ids = lists.flatten()
-                known = pc.fill_null(pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(pieces))), False)
-                found = pieces.take(pc.if_else(known, ids, None))
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                valid = found.is_valid().to_numpy(zero_copy_only=False)
-                offsets = np.r_[0, np.cumsum(np.bincount(owner[valid], minlength=len(sizes)))]
-                texts = pc.binary_join(
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found.drop_null()), " ")
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "decoded"])
-
-    return encoded.mapInArrow(join, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
-
+    vocabulary = encoded.sparkSession.createDataFrame([(_pieces(tokenizer),)], "pieces array<string>")
+    rows = encoded.drop("decoded").withColumn("_pieces", vocabulary.scalar())
+    found = F.transform("ids", lambda i: F.get("_pieces", i))
+    return rows.withColumn("decoded", F.coalesce(F.array_join(found, " "), F.lit(""))).drop("_pieces")
