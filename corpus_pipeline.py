@@ -16,9 +16,13 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose text has a language; null texts and texts without a letter go.
 
     The trees are fitted on the documents' own language tags, which are no input of a prediction.
+    Where no text has a tag, no language can be told apart and every text with a letter stays.
     """
-    scored = language_id.predict(docs, language_id.train(docs))
-    return scored.where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    model = language_id.train(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    scored = language_id.predict(docs, model)
+    return scored.where(F.col("bits_per_byte").isNotNull()).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -298,6 +298,46 @@ def test_language_code_lengths(spark):
     assert language_id.predict(asked.limit(0), model).count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """Seventy languages, of which one has long texts only, in groups that don't change the result."""
+    rng = random.Random(8)
+    words = {f"l{n:02}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzåß", k=5)) for _ in range(12)] for n in range(70)}
+    say = {lang: [" ".join(rng.choices(own, k=30)) for _ in range(3)] for lang, own in words.items()}
+    say["l07"] = [" ".join(rng.choices(words["l07"], k=8000))]
+    rows = [(f"{lang}", text, lang) for lang, texts in say.items() for text in texts]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    asked = spark.createDataFrame([(lang, " ".join(rng.choices(own, k=20))) for lang, own in words.items()], "doc_id string, text string")
+    wanted = None
+    for most, loaded in ((100, 1 << 30), (9, 1 << 30), (9, 0)):
+        monkeypatch.setattr(language_id, "GROUP_LANGUAGES", most)
+        monkeypatch.setattr(language_id, "LOADED_GRAMS", loaded)
+        model = language_id.train(docs)
+        assert model.languages == sorted(words) and len(model.groups) == -(-70 // most)
+        got = sorted(map(tuple, language_id.predict(asked, model).select("doc_id", "lang_pred", "score", "bits_per_byte").collect()))
+        assert all(row[0] == row[1] for row in got)
+        wanted = wanted or got
+        assert [r[1:] for r in got] == [(r[1], pytest.approx(r[2], rel=1e-4), pytest.approx(r[3], rel=1e-4)) for r in wanted]
+
+
+def test_long_texts_are_drawn_in_pieces(spark):
+    text = "é" * 5 + "abc " * 9
+    docs = spark.createDataFrame([(1, text, "xx")], "doc_id long, text string, lang string")
+    model = language_id.train(docs, sample_bytes=7)
+    raw = text.encode()
+    pieces = [raw[i : i + 7] for i in range(0, len(raw), 7)]
+    bits = model.code_lengths(np.frombuffer(b"abc ab", np.uint8), np.array([6]))
+    assert bits[0, 0] == pytest.approx(brute_bits(list(dict.fromkeys(pieces)), b"abc ab", language_id.ORDER), rel=1e-4)
+
+
+@pytest.mark.parametrize("lang", [None, "xx"])
+def test_pipeline_keeps_texts_with_letters(spark, lang):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "word " * 5000, lang), (2, "12", lang), (3, None, lang), (4, "wort " * 4000, lang)],
+                                 "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_languages(spark, docs, "").collect()) == [1, 4]
+
+
 def test_held_out_accuracy(spark):
     from trovelake.llm.queries import op7_language_id
 

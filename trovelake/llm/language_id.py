@@ -5,10 +5,11 @@ the code length the tree gives it: count / (total + distinct) in the longest kno
 else the escape distinct / (total + distinct) and the next shorter context, down to a
 uniform code.  The language whose tree codes the text in the fewest bits is predicted.
 
-The trees of all languages share one set of nodes.  Per (context, byte) seen in any
-language a row holds the exact code length in every language, so scoring is two table
-look-ups per byte for all languages at once; bytes unseen in a context pay the context's
-escape row and fall to the shorter one.
+The trees of a group of languages share one set of nodes.  Per (context, byte) seen in any
+language of the group a row holds the exact code length in every one, so scoring is two table
+look-ups per byte for all of them at once; bytes unseen in a context pay the context's
+escape row and fall to the shorter one.  More languages make more groups, not larger ones; a
+code length doesn't depend on the grouping.
 """
 
 from __future__ import annotations
@@ -18,16 +19,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trovelake.functions.text import let
+from trovelake.llm.tables import stored
+from trovelake.runtime import unnest
+
 ORDER = 3
-#: Bounds of the training sample: documents of a language, text bytes of a document (longer
-#: ones are not drawn) and languages (the most frequent ones).
+#: Bounds of the training sample: pieces of a language, and bytes of a piece (a longer text is
+#: cut into several).
 SAMPLE_DOCS = 400
 SAMPLE_BYTES = 16384
-MAX_LANGUAGES = 64
+#: Bounds of a group of languages (or one language alone): how many, and their counted grams.
+GROUP_LANGUAGES = 16
+GROUP_GRAMS = 1 << 20
+#: Groups of no more grams in all stay loaded in a worker; else one is loaded at a time.
+LOADED_GRAMS = 1 << 21
 UNDETERMINED = "und"
 _CHUNK = 1 << 19
 
@@ -46,34 +56,47 @@ def _positions(lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) - np.repeat(starts, lengths)
 
 
+def _pieces(text: Column, size: int) -> Column:
+    """The text's bytes, cut every ``size`` bytes."""
+
+    def cut(data: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.floor((F.octet_length(data) - 1) / size).cast("int"))
+        return F.transform(parts, lambda i: F.substring(data, i * size + 1, F.lit(size)))
+
+    data = text.cast("binary")
+    return F.when(F.octet_length(text) <= size, F.array(data)).otherwise(let(data, cut))
+
+
 def train(documents: DataFrame, *, order: int = ORDER, sample_docs: int = SAMPLE_DOCS,
-          sample_bytes: int = SAMPLE_BYTES, max_languages: int = MAX_LANGUAGES) -> PartialMatching:
-    """Fit on rows with a text and a lang: a bounded sample of texts per language, drawn by text hash.
+          sample_bytes: int = SAMPLE_BYTES) -> LanguageModel:
+    """Fit on rows with a text and a lang: a bounded sample of text pieces per language, drawn by hash.
 
-    Rows with null text or lang and texts without letters don't count.  Without any usable
-    row the model knows no language and predicts ``und``.
+    Rows with null text or lang and texts without letters don't count.  Every language of the
+    other rows is learned, whatever the number of languages and the length of its texts.
+    Without any usable row the model knows no language and predicts ``und``.
     """
-    usable = documents.where(
-        F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= sample_bytes)
-    ).select("lang", "text", F.xxhash64("text").alias("draw"))
-    found = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("draw").alias("texts"))
-    found = found.orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    languages = [r.lang for r in found]
-    # Twice the wanted share of the hash range: few rows, and copies of a text combine in each task.
-    reach = F.lit(False)
-    for r in found:
-        last = int((min(1.0, 2 * sample_docs / max(r.texts, 1)) - 0.5) * 2.0**64)
-        reach |= (F.col("lang") == r.lang) & (F.col("draw") <= min(last, (1 << 63) - 1))
-    drawn = Window.partitionBy("lang").orderBy("draw", "text")
+    spark = documents.sparkSession
+    usable = unnest(
+        documents.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text"),
+        _pieces(F.col("text"), sample_bytes), "piece", keep=("lang",)
+    ).withColumn("draw", F.xxhash64("piece"))
+    found = usable.groupBy("lang").agg(F.approx_count_distinct("draw").alias("pieces")).collect()
+    if not found:
+        return LanguageModel([], [], 0, order)
+    # Twice the wanted share of the hash range: few rows, and copies of a piece combine in each task.
+    last = [(r.lang, min(int((min(1.0, 2 * sample_docs / max(r.pieces, 1)) - 0.5) * 2.0**64), (1 << 63) - 1)) for r in found]
+    reach = spark.createDataFrame(last, f"lang {documents.schema['lang'].dataType.simpleString()}, last long")
+    drawn = Window.partitionBy("lang").orderBy("draw", "piece")
     sample = (
-        usable.where(reach).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+        usable.join(F.broadcast(reach), "lang").where("draw <= last")
+        .groupBy("lang", "draw").agg(F.min("piece").alias("piece"))
         .withColumn("_rank", F.row_number().over(drawn)).where(F.col("_rank") <= sample_docs)
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, texts in pd.DataFrame({"lang": batch.column(0), "text": batch.column(1)}).groupby("lang"):
-                raw = [t.encode() for t in texts["text"].astype(str)]
+            for lang, pieces in pd.DataFrame({"lang": batch.column(0).to_pylist(), "piece": batch.column(1).to_pylist()}).groupby("lang"):
+                raw = pieces["piece"].tolist()
                 data = np.frombuffer(b"".join(raw), np.uint8)
                 inside = _positions(np.array([len(r) for r in raw]))
                 for k in range(order + 1):
@@ -83,15 +106,45 @@ def train(documents: DataFrame, *, order: int = ORDER, sample_docs: int = SAMPLE
                          pa.array(keys.astype("i8")), pa.array(n.astype("i8"))],
                         names=["lang", "k", "gram", "n"])
 
-    counts = (
-        sample.select("lang", "text").mapInArrow(count, "lang string, k int, gram long, n long")
-        .groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = stored(
+        sample.select("lang", "piece").mapInArrow(count, "lang string, k int, gram long, n long")
+        .groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).repartitionByRange("lang")
     )
-    return PartialMatching(sorted(languages), counts, order)
+    groups: list[list[str]] = []
+    grams = held = 0
+    for r in sorted(counts.groupBy("lang").agg(F.count("*").alias("n")).collect()):
+        if not groups or len(groups[-1]) == GROUP_LANGUAGES or held + r.n > GROUP_GRAMS:
+            groups.append([])
+            held = 0
+        groups[-1].append(r.lang)
+        grams, held = grams + r.n, held + r.n
+    shared = []
+    for group in groups:  # one at a time in the driver
+        own = counts.where(F.col("lang").between(group[0], group[-1])).toPandas()
+        shared.append(spark.sparkContext.broadcast(PartialMatching(group, own, order)))
+    return LanguageModel([lang for group in groups for lang in group], shared, grams, order)
+
+
+class LanguageModel:
+    """The groups of languages, each a broadcast of its own; the driver and a task hold few at a time."""
+
+    def __init__(self, languages: list[str], groups: list[Broadcast], grams: int, order: int):
+        self.languages, self.groups, self.grams, self.order = languages, groups, grams, order
+
+    def each_group(self) -> Iterator[PartialMatching]:
+        for group in self.groups:
+            yield group.value
+            if self.grams > LOADED_GRAMS and getattr(group, "_path", None):
+                vars(group).pop("_value", None)  # read from its local file again for the next batch
+
+    def code_lengths(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Bits of each text (laid end to end in ``data``) in each language."""
+        parts = [group.code_lengths(data, lengths) for group in self.each_group()]
+        return np.hstack(parts) if parts else np.zeros((len(lengths), 0))
 
 
 class PartialMatching:
-    """Frozen statistics of all languages; small, as it grows with the bounded sample only."""
+    """Frozen statistics of a group of languages; small, as it grows with the bounded sample only."""
 
     def __init__(self, languages: list[str], counts: pd.DataFrame, order: int):
         self.languages, self.order = languages, order
@@ -184,7 +237,7 @@ class PartialMatching:
         return bits
 
 
-def predict(documents: DataFrame, model: PartialMatching) -> DataFrame:
+def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """Add ``lang_pred``, ``score`` (0 to 1) and ``bits_per_byte`` to documents with a text column.
 
     Only the text is read.  Null text, text without a letter, and any text when the model
@@ -195,12 +248,10 @@ def predict(documents: DataFrame, model: PartialMatching) -> DataFrame:
     """
     docs = documents.drop("lang_pred", "score", "bits_per_byte")
     languages = np.array([*model.languages, UNDETERMINED])
-    shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def score(texts: pd.Series) -> pd.DataFrame:
-        trees = shared.value
-        found, best, rate = [], [], []
-        raw = [b"" if t is None else t.encode() for t in texts]
+    def rates(trees: PartialMatching, raw: list[bytes]) -> np.ndarray:
+        """Bits per byte of each text in each language of a group."""
+        out = np.zeros((len(raw), len(trees.languages)))
         low = 0
         while low < len(raw):
             high, size = low, 0
@@ -208,21 +259,28 @@ def predict(documents: DataFrame, model: PartialMatching) -> DataFrame:
                 size += len(raw[high])
                 high += 1
             lengths = np.array([len(r) for r in raw[low:high]])
-            bits = np.zeros((high - low, len(trees.languages)))
             for start in range(0, int(lengths.max()) or 1, _CHUNK):  # more than once for a long text alone
                 back = min(start, trees.order)
                 parts = [r[start - back : start + _CHUNK] for r in raw[low:high]]
                 own = np.array([len(p) for p in parts])
-                bits += trees.code_lengths(np.frombuffer(b"".join(parts), np.uint8), own, np.full(len(own), back))
-            each = bits / np.maximum(lengths, 1)[:, None]
-            at = each.argmin(axis=1)
-            least = each[np.arange(len(at)), at]
-            found.append(languages[at])
-            best.append(1 / np.exp2(-_SHARPNESS * (each - least[:, None])).sum(axis=1))
-            rate.append(least)
+                out[low:high] += trees.code_lengths(np.frombuffer(b"".join(parts), np.uint8), own, np.full(len(own), back))
+            out[low:high] /= np.maximum(lengths, 1)[:, None]
             low = high
-        join = np.concatenate
-        return pd.DataFrame({"lang_pred": join(found), "score": join(best), "bits_per_byte": join(rate)})
+        return out
+
+    def score(texts: pd.Series) -> pd.DataFrame:
+        raw = [b"" if t is None else t.encode() for t in texts]
+        at, before = np.zeros(len(raw), int), 0
+        least, weight = np.full(len(raw), np.inf), np.zeros(len(raw))
+        for trees in model.each_group():
+            each = rates(trees, raw)
+            own = each.argmin(axis=1)
+            best = each[np.arange(len(raw)), own]
+            at = np.where(best < least, before + own, at)
+            now = np.minimum(least, best)
+            weight = weight * np.exp2(-_SHARPNESS * (least - now)) + np.exp2(-_SHARPNESS * (each - now[:, None])).sum(axis=1)
+            least, before = now, before + len(trees.languages)
+        return pd.DataFrame({"lang_pred": languages[at], "score": 1 / weight, "bits_per_byte": least})
 
     kind = "lang_pred string, score double, bits_per_byte double"
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
