@@ -104,6 +104,39 @@ def test_chat(spark):
     assert chat_format.repair_roles(df.limit(0)).count() == 0
 
 
+def test_chat_segments_are_bounded(spark, monkeypatch):
+    """One conversation of null turns and one of equal rows: no segment is longer than asked, in rows or in bytes."""
+    rng = random.Random(5)
+    names = ["user", "assistant", "system", None]
+    rows = [(None, rng.choice([None, None, 3]), rng.choice(names), f"t{rng.randint(0, 50)}") for _ in range(3000)]
+    rows += [(2**60 + 1, 7, "assistant", "same")] * 1000 + [(1, 2**60 + 1, "user", "x" * 3000)] * 20
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(chat_format, "SEGMENT_BYTES", 10000)
+    got = {}
+    for r in chat_format.repair_roles(df, segment=32).collect():
+        got.setdefault(r.conv_id, []).append(r)
+    assert {c: len(t) for c, t in got.items()} == {None: 3000, 2**60 + 1: 1000, 1: 20}
+    for turns in got.values():
+        turns.sort(key=lambda r: r.position)
+        assert [r.position for r in turns] == list(range(len(turns)))
+        assert sum(r.cost for r in turns) == cheapest([r.role for r in turns])
+    assert {r.turn for r in got[1]} == {2**60 + 1}
+
+
+def test_chat_cut_by_rows_and_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({
+        "conv_id": [None] * 5 + [1, 1, 2], "turn": [None] * 8, "role": ["user"] * 8, "text": ["x"] * 8, "code": [2] * 8, "size": [1, 1, 1, 9, 9, 1, 1, 50]})
+    context = type("Context", (), {"partitionId": lambda self: 4})()
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(chat_format.TaskContext, "get", lambda: context)
+        halves = [batch.slice(0, 4), batch.slice(4)]
+        out = [r for b in chat_format._segments(3, 10)(iter(halves)) for r in b.to_pylist()]
+    assert [(r["run"], r["segment"], r["at"]) for r in out] == [
+        (0, 0, 0), (0, 0, 1), (0, 0, 2), (0, 1, 0), (0, 2, 0), (1, 3, 0), (1, 3, 1), (2, 4, 0)]
+
+
 # --- embeddings ----------------------------------------------------------------------------
 
 

@@ -5,9 +5,12 @@ with the assistant.  Each turn is kept, merged into the message before it, relab
 preceded by empty messages; dynamic programming over the automaton of the last role finds
 the cheapest way through.
 
-A conversation may be of any length: it is cut into segments of turn numbers, each
-segment is reduced to a matrix of costs between the automaton's states, the matrices
-of a conversation fix the state at each border, and segments are then repaired apart.
+A conversation may be of any length and its turn numbers may repeat or lack: rows are sorted
+over all tasks, each task cuts its run of a conversation into segments of a bounded number of
+rows and bytes, each segment is reduced to a matrix of costs between the automaton's states.
+The product of a run's matrices stands for the run, the runs of a conversation fix the state
+at their borders, these fix the states at the borders of segments, and segments are then
+repaired apart.
 """
 
 from __future__ import annotations
@@ -18,13 +21,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trovelake.llm.tables import stored
+from trovelake.runtime import unnest
+
 START, SYSTEM, USER, ASSISTANT = range(4)
 ROLES = ("", "system", "user", "assistant")
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
+#: Bounds of a segment: rows, and bytes of text (or one row alone).
 SEGMENT = 256
+SEGMENT_BYTES = 1 << 22
 _FAR = 1 << 40
 
 
@@ -98,13 +107,22 @@ class Automaton:
             total = np.minimum((total[:, :, None] + self.matrix[role][None]).min(axis=1), _FAR)
         return total
 
-    def borders(self, matrices: list[np.ndarray]) -> list[int]:
-        """The state at each border of the cheapest way through all segments."""
-        ahead = [self.end]
+    def joined(self, matrices: list[np.ndarray]) -> np.ndarray:
+        """The costs through all segments in turn."""
+        total = matrices[0]
+        for m in matrices[1:]:
+            total = np.minimum((total[:, :, None] + m[None]).min(axis=1), _FAR)
+        return total
+
+    def borders(self, matrices: list[np.ndarray], first: int = START, last: int | None = None) -> list[int]:
+        """The state at each border of the cheapest way from ``first`` to ``last`` (None: to a legal end)."""
+        if len(matrices) == 1 and last is not None:
+            return [first, last]
+        ahead = [self.end if last is None else np.where(np.arange(4) == last, 0, _FAR)]
         for m in reversed(matrices):
-            ahead.append((m + ahead[-1][None, :]).min(axis=1))
+            ahead.append(np.minimum((m + ahead[-1][None, :]).min(axis=1), _FAR))
         ahead.reverse()
-        states = [START]
+        states = [first]
         for m, rest in zip(matrices, ahead[1:], strict=True):
             states.append(int((m[states[-1]] + rest).argmin()))
         return states
@@ -142,57 +160,69 @@ def repair_roles(conversations: DataFrame, *, costs: Costs = Costs(), segment: i
     automaton = Automaton(costs)
     name = F.lower(F.trim("role"))
     code = F.when(name == "system", SYSTEM).when(name == "user", USER).when(name == "assistant", ASSISTANT).otherwise(0)
+    kind = conversations.schema["conv_id"].dataType.simpleString()
     turns = conversations.select(
         "conv_id", F.col("turn").cast("long"), "role", F.coalesce("text", F.lit("")).alias("text"), code.alias("code"),
-        F.coalesce(F.floor(F.col("turn") / segment), F.lit(-(1 << 30))).alias("segment"),
-    )
-    key, kind = ["conv_id", "segment"], conversations.schema["conv_id"].dataType.simpleString()
+    ).withColumns({"size": F.octet_length("text"), "row": F.monotonically_increasing_id()})
 
     # A fixed number: rows without texts are small, but repairing them isn't.
     parts = int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def ordered(df: DataFrame, *more: str) -> DataFrame:
-        return df.repartition(parts, *key).sortWithinPartitions(*key, "turn", "role", *more)
-
-    def reduce(rows: pd.DataFrame) -> pd.DataFrame:
-        total = automaton.product(rows["code"].tolist())
-        return pd.DataFrame({"conv_id": rows["conv_id"].iloc[:1], "segment": rows["segment"].iloc[:1], "costs": [total.ravel()]})
-
-    matrices = ordered(turns.select(*key, "turn", "role", "code")).mapInPandas(
-        _by_segment(reduce), f"conv_id {kind}, segment long, costs array<long>")
-    listed = matrices.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("segment", "costs"))).alias("all"))
-
-    @F.pandas_udf("array<int>")
-    def borders(all_: pd.Series) -> pd.Series:
-        return pd.Series([automaton.borders([np.array(s["costs"]).reshape(4, 4) for s in one]) for one in all_])
-
-    states = listed.withColumn("states", borders("all")).select(
-        "conv_id", "states", F.size("all").alias("many"), F.posexplode("all.segment").alias("at", "segment")
-    ).select("conv_id", "segment", F.get("states", F.col("at")).alias("first"), F.get("states", F.col("at") + 1).alias("last"),
-             (F.col("at") + 1 == F.col("many")).alias("ends"))
-
-    def render(rows: pd.DataFrame) -> pd.DataFrame:
-        found = automaton.repair(rows["code"].tolist(), int(rows["first"].iloc[0]), int(rows["last"].iloc[0]))
-        pieces, inserted, paid = [], [], []
-        for step, text in zip(found, rows["text"], strict=True):
+    # The row number deals equal rows to several tasks. Cut once and stored: bounds of ranges are sampled.
+    order = ["conv_id", "turn", "role", "text", "row"]
+    cut = turns.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("row")
+    rows = stored(cut.mapInArrow(
+        _segments(segment, SEGMENT_BYTES),
+        f"conv_id {kind}, turn long, role string, text string, code int, part int, run long, segment long, at int"))
+
+    @F.pandas_udf("array<long>")
+    def product(codes: pd.Series) -> pd.Series:
+        return pd.Series([automaton.product(list(one)).ravel() for one in codes])
+
+    @F.pandas_udf("array<long>")
+    def joined(all_: pd.Series) -> pd.Series:
+        return pd.Series([automaton.joined(_matrices(one)).ravel() for one in all_])
+
+    @F.pandas_udf("array<array<long>>")
+    def by_run(all_: pd.Series) -> pd.Series:
+        return pd.Series([_places(one, ("part", "run"), automaton.borders(_matrices(one)), 0, 1) for one in all_])
+
+    @F.pandas_udf("array<array<long>>")
+    def by_segment(all_: pd.Series, place: pd.Series) -> pd.Series:
+        return pd.Series([
+            _places(one, ("part", "segment"), automaton.borders(_matrices(one), first, last), before, ends)
+            for one, (_, _, first, last, before, ends) in zip(all_, place, strict=True)])
+
+    codes = F.transform(F.sort_array(F.collect_list(F.struct("at", "code"))), lambda x: x["code"])
+    segments = rows.groupBy("part", "segment").agg(
+        F.first("conv_id").alias("conv_id"), F.first("run").alias("run"), codes.alias("codes"))
+    reduced = F.struct("part", "segment", F.size("codes").alias("n"), product("codes").alias("costs"))
+    runs = segments.select("conv_id", "part", "run", reduced.alias("one")).groupBy("part", "run").agg(
+        F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list("one")).alias("all"))
+    runs = stored(runs.withColumn("costs", joined("all")))
+    total = F.aggregate("all", F.lit(0).cast("long"), lambda n, one: n + one["n"])
+    whole = runs.select("conv_id", F.struct("part", "run", total.alias("n"), "costs").alias("one")).groupBy("conv_id").agg(
+        F.sort_array(F.collect_list("one")).alias("all"))
+    place = unnest(whole, by_run("all"), "place", keep=()).select(
+        F.col("place")[0].alias("part"), F.col("place")[1].alias("run"), "place")
+    states = unnest(runs.join(place, ["part", "run"]), by_segment("all", "place"), "state", keep=()).select(
+        F.col("state")[0].cast("int").alias("part"), F.col("state")[1].alias("segment"), F.lit(-1).alias("at"), "state")
+
+    def render(turns: list[tuple], state: list[int]) -> Iterator[tuple]:
+        _, _, first, last, before, ends = state
+        found = automaton.repair([t[3] for t in turns], first, last)
+        for at, (step, (conv, turn, role, _, text)) in enumerate(zip(found, turns, strict=True)):
             piece = f"\n{text}" if step.action == "merge" else _open(step.before, (*step.inserted, step.after)) + text
-            pieces.append(piece)
-            inserted.append([ROLES[r] for r in step.inserted])
-            paid.append(step.cost)
-        if rows["ends"].iloc[0]:
-            rest = closing(found[-1].after)
-            pieces[-1] += _open(found[-1].after, rest) + _CLOSE
-            inserted[-1] = inserted[-1] + [ROLES[r] for r in rest]
-            paid[-1] += costs.insert * len(rest)
-        return pd.DataFrame({
-            "conv_id": rows["conv_id"], "position": rows["segment"].to_numpy(np.int64) * (1 << 32) + np.arange(len(rows)), "turn": rows["turn"],
-            "role": rows["role"], "action": [s.action for s in found], "new_role": [ROLES[s.after] for s in found],
-            "inserted": inserted, "cost": paid, "rendered": pieces})
-
-    t, s = turns.alias("t"), states.alias("s")
-    placed = t.join(s, F.col("t.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("t.segment") == F.col("s.segment"))).select(
-        "t.*", "s.first", "s.last", "s.ends")
-    return ordered(placed, "text").mapInPandas(
+            inserted, paid = [ROLES[r] for r in step.inserted], step.cost
+            if ends and at == len(turns) - 1:
+                rest = closing(step.after)
+                piece += _open(step.after, rest) + _CLOSE
+                inserted, paid = inserted + [ROLES[r] for r in rest], paid + costs.insert * len(rest)
+            yield conv, before + at, turn, role, step.action, ROLES[step.after], inserted, paid, piece
+
+    # A segment's states come before its turns: the texts cross one shuffle without a join.
+    both = rows.drop("run").unionByName(states, allowMissingColumns=True)
+    return both.repartition(parts, "part", "segment").sortWithinPartitions("part", "segment", "at").mapInArrow(
         _by_segment(render),
         f"conv_id {kind}, position long, turn long, role string, action string, new_role string, "
         "inserted array<string>, cost long, rendered string")
@@ -207,34 +237,79 @@ def _open(before: int, roles: tuple[int, ...]) -> str:
     return out + _CLOSE.join(f"<|im_start|>{ROLES[r]}\n" for r in roles)
 
 
-def _by_segment(work: Callable[[pd.DataFrame], pd.DataFrame]):
-    """Apply ``work`` to each run of rows of one (conv_id, segment) in a sorted partition."""
+def _matrices(parts: list) -> list[np.ndarray]:
+    return [np.array(p["costs"]).reshape(4, 4) for p in parts]
+
+
+def _places(parts: list, key: tuple[str, str], states: list[int], before: int, ends: int) -> list[list[int]]:
+    """Of each part its key, the states at its borders, the rows before it and whether it ends the conversation."""
+    out = []
+    for i, p in enumerate(parts):
+        out.append([p[key[0]], p[key[1]], states[i], states[i + 1], before, int(ends and i == len(parts) - 1)])
+        before += p["n"]
+    return out
+
+
+def _segments(most: int, most_bytes: int):
+    """Number the runs and segments of a sorted partition and the rows of each segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, run, segment, at, held, last = TaskContext.get().partitionId(), -1, -1, 0, 0, None
+        for batch in batches:
+            places = []
+            for conv, size in zip(batch.column("conv_id").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                at, held = at + 1, held + size
+                if run < 0 or conv != last:
+                    run, segment, at, held, last = run + 1, segment + 1, 0, size, conv
+                elif at == most or held > most_bytes:
+                    segment, at, held = segment + 1, 0, size
+                places.append((run, segment, at))
+            runs, segments, ats = zip(*places, strict=True) if places else ((), (), ())
+            kept = ["conv_id", "turn", "role", "text", "code"]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(name) for name in kept), pa.array([part] * len(ats), pa.int32()),
+                 pa.array(runs, pa.int64()), pa.array(segments, pa.int64()), pa.array(ats, pa.int32())],
+                names=[*kept, "part", "run", "segment", "at"])
+
+    return run
+
+
+def _by_segment(work: Callable[[list[tuple], list[int]], Iterator[tuple]]):
+    """Apply ``work`` to the turns of each segment of a sorted partition and to its state, which leads them."""
+    names = ["conv_id", "position", "turn", "role", "action", "new_role", "inserted", "cost", "rendered"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        done: list[tuple] = []
+        state, size, kind = None, 0, None
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*done, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [kind, *kinds], strict=True)], names=names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
         for batch in batches:
-            if not len(batch):
-                continue
-            conv, segment = batch["conv_id"], batch["segment"]
-            same = ((conv == conv.shift()) | (conv.isna() & conv.shift().isna())) & (segment == segment.shift())
-            same.iloc[0] = False
-            cuts = np.flatnonzero(~same.to_numpy())
-            out = []
-            for low, high in zip(cuts, [*cuts[1:], len(batch)], strict=True):
-                part = batch.iloc[low:high]
-                if held and not _continues(held[-1], part):
-                    out.append(work(pd.concat(held) if len(held) > 1 else held[0]))
-                    held = []
-                held.append(part)
-            if out:
-                yield pd.concat(out)
+            kind = batch.schema.field("conv_id").type
+            turns = zip(*(batch.column(n).to_pylist() for n in ("conv_id", "turn", "role", "code", "text")), strict=True)
+            for turn, own in zip(turns, batch.column("state").to_pylist(), strict=True):
+                if own is None:
+                    held.append(turn)
+                    size += len(turn[-1])
+                    continue
+                if held:
+                    done += work(held, state)
+                held, state = [], own
+                if size > _OUT_CHARS or len(done) > _OUT_ROWS:
+                    yield out()
+                    done, size = [], 0
         if held:
-            yield work(pd.concat(held) if len(held) > 1 else held[0])
+            done += work(held, state)
+        if done:
+            yield out()
 
     return run
 
 
-def _continues(held: pd.DataFrame, part: pd.DataFrame) -> bool:
-    a, b = held.iloc[-1], part.iloc[0]
-    same = a["conv_id"] == b["conv_id"] or (pd.isna(a["conv_id"]) and pd.isna(b["conv_id"]))
-    return bool(same and a["segment"] == b["segment"])
+#: A batch of results is sent on from so many characters or rows.
+_OUT_CHARS = 1 << 22
+_OUT_ROWS = 8192
