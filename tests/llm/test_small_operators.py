@@ -238,6 +238,16 @@ def test_warc_rows(spark, tmp_path):
     assert captures(spark, [], str(tmp_path / "e")) == []
 
 
+def test_warc_negative_ids(spark, tmp_path):
+    from trovelake.llm.queries import op6_warc
+
+    long = "z" * 200
+    rows = [(-5, "u", long), (3, "u", long), (-1, "u", "short"), (None, "u", "none")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in op6_warc(spark, str(tmp_path)).collect()}
+    assert got == {-5: ("response", None), 3: ("revisit", -5), -1: ("response", None), None: ("response", None)}
+
+
 def test_warc_orphans(spark):
     kind = ", ".join(f"{c} string" for c in warc._HEADERS.values()) + ", http string, payload binary"
     df = spark.createDataFrame([("request", "<r>", "<gone>", None, None, None, None, None, None),

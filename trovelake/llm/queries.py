@@ -61,7 +61,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = scratch_dir(spark)
     warc.write_archives(_read(spark, sf_dir, "pages"), archives)
     captures = warc.assemble(warc.read_records(spark, archives))
-    page = F.regexp_extract(F.decode(F.col("metadata")[0]["payload"], "utf-8"), r"page_id: (\d*)", 1)
+    page = F.regexp_extract(F.decode(F.col("metadata")[0]["payload"], "utf-8"), r"page_id: (-?\d*)", 1)
     read = stored(captures.select(
         "capture_id", page.try_cast("long").alias("page_id"), F.col("response.type").alias("record_type"),
         F.col("response.refers_to").alias("refers"), F.octet_length("response.payload").cast("long").alias("size"),
