@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import itertools
 import math
@@ -248,6 +249,30 @@ def test_warc_negative_ids(spark, tmp_path):
     assert got == {-5: ("response", None), 3: ("revisit", -5), -1: ("response", None), None: ("response", None)}
 
 
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 200_000)
+    rng = random.Random(2)
+    rows = [(i, "u", "".join(rng.choices("abcdé ", k=rng.choice([50, 1500, 12_000, 300_000])))) for i in range(120)]
+    got = captures(spark, rows, str(tmp_path / "w"))
+    texts = {int(bytes(c.metadata[0].payload).decode().split(": ")[1]): bytes(c.response.payload).decode() for c in got}
+    assert texts == {i: html for i, _, html in rows}
+    for file in (tmp_path / "w").glob("*.gz"):
+        with gzip.open(file) as f:
+            found = [len(block) for headers, block in warc.parse([f.read()]) if headers["WARC-Type"] == "response"]
+        assert len(found) == 1 or sum(found) <= 200_000 + 200 * len(found)
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_warc_stream(monkeypatch, zipped):
+    monkeypatch.setattr(warc, "_READ", 7)
+    blocks = [b"", b"WARC/1.1\r\n\r\n", bytes(range(256)) * 9]
+    records = [b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks]
+    data = b"".join(gzip.compress(r) if zipped else r for r in records)
+    assert [b for _, b in warc.parse(warc._unzipped(memoryview(data)))] == blocks
+    with pytest.raises(ValueError):
+        list(warc.parse(warc._unzipped(memoryview(data[:-20]))))
+
+
 def test_warc_orphans(spark):
     kind = ", ".join(f"{c} string" for c in warc._HEADERS.values()) + ", http string, payload binary"
     df = spark.createDataFrame([("request", "<r>", "<gone>", None, None, None, None, None, None),

@@ -3,23 +3,30 @@
 A capture is a request, a response (or a revisit of an equal payload) and a metadata record;
 request and metadata name the response in WARC-Concurrent-To.  Archives are gzip files
 written and read by Spark, so they may lie in any store; a file holds a bounded number of
-captures and is parsed by the lengths in its records.
+captures and of bytes (or one capture), and is unzipped as a stream and parsed by the lengths
+in its records.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelake.llm.tables import unique_keys
+from trovelake.llm.tables import stored, unique_keys
 
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 100
+#: Bounds of a file: captures, and bytes of their payloads and targets (or one capture alone).
 FILE_CAPTURES = 1000
+FILE_BYTES = 32 << 20
+#: Captures of up to FILE_BYTES / FILE_CAPTURES bytes share files, and so do those of up to 8 times
+#: as many, and so on.
+_STEP = 8
+_READ = 1 << 16
 _END = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEADERS = {
@@ -61,6 +68,11 @@ def write_archives(pages: DataFrame, path: str, *, date: str = "2025-01-01T00:00
         rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest", "size")
         .agg(F.min("key").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "size", "first")
     )
+    # A percent-encoded url is up to three times as long and is written four times.
+    url = F.coalesce(F.octet_length("url"), F.lit(0)) * 12
+    most = pages.select(F.max(_level(F.octet_length(payload) + url))).first()[0] or 0
+    if most:
+        firsts = stored(firsts)  # short rows; the pages are read once for each level
     rows = rows.join(firsts, ["digest", "size"], "left").withColumn("again", F.coalesce(F.col("first") < F.col("key"), F.lit(False)))
     uri = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "%", "%25"), "\r", "%0D"), "\n", "%0A")
     uri = F.regexp_replace(uri, r"[\x00-\x20\x7f]", "%20")
@@ -84,33 +96,65 @@ def write_archives(pages: DataFrame, path: str, *, date: str = "2025-01-01T00:00
         {"WARC-Type": "metadata", "WARC-Record-ID": _record_id("metadata", F.col("key")), **same,
          "WARC-Concurrent-To": main, "Content-Type": "application/warc-fields"},
         F.concat(F.lit("page_id: "), F.coalesce("page", F.lit("")), F.lit(_END)))
-    lines = rows.select(F.concat_ws(2 * _END, request, response, metadata).alias("value"))
-    lines.write.option("lineSep", 2 * _END).option("compression", "gzip").option("maxRecordsPerFile", FILE_CAPTURES).text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an archive."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split(_END)[1:]
+    level = _level(F.when(F.col("again"), 0).otherwise(F.col("size")) + url)
+    value = F.concat_ws(2 * _END, request, response, metadata).alias("value")
+    for n in range(most + 1):
+        captures = max(1, FILE_CAPTURES // _STEP**n)
+        # The first condition holds wherever the second does, and keeps smaller pages out of the join.
+        lines = rows.where((_level(F.col("size") + url) >= n) & (level == n)).select(value)
+        lines.write.mode("append").option("lineSep", 2 * _END).option("compression", "gzip").option(
+            "maxRecordsPerFile", captures).text(path)
+
+
+def _level(size: Column) -> Column:
+    """How many times a capture is ``_STEP`` times larger than those of which a file holds the most."""
+    found, n = F.lit(0), 0
+    while FILE_CAPTURES // _STEP**n > 1:
+        found += (size > FILE_BYTES // FILE_CAPTURES * _STEP**n).cast("int")
+        n += 1
+    return found
+
+
+def parse(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of each record of an archive, whose bytes come in chunks of any size."""
+    source, held = iter(chunks), bytearray()
+
+    def more() -> bool:
+        chunk = next(source, None)
+        held.extend(chunk or b"")
+        return chunk is not None
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0:
+            del held[:-4]
+            if not more():
+                return
+        del held[:at]
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                raise ValueError("an archive ends inside a record")
+        lines = held[:end].decode("utf-8", "replace").split(_END)[1:]
         headers = {name: value.strip() for name, _, value in (line.partition(":") for line in lines)}
-        length = int(headers["Content-Length"])
-        if end + 4 + length > len(data):
-            raise ValueError("an archive ends inside a record")
-        yield headers, data[end + 4 : end + 4 + length]
-        at = end + 4 + length
+        past = end + 4 + int(headers["Content-Length"])
+        while len(held) < past:
+            if not more():
+                raise ValueError("an archive ends inside a record")
+        yield headers, bytes(held[end + 4 : past])
+        del held[:past]
 
 
-def _unzipped(data: bytes) -> bytes:
-    out = []
-    while data[:2] == b"\x1f\x8b":  # members follow each other
+def _unzipped(data: memoryview) -> Iterator[bytes]:
+    at, zipped = 0, bytes(data[:2]) == b"\x1f\x8b"
+    while zipped and bytes(data[at : at + 2]) == b"\x1f\x8b":  # members follow each other
         member = zlib.decompressobj(31)
-        out.append(member.decompress(data) + member.flush())
-        if not member.eof:
-            raise ValueError("an archive ends inside a compressed member")
-        data = member.unused_data
-    return b"".join(out) or data
+        while not member.eof:
+            part = data[at : at + _READ]
+            if not part:
+                raise ValueError("an archive ends inside a compressed member")
+            yield member.decompress(part)
+            at += len(part) - len(member.unused_data)
+    for start in range(0, 0 if zipped else len(data), _READ):
+        yield bytes(data[start : start + _READ])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -126,7 +170,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 rows: list[tuple] = []
                 size = 0
-                for headers, block in parse(_unzipped(content.as_py())):
+                for headers, block in parse(_unzipped(memoryview(content.as_buffer()))):
                     head = None
                     if headers.get("Content-Type", "").startswith("application/http"):
                         head, _, block = block.partition(b"\r\n\r\n")
