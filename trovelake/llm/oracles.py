@@ -1,7 +1,7 @@
 """SQL of the registered queries that SQL can express.
 
-Chat repair, packing, language ID and BPE are beyond it; the tests hold them against brute
-force, the tokenizers library and held-out accuracy.
+Chat repair, packing, language ID, BPE and whitening are beyond it; the tests hold them against
+brute force, the tokenizers library and held-out accuracy.
 """
 
 from __future__ import annotations
@@ -108,6 +108,58 @@ SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+_TERMS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_TERMS}) AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER}, {_TERMS}) AS ws FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, m, array_to_string(ws[s:s+m-1], ' ') AS w
+  FROM (SELECT item, ws, least(10, len(ws)) AS m, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS s FROM b WHERE len(ws) > 0)),
+places AS (
+  SELECT doc_id, s, m, array_to_string(ws[s:s+m-1], ' ') AS w
+  FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS s
+    FROM d JOIN (SELECT DISTINCT m FROM windows) ON len(ws) >= m)),
+met AS (SELECT doc_id, s, m, item FROM places JOIN windows USING (m, w)),
+hits AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(s, s + m)) AS i FROM met) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, item FROM met WHERE item IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda c, b: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)),
+    4294967295))"""
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS ws FROM documents),
+cut AS (SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d),
+plan AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM cut),
+w AS (
+  SELECT doc_id, n, i, ws[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END] AS word
+  FROM (SELECT *, unnest(range(0, n)) AS i FROM plan)),
+same AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i AS i FROM w AS x JOIN w AS y
+  ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+island AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS part FROM same),
+stretch AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM island GROUP BY doc_id, q, part),
+runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretch
+  WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY doc_id),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_topk_search": OP1,
     "op4_substring_dedup": OP4,
@@ -115,4 +167,6 @@ ORACLES: dict[str, str] = {
     "op6_warc": OP6,
     "op8_embedding_dedup": OP8,
     "op10_suffix_dedup": OP10,
+    "op12_decontamination": OP12,
+    "op13_periodic_runs": OP13,
 }

@@ -5,20 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trovelake.functions.text import let
 from trovelake.llm import (
     bpe,
     chat_format,
+    decontamination,
     embedding_dedup,
     language_id,
     ngram_join,
     packing,
+    periodic_runs,
     substring_dedup,
     suffix_dedup,
     topk_search,
     warc,
+    whitening,
 )
 from trovelake.llm.tables import stored
 from trovelake.runtime import scratch_dir
@@ -28,10 +32,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _finite() -> Column:
+    return F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+
+
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     steps = F.transform("embedding", lambda x: F.floor(F.lit(1024.0) * x.cast("double")))
-    vectors = _read(spark, sf_dir, "embeddings").where(finite).select("vec_id", steps.alias("v"))
+    vectors = _read(spark, sf_dir, "embeddings").where(_finite()).select("vec_id", steps.alias("v"))
     queries = vectors.where(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "query_id")
     return topk_search.exact_top_k(vectors, queries, k=10)
 
@@ -100,6 +107,54 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Steps beyond these are cut, so that they stay a long; 64 * c reaches them from 2 ** 56 on.
+_MOST = 1 << 62
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = F.transform("embedding", lambda c: F.least(
+        F.greatest(F.floor(F.lit(64.0) * c.cast("double")), F.lit(-_MOST)), F.lit(_MOST)) + 1_000_000)
+    vectors = _read(spark, sf_dir, "embeddings").where(_finite()).select("vec_id", steps.alias("x"))
+    return whitening.whiten(vectors).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _repeating(text: Column, h: Column) -> Column:
+    """The words from a on begin anew every p words; a and p follow from the number h."""
+    g = F.floor(h / 10)
+
+    def repeat(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        return let(F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).alias("p")), lambda at: F.array_join(F.transform(
+            words, lambda w, i: F.when(i < at["a"], w).otherwise(F.get(words, (at["a"] + (i - at["a"]) % at["p"]).cast("int")))), " "))
+
+    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"))
+    return let(words, lambda w: F.when(F.size(w) > 0, repeat(w)).otherwise(text))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    texts = _read(spark, sf_dir, "documents").select(
+        "doc_id", F.when(h % 10 == 0, _repeating(F.col("text"), h)).otherwise(F.col("text")).alias("text"))
+    best = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct(
+        -r["length"], r["start"], r["period"]))), 1)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = periodic_runs.periodic_runs(texts).withColumn("best", F.when(F.size("runs") > 0, best))
+    length = -F.col("best.col1")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"),
+        F.col("best.period").alias("period"), F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_topk_search": op1_topk_search,
     "op2_chat_format": op2_chat_format,
@@ -111,4 +166,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_bpe": op9_bpe,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_decontamination": op12_decontamination,
+    "op13_periodic_runs": op13_periodic_runs,
 }
