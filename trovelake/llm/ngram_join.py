@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from trovelake.llm.components import components
 from trovelake.llm.grams import Rolling, Texts, mix
-from trovelake.llm.tables import Corpus, block_of, corpus, stored
+from trovelake.llm.tables import Corpus, block_of, corpus, joined, stored
 
 WORDS = 5
 PERCENT = 80
@@ -34,6 +34,9 @@ PERCENT = 80
 TILE = 1024
 #: An n-gram in so many classes of one batch is settled there: it crosses the shuffle once.
 _COMMON = 16
+#: An n-gram within its part, a class and a count on their way to the part.  Equal low bytes of different
+#: ones can only add a candidate; a part is named by other bits of the n-gram than these bytes.
+GRAM_BYTES, OWNER_BYTES, COUNT_BYTES = 5, 6, 4
 _U = np.uint64
 
 
@@ -81,9 +84,9 @@ class NgramSets:
                 one, two = _fingerprints(hashes, at)
                 yield _longs(key=keys[low:high], n=np.diff(at), one=one, two=two)
 
-    def leading(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(gram, class, n): n 0 for a leading n-gram of a class; below, for n-grams common in a batch,
-        n -1 for the n-gram and n > 0 for the number of them that a class has."""
+    def leading(self, batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+        """The leading n-grams of each class by part: ``entries`` of (n-gram, class) and, for n-grams
+        common in a batch, ``marks`` of the n-gram and ``counts`` of them for each class."""
         for batch in batches:
             found = []
             for _, _, texts in Texts.chunks(batch.column(1)):
@@ -101,11 +104,13 @@ class NgramSets:
             common = np.repeat(size >= _COMMON, size)
             mark = grams[begin[size >= _COMMON]]
             own, count = np.unique(owners[common], return_counts=True)
-            yield _longs(
-                gram=np.r_[grams[~common], mark, mix(own.copy())],
-                owner=np.r_[owners[~common], np.zeros(len(mark), _U), own],
-                n=np.r_[np.zeros((~common).sum(), "i8"), np.full(len(mark), -1), count],
-            )
+            # Sorted by n-gram, so by part; the classes' counts go by their own leading bits.
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.arange(parts, dtype="i4")),
+                _packed(_part(grams[~common], parts), parts, (grams[~common], GRAM_BYTES), (owners[~common], OWNER_BYTES)),
+                _packed(_part(mark, parts), parts, (mark, GRAM_BYTES)),
+                _packed(_part(own, parts), parts, (own, OWNER_BYTES), (count.astype(_U), COUNT_BYTES)),
+            ], names=["part", "entries", "marks", "counts"])
 
     def cut(self, docs: pa.Table, wanted: pa.Table) -> pa.Table:
         """The sets of the wanted documents."""
@@ -152,19 +157,46 @@ def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.r_[begin, len(values)])
 
 
+def _part(values: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a hash, by its 24 leading bits."""
+    return ((values >> _U(40)) * _U(parts) >> _U(24)).astype(np.int64)
+
+
+def _packed(part: np.ndarray, parts: int, *columns: tuple[np.ndarray, int]) -> pa.Array:
+    """One value for each part: its rows, of the low bytes of each column; ``part`` is sorted."""
+    rows = np.hstack([c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width] for c, width in columns])
+    offsets = np.searchsorted(part, np.arange(parts + 1)) * rows.shape[1]
+    return pa.Array.from_buffers(pa.large_binary(), parts, [None, pa.py_buffer(offsets.astype("i8")), pa.py_buffer(np.ascontiguousarray(rows))]).cast(pa.binary())
+
+
+def _unpacked(values: pa.ChunkedArray, *widths: int) -> list[np.ndarray]:
+    rows = np.frombuffer(b"".join(values.to_pylist()), np.uint8).reshape(-1, sum(widths))
+    out, at = [], 0
+    for width in widths:
+        full = np.zeros((len(rows), 8), np.uint8)
+        full[:, :width] = rows[:, at : at + width]
+        out.append(full.view("<u8").ravel().astype(_U))
+        at += width
+    return out
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many leading n-grams of a class other classes have too."""
-    columns = [[c.to_numpy() for c in batch.columns] for batch in batches]
-    if not columns:
+    """How many leading n-grams of a class other classes have too, for each part."""
+    held = list(batches)
+    if not held:
         return
-    gram, owner, n = (np.concatenate(c) for c in zip(*columns, strict=True))
-    marks = np.unique(gram[n < 0])
-    counted = n > 0
-    grams, owners = _distinct_pairs(gram[n == 0], owner[n == 0])
-    begin, size = _groups(grams)
-    common = (size > 1) | np.isin(grams[begin], marks)
-    own, count = np.unique(owners[np.repeat(common, size)], return_counts=True)
-    yield _longs(owner=np.r_[own, owner[counted]], shared=np.r_[count, n[counted]])
+    table = pa.Table.from_batches(held).sort_by("part")
+    bounds = np.searchsorted(table.column("part").to_numpy(), pc.unique(table.column("part")).to_numpy())
+    for low, high in zip(bounds, [*bounds[1:], table.num_rows], strict=True):
+        own = table.slice(low, high - low)
+        gram, owner = _unpacked(own.column("entries"), GRAM_BYTES, OWNER_BYTES)
+        (marks,) = _unpacked(own.column("marks"), GRAM_BYTES)
+        counted, n = _unpacked(own.column("counts"), OWNER_BYTES, COUNT_BYTES)
+        grams, owners = _distinct_pairs(gram, owner)
+        begin, size = _groups(grams)
+        common = (size > 1) | np.isin(grams[begin], marks)
+        named, count = np.unique(owners[np.repeat(common, size)], return_counts=True)
+        yield _longs(owner=np.r_[named, counted], shared=np.r_[count, n.astype(np.int64)])
 
 
 class Links:
@@ -274,11 +306,15 @@ class NgramJoin:
 
     def _candidates(self) -> DataFrame:
         """The sets of classes that share enough leading n-grams with others."""
-        leading = self.docs.docs.select("key", "text").mapInArrow(self.sets.leading, "gram long, owner long, n long")
-        shared = leading.repartition(self.docs.blocks, "gram").mapInArrow(_shared, "owner long, shared long")
+        parts, work = self.docs.blocks, self.sets
+        leading = self.docs.docs.select("key", "text").mapInArrow(
+            lambda it: work.leading(it, parts), "part int, entries binary, marks binary, counts binary")
+        leading = leading.where(F.octet_length("entries") + F.octet_length("marks") + F.octet_length("counts") > 0)
+        shared = leading.repartitionById(parts, "part").mapInArrow(_shared, "owner long, shared long")
         shared = shared.groupBy("owner").agg(F.sum("shared").alias("shared"))
         least = F.greatest(F.lit(1), F.expr(f"(({self.percent} * n + 99) div 100) div 10"))
-        kept = self.classes.join(shared, F.col("one") == F.col("owner")).where(F.col("shared") >= least)
+        name = F.col("one").bitwiseAND(F.lit((1 << 8 * OWNER_BYTES) - 1))
+        kept = self.classes.join(shared, name == F.col("owner")).where(F.col("shared") >= least)
         located = kept.select("key").withColumn("block", block_of("key", self.docs.blocks))
         sets = self.sets
         return (
@@ -333,9 +369,9 @@ def near_duplicates(documents: DataFrame, *, words: int = WORDS, percent: int =
     found = stored(components(join.links(spanning=True)))
     classes = join.classes.join(found, F.col("key") == F.col("node"), "left").select(
         "n", "one", "two", F.coalesce("component", "key").alias("component"))
-    rows = join.members.join(classes, ["n", "one", "two"], "left").select(
-        "key", F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component"))
+    rows = joined(join.members.where("n > 0"), stored(classes), ["n", "one", "two"], join.docs.rows).select("key", "n", "component")
+    rows = stored(rows.unionByName(join.members.where("n = 0").select("key", "n", F.col("key").alias("component"))))
     ids = join.docs.docs.select("key", "doc_id")
     named = ids.select(F.col("key").alias("component"), F.col("doc_id").alias("component_id"))
-    return rows.join(ids, "key").join(named, "component").select(
-        "doc_id", "n_shingles", "component_id", (F.col("key") == F.col("component")).alias("keep"))
+    return joined(rows.join(ids, "key"), named, ["component"], join.docs.rows).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("key") == F.col("component")).alias("keep"))

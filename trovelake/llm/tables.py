@@ -22,6 +22,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined(rows: DataFrame, table: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Inner join of rows with a table in which ``on`` is unique, whatever share of the rows one key holds.
+
+    Keys of a thousandth of the ``total`` rows or more, so at most a thousand, are broadcast; the
+    others are shuffled.
+    """
+    common = stored(rows.groupBy(*on).agg(F.count("*").alias("held_rows")).where(F.col("held_rows") * 1000 >= total).select(*on))
+    if common.isEmpty():
+        return rows.join(table, on)
+    hot = rows.join(F.broadcast(table.join(F.broadcast(common), on)), on)
+    return hot.unionByName(rows.join(F.broadcast(common), on, "left_anti").join(table, on))
+
+
 @dataclass
 class Corpus:
     """``docs`` holds doc_id, text and ``key``, a unique long in the order of doc_id."""
