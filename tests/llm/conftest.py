@@ -5,4 +5,4 @@ from __future__ import annotations
 import sys
 from pathlib import Path
 
-sys.path[:0] = [str(Path(__file__).resolve().parents[2])]
+sys.path[:0] = [str(Path(__file__).resolve().parents[2]), str(Path(__file__).resolve().parent)]
