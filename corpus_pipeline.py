@@ -1,4 +1,9 @@
-"""Corpus pipeline over ``documents``: language ID, near-duplicate removal, suffix dedup, packing."""
+"""Corpus pipeline over ``documents``: language ID, near-duplicate removal, suffix dedup, packing.
+
+The stages take any columns beside doc_id, text (and lang for training) and return them
+unchanged under their own names: what a stage adds for its work gets a name that the input
+does not have.
+"""
 
 from __future__ import annotations
 
@@ -11,18 +16,37 @@ from pyspark.sql import functions as F
 from trovelake.llm import language_id, ngram_join, packing, suffix_dedup
 from trovelake.llm.tables import stored, unique_keys
 
+#: Bits a byte of the plain text: a text whose code is longer in its best language is in none of them.
+PLAIN_BITS = 8.0
+
+
+def _unused(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that the table does not have, also in another case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language; null texts and texts without a letter go.
+    """Documents in one of the languages of the corpus; null texts and texts without a letter go.
 
     The trees are fitted on the documents' own language tags, which are no input of a prediction.
-    Where no text has a tag, no language can be told apart and every text with a letter stays.
+    A text goes whose code in the predicted, cheapest language is longer than the text itself
+    (``PLAIN_BITS`` a byte), as that of an unknown alphabet or of random characters.  Where no
+    text has a tag, no language can be told apart and every text with a letter stays.
     """
     model = language_id.train(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    scored = language_id.predict(docs, model)
-    return scored.where(F.col("bits_per_byte").isNotNull()).select(*docs.columns)
+    (row,) = _unused(docs, "row")
+    scored = language_id.predict(docs.select(F.struct("*").alias(row), F.col("text").alias("text")), model)
+    told = scored.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("bits_per_byte") <= PLAIN_BITS))
+    return told.select(f"{row}.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +54,11 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
     Documents without words are in no group and stay.  All columns pass through.
     """
-    keyed = unique_keys(docs, "doc_id", "_key")
-    found = ngram_join.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80)
-    kept = found.where("keep").select(F.col("doc_id").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
+    (key,) = _unused(docs, "key")
+    keyed = unique_keys(docs, "doc_id", key)
+    found = ngram_join.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), words=5, percent=80)
+    kept = found.where("keep").select(F.col("doc_id").alias(key))
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +66,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents of which nothing is left go; null texts stay null.  ``n_chars`` follows the text.
     """
-    keyed = unique_keys(docs, "doc_id", "_key")
+    key, none, kept = _unused(docs, "key", "none", "kept")
+    keyed = unique_keys(docs, "doc_id", key)
     cut = suffix_dedup.remove_repeats(
-        keyed.select(F.col("_key").alias("doc_id"), "text"), whole_characters=True
+        keyed.select(F.col(key).alias("doc_id"), "text"), whole_characters=True
     ).where("n_bytes > n_removed or n_bytes = 0")
-    cut = cut.select(F.col("doc_id").alias("_key"), F.decode("kept", "utf-8").alias("_kept"))
-    rest = keyed.withColumn("_none", F.col("text").isNull()).drop("text").join(cut, "_key")
-    out = rest.withColumn("text", F.when(~F.col("_none"), F.col("_kept")))
+    cut = cut.select(F.col("doc_id").alias(key), F.decode("kept", "utf-8").alias(kept))
+    rest = keyed.withColumn(none, F.col("text").isNull()).drop("text").join(cut, key)
+    out = rest.withColumn("text", F.when(~F.col(none), F.col(kept)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -66,7 +92,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack_documents),
 ]
 
-#: Trained code lengths and tokenizer ids are beyond SQL; the tests hold the stages against brute force.
+#: Trained code lengths and tokenizer ids are beyond SQL; a test holds ``run`` against brute force.
 ORACLE_SQL: str | None = None
 
 
