@@ -1,6 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from trovelake.sources import vector_store
 from trovelake.sources.vector_store import (
     VectorCollection,
     last_writer_wins,
@@ -94,3 +97,41 @@ def test_stream_of_documents_updates_a_collection(spark, tmp_path):
     texts = {r.doc_id: r.text for r in collection.rows().collect()}
     assert texts == {"d0": "kept", "d9": "kept", "d4": "T\nh\nfourth",
                      "d1": "T\nh\nchanged", "d2": "T\nh\nsecond", "d3": "T\nh\nthird"}
+
+
+def newest(batches) -> dict:
+    found = {}
+    for batch in batches:
+        found |= batch
+    return found
+
+
+@pytest.mark.parametrize("pages", [4096, 2])
+def test_merge_on_read(spark, tmp_path, monkeypatch, pages):
+    """Many batches of several files, small pages, one or more broadcasts: the newest row of every id, no row moved."""
+    rng = random.Random(pages)
+    monkeypatch.setattr(vector_store, "PAGE_ROWS", 64)
+    monkeypatch.setattr(vector_store, "BROADCAST_PAGES", pages)
+    collection, batches = VectorCollection(spark, str(tmp_path)), []
+    for n in range(5):
+        ids = [None, *rng.sample(range(300), 250 if n == 0 else 40)]
+        batch = {None if i is None else f"c{i}": f"{n}/{i}" for i in ids}
+        batches.append(batch)
+        collection.upsert(rows(spark, *((i, [float(n)], t) for i, t in batch.items())).repartition(4))
+    assert {r.chunk_id: r.text for r in collection.rows().collect()} == newest(batches)
+    assert collection.rows().count() == len(newest(batches))
+    plan = collection.rows()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_bitmaps_of_repeated_and_concurrent_batches(spark, tmp_path, monkeypatch):
+    collection = VectorCollection(spark, str(tmp_path))
+    collection.upsert(rows(spark, ("a", [1.0], "1"), ("b", [1.0], "1"), ("c", [1.0], "1")), writer="w w/%")
+    collection.upsert(rows(spark, ("b", [2.0], "2"), ("d", [2.0], "2")), writer="x")
+    collection.upsert(rows(spark, ("a", [3.0], "3")), writer="y")
+    collection.upsert(rows(spark, ("d", [4.0], "4"), ("c", [4.0], "4")), writer="x")  # repeated: gives b back, newer than 0 only
+    assert {r.chunk_id: r.text for r in collection.rows().collect()} == {"a": "3", "b": "1", "c": "4", "d": "4"}
+    other = VectorCollection(spark, str(tmp_path))
+    monkeypatch.setattr(other, "batches", lambda: {})  # a writer that saw no batch takes version 0 as well
+    other.upsert(rows(spark, ("e", [5.0], "5"), ("a", [5.0], "old")), writer="a")
+    assert {r.chunk_id: r.text for r in collection.rows().collect()} == {"a": "3", "b": "1", "c": "4", "d": "4", "e": "5"}

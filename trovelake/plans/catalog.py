@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trovelake import fixed_values as fv
 from trovelake.functions import text as tx
 from trovelake.functions.vector import cosine_similarity, l2_norm
-from trovelake.operators import answering, bm25, chunking, query
+from trovelake.operators import answering, bm25, chunking, inverted, query
 from trovelake.operators.embedding import HashingEmbedder
 from trovelake.operators.containment import containing
 from trovelake.operators.evaluation import (
@@ -422,6 +422,28 @@ def collection_search_filtered(spark, sf_dir):
     return _collection_hits(hits)
 
 
+def vector_questions(spark, sf_dir):
+    """Every row whose vec_id is divisible by 100, as a query."""
+    return stored_vectors(spark, sf_dir).where("doc_pos % 100 = 0").select(
+        F.col("doc_pos").alias("qid"), F.lit(0).alias("variant"), "embedding")
+
+
+def _scaled(factor):
+    return F.transform("embedding", lambda x: x * factor).alias("embedding")
+
+
+def collection_search_by_vector(spark, sf_dir):
+    """Queries from the table itself, after five batches that replace rows, some of them twice."""
+    rows = stored_vectors(spark, sf_dir).select(
+        "*", F.col("doc_pos").cast("string").alias("chunk_id"), F.lit("b0").alias("text"))
+    collection = VectorCollection(spark, scratch_dir(spark))
+    collection.upsert(rows)
+    for batch, (condition, factor) in enumerate((("doc_pos % 7 = 1", -1), ("doc_pos % 7 = 2", -2), ("doc_pos % 7 = 3", 3), ("doc_pos % 14 = 1", 2)), 1):
+        collection.upsert(rows.where(condition).select(
+            *(c for c in rows.columns if c not in ("embedding", "text")), _scaled(factor), F.lit(f"b{batch}").alias("text")))
+    return _collection_hits(collection.search(vector_questions(spark, sf_dir)))
+
+
 def hash_embedding(spark, sf_dir):
     rows = embed_chunks(_chunks(spark, sf_dir, "recursive"), HashingEmbedder(hasher="md5"))
     cells = unnest(rows, F.col("embedding"), "bucket", "value", keep=("chunk_id",)).where("value <> 0")
@@ -500,6 +522,36 @@ def bm25_topk_source_filtered(spark, sf_dir):
     return _bm25(spark, sf_dir, SOURCE_FILTERS)
 
 
+_postings: dict[tuple[str, str], str] = {}
+
+
+def corpus_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored inverted index of a table folder, built once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _postings:
+        index = corpus_index(spark, sf_dir)
+        _postings[key] = inverted.write_postings(index.chunks, f"{index.path}/postings", ("product_type", "source"))
+    return inverted.read_postings(spark, _postings[key])
+
+
+def _bm25_index(spark, sf_dir, filters=None):
+    index = corpus_index(spark, sf_dir)
+    asked = questions(spark, sf_dir).select(
+        "qid", F.lit(0).alias("variant"), tx.tokenize(F.col("query")).alias("tokens")
+    )
+    hits = inverted.indexed_topk(corpus_postings(spark, sf_dir), index.terms, index.stats, asked, filters=filters)
+    score = F.round("score", 6).alias("score")
+    return _numbered(hits).select("qid", "rank", "doc_pos", "piece", score)
+
+
+def bm25_index_topk(spark, sf_dir):
+    return _bm25_index(spark, sf_dir)
+
+
+def bm25_index_topk_filtered(spark, sf_dir):
+    return _bm25_index(spark, sf_dir, FILTERS)
+
+
 # --- retrieval -----------------------------------------------------------------
 
 
@@ -738,6 +790,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "collection_upsert": collection_upsert,
     "collection_search": collection_search,
     "collection_search_filtered": collection_search_filtered,
+    "collection_search_by_vector": collection_search_by_vector,
     "hash_embedding": hash_embedding,
     "hash_vector_topk": hash_vector_topk,
     "hash_vector_mmr": hash_vector_mmr,
@@ -748,6 +801,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": bm25_topk,
     "bm25_topk_filtered": bm25_topk_filtered,
     "bm25_topk_source_filtered": bm25_topk_source_filtered,
+    "bm25_index_topk": bm25_index_topk,
+    "bm25_index_topk_filtered": bm25_index_topk_filtered,
     "infer_filters": infer_filters,
     "expand_queries": expand_queries,
     "hybrid_topk": hybrid_topk,

@@ -547,6 +547,16 @@ FINAL: dict[str, str] = {
   FROM cells WHERE pos = 1 GROUP BY 1""",
     "collection_search": _collection("TRUE"),
     "collection_search_filtered": _collection("label % 2 = 0"),
+    "collection_search_by_vector": f"""
+  SELECT qid, rank, vec_id, text, label, round(1.0 / (1.0 + gap * gap), 6) AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY gap, vec_id) AS rank FROM (
+      SELECT q.vec_id AS qid, v.vec_id, v.text, v.label, list_distance(q.e, list_transform(v.e, lambda x: x * v.factor)) AS gap
+      FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 100 = 0) AS q
+      CROSS JOIN (
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+          CASE WHEN vec_id % 14 = 1 THEN 2 WHEN vec_id % 7 = 1 THEN -1 WHEN vec_id % 7 = 2 THEN -2 WHEN vec_id % 7 = 3 THEN 3 ELSE 1 END AS factor,
+          CASE WHEN vec_id % 14 = 1 THEN 'b4' WHEN vec_id % 7 BETWEEN 1 AND 3 THEN 'b' || (vec_id % 7) ELSE 'b0' END AS text
+        FROM embeddings) AS v)) WHERE rank <= {K}""",
     "hash_embedding": """
   SELECT chunk_id, count(*) AS nonzero, round(sum(val / norm), 6) AS total, round(sum(val / norm * bucket), 6) AS moment
   FROM chunk_cells JOIN chunk_norms USING (doc_pos, piece) JOIN chunks USING (doc_pos, piece)
@@ -561,6 +571,8 @@ FINAL: dict[str, str] = {
     "bm25_corpus_stats": "SELECT n, round(avgdl, 6) AS avgdl FROM corpus_stats",
     "bm25_topk": _bm25_sql("plain"),
     "bm25_topk_filtered": _bm25_sql("en"),
+    "bm25_index_topk": _bm25_sql("plain"),
+    "bm25_index_topk_filtered": _bm25_sql("en"),
     "bm25_topk_source_filtered": _bm25_sql(
         "plain", "(doc_pos, piece) IN (SELECT (doc_pos, piece) FROM chunks WHERE source = 'src1')"
     ),
