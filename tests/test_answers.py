@@ -89,6 +89,25 @@ def test_batch_with_a_stored_cache(spark, pipeline, tmp_path):
     assert cache.missing(later.withColumn("mode", F.lit("mmr"))).count() == 1
 
 
+def test_one_stored_response_for_each_key(spark, pipeline, tmp_path):
+    """Writers that did not see each other, and equal requests without the answers' own cache."""
+    cache = AnswerCache(spark, str(tmp_path / "answers"))
+    requests = spark.createDataFrame([(1, "q", None), (2, "q", None), (3, "q", "loan")], "qid bigint, question string, product_type string")
+    plain = AnswerPipeline(pipeline.index, RuleBasedGenerator(), cache_enabled=False)
+    assert plain.answer_batch(requests, cache=cache).count() == 3
+    assert cache.stored().count() == 2
+    kind = "qid bigint, question string, answer string, product_type string, mode string"
+    for name, answer in (("a", "first"), ("b", "second")):
+        row = spark.createDataFrame([(9, "new", answer, None, "hybrid")], kind)
+        row.write.parquet(f"{cache.path}/version=5/batch={name}")  # two writers that took the same version
+    cache.add(spark.createDataFrame([(9, "new", "late", None, "hybrid")], kind))
+    for known in (cache, cache.compact(str(tmp_path / "compact"))):
+        rows = known.stored().where("question = 'new'").collect()
+        assert [r.answer for r in rows] == ["first"]
+    asked = spark.createDataFrame([(1, "new", None)], "qid bigint, question string, product_type string")
+    assert [r.answer for r in pipeline.answer_batch(asked, cache=cache).collect()] == ["first"]
+
+
 def test_batch_without_cache_answers_every_request(spark, sample_index):
     requests = spark.createDataFrame([(1, "Вклад"), (2, "Вклад")], "qid bigint, question string")
     pipeline = AnswerPipeline(sample_index, RuleBasedGenerator(), cache_enabled=False)

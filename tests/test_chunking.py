@@ -1,3 +1,6 @@
+import random
+import time
+
 import brute
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -12,7 +15,7 @@ from trovelake.operators.chunking import (
     sliding_windows,
     split_text,
 )
-from trovelake.operators.separator_split import separator_pieces
+from trovelake.operators.separator_split import separator_pieces, split_by_separators
 
 
 def windows(spark, text, size, overlap):
@@ -121,3 +124,55 @@ def test_separator_splitter_as_a_column(sample):
 def test_plan_has_no_shuffle_beyond_spreading_and_evaluates_windows_once(spark, sample):
     plan = chunk_documents(sample)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def fold(text, separators, size, overlap):
+    """The specified scheme by plain lists: cut level by level, then merge settled parts of one run."""
+    parts = [(text, 0, False)]
+    for level, sep in enumerate(separators, 1):
+        new = []
+        for i, (t, run, settled) in enumerate(parts):
+            if settled or not (level == len(separators) or not sep or sep in t):
+                new.append((t, run, settled))
+                continue
+            own = list(t) if not sep else [p if n == 0 else sep + p for n, p in enumerate(t.split(sep))]
+            new += [(p, (level, i), len(p) < size) for p in own if p]
+        parts = new
+    chunks, window, run = [], [], None
+    for t, own, settled in parts:
+        if not settled:
+            chunks += ["".join(window), t]
+            window, run = [], None
+        elif own != run:
+            chunks.append("".join(window))
+            window, run = [t], own
+        elif sum(map(len, window)) + len(t) > size:
+            chunks.append("".join(window))
+            while window and sum(map(len, window)) > min(overlap, size - len(t)):
+                window.pop(0)
+            window.append(t)
+        else:
+            window.append(t)
+    return [c.strip() for c in [*chunks, "".join(window)] if c.strip()]
+
+
+def test_separator_splitter_by_brute_force():
+    rng = random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choices(["a", "bb", "é", " ", ". ", "\n", "\n\n", "! ", "xyz" * 5, " "], k=rng.randint(0, 60)))
+        separators = rng.choice([*fv.SPLIT_SEPARATORS.values(), ("\n", " "), (". ", ""), ("bb",)])
+        size, overlap = rng.randint(1, 30), rng.randint(0, 12)
+        assert split_by_separators(text, separators, size, overlap) == (fold(text, separators, size, overlap) if text else [])
+
+
+def test_separator_splitter_is_linear():
+    rng = random.Random(1)
+    sentence = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(12)) + ". "
+    text = "".join(sentence() for _ in range(9500))  # 800 KB
+    times = []
+    for part in (text, text * 12):  # 10 MB
+        started = time.perf_counter()
+        chunks = split_by_separators(part, fv.SPLIT_SEPARATORS["recursive"], 700, 120)
+        times.append(time.perf_counter() - started)
+        assert len(chunks) > len(part) / 700
+    assert times[0] < 1 and times[1] < 40 * max(times[0], 0.05)

@@ -35,9 +35,9 @@ def test_ask_and_evaluate(spark, capsys, tmp_path):
 
 def test_stored_index_is_opened_and_quality_commands(spark, capsys, tmp_path):
     run(capsys, tmp_path, "ask", "вклад", "--build")
-    files = sorted(p.name for p in (tmp_path / "index" / "chunks").iterdir())
+    files = sorted(p.name for p in (tmp_path / "index").rglob("*"))
     run(capsys, tmp_path, "ask", "вклад")
-    assert sorted(p.name for p in (tmp_path / "index" / "chunks").iterdir()) == files
+    assert sorted(p.name for p in (tmp_path / "index").rglob("*")) == files
     compared = json.loads(run(capsys, tmp_path, "compare-chunking"))
     assert set(compared) == {"size", "sentence", "recursive"} and all(m["questions"] == 20 for m in compared.values())
     quality = json.loads(run(capsys, tmp_path, "evaluate-rag"))

@@ -146,3 +146,21 @@ def test_one_question_fetches_the_texts_of_its_hits_only(spark, sample_index):
     scan = df._jdf.queryExecution().executedPlan().toString().split("FileScan parquet")[1]
     assert "EqualTo(doc_pos" in scan.split("PushedFilters: ")[1].split("\n")[0]
     assert "embedding" not in scan.split("ReadSchema: ")[1].split("\n")[0]
+
+
+def test_added_documents_equal_a_rebuild(spark, sample, sample_index, tmp_path):
+    from trovelake.plans.index import add_documents, build_index
+
+    path = str(tmp_path / "grown")
+    middle = sample.agg(F.median("doc_pos")).first()[0]
+    old = build_index(spark, sample.where(F.col("doc_pos") < middle), path)
+    grown = add_documents(spark, sample.where(F.col("doc_pos") >= middle), path)
+    assert grown.stats == sample_index.stats
+    rows = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+    assert rows(grown.terms, "term", "df", "idf") == rows(sample_index.terms, "term", "df", "idf")
+    assert rows(grown.chunks, "doc_pos", "piece", "text") == rows(sample_index.chunks, "doc_pos", "piece", "text")
+    before = old.chunks.count()
+    again = build_index(spark, sample, path)  # a new version: readers of the others keep theirs
+    assert old.chunks.count() == before < again.n == grown.chunks.count() == open_index(spark, path).n
+    shifted = add_documents(spark, sample, path)
+    assert shifted.n == 2 * again.n and shifted.chunks.select("doc_pos", "piece").distinct().count() == shifted.n

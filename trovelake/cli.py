@@ -10,7 +10,6 @@ import json
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from trovelake import fixed_values as fv
@@ -93,9 +92,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
     if args.command == "ask":
         try:
             found = index() if args.build else open_index(spark, args.index_path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        except ValueError as error:
             raise SystemExit(f"no index at {args.index_path}: run build-index, or ask with --build") from error
         pipeline = AnswerPipeline(found, create_generator())
         response = pipeline.answer(args.question, product_type=args.product_type, mode=args.mode)

@@ -66,12 +66,20 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
-def term_stats(chunks: DataFrame, n: int) -> DataFrame:
-    """df and idf per term; a hot term shrinks to one row per task before the shuffle."""
-    df = F.col("df")
-    idf = F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5))
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """df per term; a hot term shrinks to one row per task before the shuffle.  Counts of parts of a corpus add up."""
     terms = unnest(with_tokens(chunks), F.array_distinct("tokens"), "term", keep=())
-    return terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf)
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def with_idf(counts: DataFrame, n: int) -> DataFrame:
+    df = F.col("df")
+    return counts.withColumn("idf", F.log(1 + (F.lit(n) - df + 0.5) / (df + 0.5)))
+
+
+def term_stats(chunks: DataFrame, n: int) -> DataFrame:
+    """df and idf per term."""
+    return with_idf(term_counts(chunks), n)
 
 
 def _bm25_kernel(asked: pa.Table, idf: pa.Table, avgdl: float, k1: float, b: float):

@@ -1,123 +1,83 @@
-"""Separator-based splitting: an alternative to character windows, as column expressions.
+"""Separator-based splitting: an alternative to character windows, in time linear in the text.
 
 Text is cut at the coarsest separator it contains, parts that are too long are cut at finer
-ones, and neighbours are merged up to the chunk size with a tail kept as overlap.
+ones, and neighbours are merged up to the chunk size with a tail kept as overlap.  A part is
+*settled* once it is shorter than the chunk size; settled neighbours that were cut from one
+text are a run, and only parts of a run are merged.
 
-The descent is a fold over the separators, coarsest first.  Its state is the list of parts
-in reading order; a part is *settled* once it is shorter than the chunk size, and one that is
-not is replaced by its own parts at the first separator it contains.  Settled neighbours that
-were cut from one text are a run; merging is a second fold, over the parts.
+The parts are places in the text: each separator looks at the unsettled stretches only, and
+chunks are slices between two borders of parts.  As a part is never longer than the text it
+was cut from, every level reads each character once, and merging reads each border once.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trovelake.functions.text import let, strip
 
-_STATE = (
-    "struct<chunks:array<string>,window:array<struct<text:string,n:int>>,total:int,run:bigint>"
-)
-
-
-def _cut(text: Column, separator: str) -> Column:
-    """Non-empty parts of the text, each later part keeping the separator in front."""
+def _cuts(text: str, separator: str, start: int, end: int) -> Iterator[int]:
+    """Where the parts of a stretch begin, beside its start; each later part has the separator in front."""
     if not separator:
-        return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    quoted = re.sub(r"([^\w\s])", r"\\\1", separator)
-    parts = F.transform(
-        F.split(text, quoted, -1), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(separator), p))
-    )
-    return F.filter(parts, lambda p: p != "")
-
-
-def _part(text: Column, run: Column, size: int) -> Column:
-    n = F.length(text)
-    return F.struct(
-        text.alias("text"), n.alias("n"), run.cast("bigint").alias("run"), (n < size).alias("settled")
-    )
-
-
-def _parts(text: Column, separators: tuple[str, ...], size: int) -> Column:
-    """The fold over the separators: (text, n, run, settled) in reading order."""
-    start = F.struct(
-        text.alias("text"), F.length(text).alias("n"), F.lit(0).cast("bigint").alias("run"),
-        F.lit(False).alias("settled"),
-    )
-    parts = F.array(start)
-    for level, separator in enumerate(separators, 1):
-        cut_all = _descent(level << 32, separator, size, level == len(separators))
-        parts = let(parts, cut_all)
+        yield from range(start + 1, end)
+        return
+    at = text.find(separator, start, end)
+    while at >= 0:
+        yield at
+        at = text.find(separator, at + len(separator), end)
+
+
+def _parts(text: str, separators: tuple[str, ...], size: int) -> list[tuple[int, int, int, bool]]:
+    """(start, end, run, settled) in reading order."""
+    parts, run = [(0, len(text), 0, False)], 0
+    for separator in separators:
+        finer = []
+        for part in parts:
+            start, end, _, settled = part
+            last = separator == separators[-1] or not separator
+            if settled or not (last or text.find(separator, start, end) >= 0):
+                finer.append(part)
+                continue
+            run += 1
+            for cut in (*_cuts(text, separator, start, end), end):
+                if cut > start:
+                    finer.append((start, cut, run, cut - start < size))
+                start = cut
+        parts = finer
     return parts
 
 
-def _descent(base: int, separator: str, size: int, last: bool) -> Callable[[Column], Column]:
-    """Replace each part that isn't settled and contains the separator by its own parts."""
-
-    def step(part: Column, i: Column) -> Column:
-        run = F.lit(base) + i
-        pieces = F.transform(_cut(part["text"], separator), lambda p: _part(p, run, size))
-        here = F.lit(True) if last or not separator else F.contains(part["text"], F.lit(separator))
-        return F.when(~part["settled"] & here, pieces).otherwise(F.array(part))
-
-    return lambda parts: F.flatten(F.transform(parts, step))
-
-
-def _joined(window: Column) -> Column:
-    return F.filter(
-        F.array(strip(F.array_join(F.transform(window, lambda w: w["text"]), ""))), lambda c: c != ""
-    )
-
+def _merged(text: str, parts: list[tuple[int, int, int, bool]], size: int, overlap: int) -> list[str]:
+    """Chunks: runs of parts up to the size; the next chunk begins with a tail of at most ``overlap`` characters."""
+    chunks, first, run = [], 0, -1  # the open chunk holds the parts from ``first`` on
 
-def _tail(window: Column, most: Column) -> Column:
-    """The longest tail of the window with at most ``most`` characters."""
-    none = F.array().cast("array<struct<text:string,n:int>>")
-    start = F.struct(none.alias("kept"), F.lit(0).alias("total"), F.lit(True).alias("open"))
+    def flush(low: int, high: int) -> None:
+        if low < high and (chunk := text[parts[low][0] : parts[high - 1][1]].strip()):
+            chunks.append(chunk)
 
-    def step(state: Column, part: Column) -> Column:
-        fits = state["open"] & (state["total"] + part["n"] <= most)
-        return F.struct(
-            F.when(fits, F.concat(F.array(part), state["kept"])).otherwise(state["kept"]).alias("kept"),
-            F.when(fits, state["total"] + part["n"]).otherwise(state["total"]).alias("total"),
-            fits.alias("open"),
-        )
+    for i, (start, end, own, settled) in enumerate(parts):
+        if not settled:
+            flush(first, i)
+            flush(i, i + 1)
+            first, run = i + 1, -1
+        elif own != run:
+            flush(first, i)
+            first, run = i, own
+        elif end - parts[first][0] > size:
+            flush(first, i)
+            most = min(overlap, size - (end - start))
+            while first < i and start - parts[first][0] > most:
+                first += 1
+    flush(first, len(parts))
+    return chunks
 
-    return F.aggregate(F.reverse(window), start, step)
 
-
-def _merged(parts: Column, size: int, overlap: int) -> Column:
-    none = F.array().cast("array<struct<text:string,n:int>>")
-    start = F.struct(
-        F.array().cast("array<string>").alias("chunks"), none.alias("window"), F.lit(0).alias("total"),
-        F.lit(-1).cast("bigint").alias("run"),
-    ).cast(_STATE)
-
-    def state(chunks: Column, window: Column, total: Column, run: Column) -> Column:
-        return F.struct(chunks.alias("chunks"), window.alias("window"), total.alias("total"), run.alias("run")).cast(_STATE)
-
-    def step(s: Column, part: Column) -> Column:
-        own = F.array(F.struct(part["text"].alias("text"), part["n"].alias("n")))
-        flushed = F.concat(s["chunks"], _joined(s["window"]))
-        alone = state(F.concat(flushed, _joined(own)), none, F.lit(0), F.lit(-1))
-        first = state(flushed, own, part["n"], part["run"])
-        more = state(s["chunks"], F.concat(s["window"], own), s["total"] + part["n"], s["run"])
-        most = F.least(F.lit(overlap), F.lit(size) - part["n"])
-        full = let(
-            _tail(s["window"], most),
-            lambda t: state(flushed, F.concat(t["kept"], own), t["total"] + part["n"], s["run"]),
-        )
-        return (
-            F.when(~part["settled"], alone)
-            .when(s["run"] != part["run"], first)
-            .when(s["total"] + part["n"] > size, full)
-            .otherwise(more)
-        )
-
-    return F.aggregate(parts, start, step, lambda s: F.concat(s["chunks"], _joined(s["window"])))
+def split_by_separators(text: str | None, separators: tuple[str, ...], size: int, overlap: int) -> list[str]:
+    """The chunks of one text, see ``separator_pieces``."""
+    return _merged(text, _parts(text, separators, size), size, overlap) if text else []
 
 
 def separator_pieces(text: Column, separators: tuple[str, ...], size: int, overlap: int) -> Column:
@@ -125,4 +85,9 @@ def separator_pieces(text: Column, separators: tuple[str, ...], size: int, overl
 
     A part of exactly ``size`` characters is cut further where a finer separator allows.
     """
-    return let(_parts(F.coalesce(text, F.lit("")), separators, size), lambda p: _merged(p, size, overlap))
+    separators = tuple(separators)
+
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: split_by_separators(t, separators, size, overlap))
+
+    return F.pandas_udf(pieces, "array<string>")(text)

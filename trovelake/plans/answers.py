@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 import uuid
 from dataclasses import dataclass, field
@@ -88,6 +89,8 @@ def answer_questions(
         valid.alias("citation_validation"),
     )
 
+_VERSION = re.compile(r"/version=(\d+)/batch=")
+
 
 def first_requests(requests: DataFrame) -> DataFrame:
     """The earliest request of every (question, product_type, mode).
@@ -113,22 +116,36 @@ def replay(requests: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 class AnswerCache:
-    """Responses kept across runs as Parquet, one folder per stored batch."""
+    """Responses kept across runs as Parquet, one folder per stored batch.
+
+    Writers only append.  Each batch takes a version above those it sees; where batches hold
+    the same key, as those of concurrent writers, the one of the smallest version counts
+    (then the smallest name), for all readers alike.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def stored(self) -> DataFrame | None:
+    def _batches(self) -> DataFrame | None:
         try:
-            return self.spark.read.parquet(f"{self.path}/*")
+            return self.spark.read.parquet(self.path)
         except AnalysisException as error:
             if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 return None
             raise
 
+    def stored(self) -> DataFrame | None:
+        """One response for each key."""
+        found = self._batches()
+        if found is None:
+            return None
+        others = [c for c in found.columns if c not in (*CACHE_KEY, "version", "batch")]
+        first = F.min_by(F.struct(*others), F.struct("version", "batch", "qid"))
+        return found.groupBy(*CACHE_KEY).agg(first.alias("_first")).select(*CACHE_KEY, "_first.*")
+
     def missing(self, requests: DataFrame) -> DataFrame:
         """Requests whose key has no stored response."""
-        known = self.stored()
+        known = self._batches()
         if known is None:
             return requests
         left, right = requests.alias("r"), known.select(*CACHE_KEY).alias("s")
@@ -136,7 +153,18 @@ class AnswerCache:
         return left.join(right, same[0] & same[1] & same[2], "left_anti")
 
     def add(self, responses: DataFrame) -> None:
-        responses.write.parquet(f"{self.path}/batch={uuid.uuid4().hex}")
+        found = self._batches()
+        names = found.inputFiles() if found is not None else []
+        version = 1 + max((int(m[1]) for n in names if (m := _VERSION.search(n))), default=-1)
+        responses.write.parquet(f"{self.path}/version={version}/batch={uuid.uuid4().hex}")
+
+    def compact(self, path: str) -> AnswerCache:
+        """Write the responses that count as the first batch of a new cache elsewhere."""
+        target = AnswerCache(self.spark, path)
+        found = self.stored()
+        if found is not None:
+            found.write.mode("overwrite").parquet(f"{target.path}/version=0/batch=compact")
+        return target
 
 
 @dataclass

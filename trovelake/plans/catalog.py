@@ -27,7 +27,7 @@ from trovelake.operators.fusion import compress_text, merge_variants
 from trovelake.operators.generators import RuleBasedGenerator
 from trovelake.operators.vector_search import mmr_topk, vector_topk
 from trovelake.plans.evaluate import answer_proxies, compare_chunking, gold_ranks
-from trovelake.plans.index import CorpusIndex, build_index, embed_chunks
+from trovelake.plans.index import CorpusIndex, add_documents, build_index, embed_chunks
 from trovelake.plans.answers import AnswerPipeline, answer_questions, first_requests, replay
 from trovelake.plans.retrieve import retrieve, search_variants
 from trovelake.runtime import (
@@ -522,6 +522,21 @@ def bm25_topk_source_filtered(spark, sf_dir):
     return _bm25(spark, sf_dir, SOURCE_FILTERS)
 
 
+def bm25_after_add(spark, sf_dir):
+    """BM25 over an index of half of the documents to which the others were added in two steps."""
+    every = documents(spark, sf_dir)
+    path, embedder = scratch_dir(spark), HashingEmbedder(hasher="md5")
+    part = F.pmod(F.xxhash64("doc_pos"), F.lit(4))
+    index = build_index(spark, every.where(part < 2), path, "recursive", embedder)
+    for n in (2, 3):
+        index = add_documents(spark, every.where(part == n), path, "recursive", embedder, keep_positions=True)
+    asked = questions(spark, sf_dir).select(
+        "qid", F.lit(0).alias("variant"), tx.tokenize(F.col("query")).alias("tokens")
+    )
+    hits = bm25.bm25_topk(index.chunks, index.terms, index.stats, asked)
+    return _numbered(hits).select("qid", "rank", "doc_pos", "piece", F.round("score", 6).alias("score"))
+
+
 _postings: dict[tuple[str, str], str] = {}
 
 
@@ -699,7 +714,7 @@ def answer_cache(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
     word = F.get(tx.tokenize(F.col("text")), F.lit(0))
     requests = turns.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"),
+        (F.col("conv_id") * 1048576 + F.col("turn")).alias("qid"),
         F.coalesce(word, F.lit("")).alias("question"),
         F.when(F.col("turn") > 2, F.lit("late")).alias("product_type"),
         F.lit("hybrid").alias("mode"),
@@ -801,6 +816,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": bm25_topk,
     "bm25_topk_filtered": bm25_topk_filtered,
     "bm25_topk_source_filtered": bm25_topk_source_filtered,
+    "bm25_after_add": bm25_after_add,
     "bm25_index_topk": bm25_index_topk,
     "bm25_index_topk_filtered": bm25_index_topk_filtered,
     "infer_filters": infer_filters,

@@ -571,6 +571,7 @@ FINAL: dict[str, str] = {
     "bm25_corpus_stats": "SELECT n, round(avgdl, 6) AS avgdl FROM corpus_stats",
     "bm25_topk": _bm25_sql("plain"),
     "bm25_topk_filtered": _bm25_sql("en"),
+    "bm25_after_add": _bm25_sql("plain"),
     "bm25_index_topk": _bm25_sql("plain"),
     "bm25_index_topk_filtered": _bm25_sql("en"),
     "bm25_topk_source_filtered": _bm25_sql(
@@ -616,7 +617,7 @@ FINAL: dict[str, str] = {
         WHERE c.role = 'user')""",
     "answer_cache": f"""
   SELECT qid, question, min(qid) OVER (PARTITION BY question, late) AS answered_by FROM (
-    SELECT conv_id * 1000 + turn AS qid, turn > 2 AS late, coalesce({tokens('text')}[1], '') AS question
+    SELECT conv_id * 1048576 + turn AS qid, turn > 2 AS late, coalesce({tokens('text')}[1], '') AS question
     FROM conversations WHERE role = 'user')""",
     "first_rank": "SELECT qid, expected_doc_id, rank FROM ranks_gold",
     "hit_rate_mrr": f"""

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from trovelake import fixed_values as fv
 from trovelake.functions.text import clean_text
 from trovelake.runtime import spread
+from trovelake.sources.json_array import read_json_array, write_json_array
 
 SCALARS = ("doc_id", "title", "product_type", "updated_at", "source")
 SECTION = T.StructType(
@@ -47,15 +48,15 @@ def clean_documents(raw: DataFrame) -> DataFrame:
 
 
 def load_documents(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
-    """Read documents from a JSON array file, or with ``lines`` from JSON Lines (splittable)."""
-    raw = (
-        spark.read.schema(DOCUMENT_SCHEMA)
-        .option("multiLine", not lines)
-        .option("encoding", "UTF-8")
-        .option("mode", "FAILFAST")
-        .json(path)
-    )
-    raw = raw.withColumn("doc_pos", F.monotonically_increasing_id())
+    """Read documents from files of one JSON array each, or with ``lines`` from JSON Lines.
+
+    Both are read by many tasks, also where there is one large file.
+    """
+    if lines:
+        raw = spark.read.schema(DOCUMENT_SCHEMA).option("encoding", "UTF-8").option("mode", "FAILFAST").json(path)
+        raw = raw.withColumn("doc_pos", F.monotonically_increasing_id())
+    else:
+        raw = read_json_array(spark, path, DOCUMENT_SCHEMA)
     return clean_documents(spread(raw, "doc_pos"))
 
 
@@ -80,9 +81,12 @@ def load_questions(spark: SparkSession, path: str, *, lines: bool = False) -> Da
     return clean_questions(raw)
 
 
-def write_clean_documents(documents: DataFrame, path: str) -> str:
-    """Overwrite ``path`` with cleaned documents as JSON Lines, written by the executors."""
-    documents.select(*SCALARS, "sections").write.mode("overwrite").json(path)
+def write_clean_documents(documents: DataFrame, path: str, *, array: bool = False) -> str:
+    """Overwrite ``path`` with cleaned documents, written by the executors: JSON Lines, or an array in each file."""
+    rows = documents.select(*SCALARS, "sections")
+    if array:
+        return write_json_array(rows, path)
+    rows.write.mode("overwrite").json(path)
     return path
 
 
