@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trovelake.llm.tables import stored
-from trovelake.runtime import per_block
+from trovelake.runtime import per_block, scratch_dir
 
 #: Queries that are broadcast together, and their components in all.
 BLOCK_QUERIES = 1024
@@ -119,9 +119,12 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
         found = table.mapInArrow(_chosen(state), "query_id long, vec_id long, score long")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        return ranked.select("query_id", "rank", "vec_id", "score")
+        ranked.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+        return block
 
-    return per_block(asked, run, key="query_id", weight="v", max_rows=BLOCK_QUERIES, max_weight=BLOCK_COMPONENTS)
+    path = scratch_dir(spark)  # one table for all blocks, so that the result's plan doesn't grow with them
+    per_block(asked, run, key="query_id", weight="v", max_rows=BLOCK_QUERIES, max_weight=BLOCK_COMPONENTS)
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)
 
 
 def _histogram(table: DataFrame, state: _Block) -> pa.Table:
