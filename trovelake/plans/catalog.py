@@ -25,6 +25,7 @@ from trovelake.operators.evaluation import (
 )
 from trovelake.operators.fusion import compress_text, merge_variants
 from trovelake.operators.generators import RuleBasedGenerator
+from trovelake.operators.pruned_search import pruned_topk, write_pivoted
 from trovelake.operators.vector_search import mmr_topk, vector_topk
 from trovelake.plans.evaluate import answer_proxies, compare_chunking, gold_ranks
 from trovelake.plans.index import CorpusIndex, add_documents, build_index, embed_chunks
@@ -432,6 +433,12 @@ def _scaled(factor):
     return F.transform("embedding", lambda x: x * factor).alias("embedding")
 
 
+def vector_pruned_topk(spark, sf_dir):
+    """Every hundredth vector against all, over a table laid out by pivots."""
+    path = write_pivoted(stored_vectors(spark, sf_dir), scratch_dir(spark))
+    return _hits(pruned_topk(spark, path, vector_questions(spark, sf_dir)), "vec_id")
+
+
 def collection_search_by_vector(spark, sf_dir):
     """Queries from the table itself, after five batches that replace rows, some of them twice."""
     rows = stored_vectors(spark, sf_dir).select(
@@ -805,6 +812,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "collection_upsert": collection_upsert,
     "collection_search": collection_search,
     "collection_search_filtered": collection_search_filtered,
+    "vector_pruned_topk": vector_pruned_topk,
     "collection_search_by_vector": collection_search_by_vector,
     "hash_embedding": hash_embedding,
     "hash_vector_topk": hash_vector_topk,

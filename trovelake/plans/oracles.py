@@ -547,6 +547,11 @@ FINAL: dict[str, str] = {
   FROM cells WHERE pos = 1 GROUP BY 1""",
     "collection_search": _collection("TRUE"),
     "collection_search_filtered": _collection("label % 2 = 0"),
+    "vector_pruned_topk": f"""
+  SELECT qid, rank, vec_id, round(score, 6) AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, vec_id) AS rank FROM (
+      SELECT q.vec_id AS qid, v.vec_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score
+      FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) AS q CROSS JOIN embeddings AS v)) WHERE rank <= {K}""",
     "collection_search_by_vector": f"""
   SELECT qid, rank, vec_id, text, label, round(1.0 / (1.0 + gap * gap), 6) AS score FROM (
     SELECT *, row_number() OVER (PARTITION BY qid ORDER BY gap, vec_id) AS rank FROM (
