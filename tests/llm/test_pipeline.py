@@ -67,7 +67,7 @@ def languages(rows):
     for i, t, la in rows:
         if t and any(c.isalpha() for c in t):
             bits = min(brute_bits(own, t.encode(), language_id.ORDER) for own in samples.values()) / len(t.encode())
-            if bits <= 8:
+            if bits <= corpus_pipeline.FOREIGN_BITS:
                 out.append((i, t, la))
     return out
 
