@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from trovelake.llm import language_id, ngram_join, packing, suffix_dedup
 from trovelake.llm.tables import stored, unique_keys
 
-#: Bits a byte of the plain text: a text whose code is longer in its best language is in none of them.
-PLAIN_BITS = 8.0
+#: The 8 bits of a plain byte and one for an escape: a text that costs more a byte in its best language is
+#: in none of them.
+FOREIGN_BITS = 9.0
 
 
 def _unused(docs: DataFrame, *names: str) -> list[str]:
@@ -36,8 +37,8 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in one of the languages of the corpus; null texts and texts without a letter go.
 
     The trees are fitted on the documents' own language tags, which are no input of a prediction.
-    A text goes whose code in the predicted, cheapest language is longer than the text itself
-    (``PLAIN_BITS`` a byte), as that of an unknown alphabet or of random characters.  Where no
+    A text goes whose code in the predicted, cheapest language is longer than the text itself and
+    an escape for each byte (``FOREIGN_BITS``), as that of an unknown alphabet or of random characters.  Where no
     text has a tag, no language can be told apart and every text with a letter stays.
     """
     model = language_id.train(docs)
@@ -45,7 +46,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         return docs.where(F.col("text").rlike(r"\p{L}"))
     (row,) = _unused(docs, "row")
     scored = language_id.predict(docs.select(F.struct("*").alias(row), F.col("text").alias("text")), model)
-    told = scored.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("bits_per_byte") <= PLAIN_BITS))
+    told = scored.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("bits_per_byte") <= FOREIGN_BITS))
     return told.select(f"{row}.*")
 
 
