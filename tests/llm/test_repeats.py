@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from trovelake.llm import substring_dedup, suffix_dedup
 from trovelake.llm.repeats import Repeats
+from trovelake.llm.tables import corpus
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -108,3 +110,27 @@ def test_empty_and_repeated_rows(spark):
     got = substring_dedup.remove_repeats(df).collect()
     assert sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in got) == [
         (-1, 0, 0), (-1, 30, 0), (7, 1, 0), (7, 30, 30), (7, 30, 30)]
+
+
+@pytest.mark.parametrize(("size", "anchor"), [(20, 6), (7, 2), (3, 3), (4, 3)])
+@pytest.mark.parametrize("unit", ["words", "bytes"])
+def test_split_anchors(spark, size, anchor, unit):
+    """Anchors of many stretches, split by side, give the same windows."""
+    rows = sorted(sample(3))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    resolve = substring_dedup.extend if unit == "words" else suffix_dedup.by_suffixes
+    kind = Repeats(size, anchor, unit, resolve, split_rows=1)
+    sides = [int(kind._side(np.array([5 << 16 | (size - anchor) << 8 | 1]), s)[0]) & 255 for s in (1, 2)]
+    assert sum(sides) == 1
+    got = set()
+    for r in kind.find(corpus(df)).collect():
+        got |= {(r.key, r.start + i) for i in range(r.run)}
+    seen, wanted = set(), set()
+    for doc_id, text in rows:
+        units = WORD.findall((text or "").encode()) if unit == "words" else (text or "").encode()
+        for s in range(len(units) - size + 1):
+            window = tuple(units[s : s + size])
+            if window in seen:
+                wanted.add((doc_id, s))
+            seen.add(window)
+    assert got == wanted

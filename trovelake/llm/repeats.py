@@ -11,11 +11,12 @@ place, so windows need comparison only where anchors are equal.  A window at the
 passage that very many texts share is anchored outside the passage, so a common seed anchors
 only windows inside it, which are equal.  Windows in a row with one anchor form a stretch:
 
-1. Stretches that are equal as a whole go to one task, where all but the first are repeated.
-   Equal stretches of one batch are settled there, so a passage of many copies crosses the
-   shuffle once per batch.
-2. Anchors left with stretches that differ (the borders of repeats) get their units from the
-   texts, and ``resolve`` compares window by window.
+1. Stretches that are equal as a whole go to one task, by the hash of the whole.  The first two
+   of them stay; further ones repeat the second and are settled, in each batch and again across
+   batches, so a passage of many copies crosses the shuffle at most twice per batch.
+2. All stretches left under an anchor that occurs twice get their units from the texts, and
+   ``resolve`` compares them window by window.  An anchor of very many stretches is split: each
+   of its windows goes by the units on that side of the seed where more of the window lies.
 3. The repeated windows of a document meet its text.
 """
 
@@ -40,6 +41,9 @@ SEGMENT_UNITS = 1 << 20
 #: Cells in which seeds are counted to find the common ones.
 SEED_BITS = 20
 SEED_CELLS = 1 << SEED_BITS
+#: Stretches of one anchor that are compared together; the windows of more are split by side.
+SPLIT_ROWS = 4096
+_WHOLE, _LEFT, _RIGHT = 0, 1, 2
 
 
 @dataclass
@@ -63,6 +67,7 @@ class Repeats:
     unit: str
     #: For each window of a group (stretch, place): is it equal to an earlier one?
     resolve: Callable[[Group, Repeats], tuple[np.ndarray, np.ndarray, np.ndarray]]
+    split_rows: int = SPLIT_ROWS
 
     def find(self, docs: Corpus) -> DataFrame:
         """Runs of repeated windows: key, start, run (windows in a row); runs may touch or overlap."""
@@ -71,7 +76,7 @@ class Repeats:
         parts, common = docs.blocks, self._common_seeds(docs)
         settled = stored(
             docs.docs.select("key", "text").mapInArrow(lambda it: self._stretches(it, common), _STRETCHES)
-            .repartition(parts, "anchor").mapInArrow(_settle, _SETTLED)
+            .repartition(parts, "anchor").mapInArrow(self._settle, _SETTLED)
         )
         runs = settled.where("run > 0").select("key", "start", "run")
         open_ones = settled.where("run = 0").withColumn("block", block_of("key", parts))
@@ -135,8 +140,9 @@ class Repeats:
             if found:
                 anchor, body, key, place = (np.concatenate(c) for c in zip(*found, strict=True))
                 order, again = _equals(anchor, body, key, place)
-                first = order[~again]
-                run = _merged(key[order[again]], place[order[again]] >> 16, place[order[again]] & 255)
+                more = _third(again)
+                first = order[~more]
+                run = _merged(key[order[more]], place[order[more]] >> 16, place[order[more]] & 255)
                 yield _batch(
                     anchor=np.r_[anchor[first], mix(run[0].astype(_U))].astype("i8"),
                     body=np.r_[body[first], np.zeros(len(run[0]), _U)].astype("i8"),
@@ -169,13 +175,68 @@ class Repeats:
         body = mix(rolling.of(begin, begin + windows + size - 1) ^ mix(shape + _U(1)))
         return seeds[owner], body, keys[text], (begin - first[text]) << 16 | lead << 8 | windows
 
+    def _settle(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of third and further equal stretches; the stretches of each anchor that occurs again."""
+        columns = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        if not columns:
+            return
+        anchor, body, key, place, run = (np.concatenate(c) for c in zip(*columns, strict=True))
+        known = run > 0
+        runs = key[known], place[known] >> 16, run[known]
+        anchor, body, key, place = (c[~known] for c in (anchor, body, key, place))
+        order, again = _equals(anchor, body, key, place)
+        third = _third(again)
+        more = order[third]
+        runs = _merged(*(np.r_[a, b] for a, b in zip(runs, (key[more], place[more] >> 16, place[more] & 255), strict=True)))
+        zero = np.zeros(len(runs[0]), np.int64)
+        yield _batch(anchor=zero, key=runs[0], place=zero, start=runs[1], run=runs[2], side=zero)
+        rows = order[~third]  # by anchor
+        edge = np.flatnonzero(np.r_[True, anchor[rows][1:] != anchor[rows][:-1]]) if len(rows) else rows
+        many = np.diff(np.r_[edge, len(rows)])
+        many = np.repeat(many, many)
+        crowded = many > max(self.split_rows, 1)
+        for side, chosen in ((_WHOLE, (many > 1) & ~crowded), (_LEFT, crowded), (_RIGHT, crowded)):
+            part = rows[chosen]
+            own = self._side(place[part], side)
+            part, own = part[own & 255 > 0], own[own & 255 > 0]
+            zero = np.zeros(len(part), np.int64)
+            yield _batch(anchor=anchor[part], key=key[part], place=own, start=zero, run=zero, side=zero + side)
+
+    def _side(self, place: np.ndarray, side: int) -> np.ndarray:
+        """Places of the windows with at least (left) or fewer than (right) ``_half`` units before the seed."""
+        if side == _WHOLE:
+            return place
+        start, lead, windows = place >> 16, place >> 8 & 255, place & 255
+        left = np.clip(lead - self._half + 1, 0, windows)
+        if side == _LEFT:
+            return start << 16 | lead << 8 | left
+        return np.where(left < windows, (start + left) << 16 | (lead - left) << 8 | (windows - left), 0)
+
+    @property
+    def _half(self) -> int:
+        return (self.size - self.seed + 1) // 2
+
+    def _side_anchor(self, units: np.ndarray, begin: np.ndarray, place: np.ndarray, anchor: np.ndarray, side: np.ndarray) -> np.ndarray:
+        """Of split anchors: the hash of the seed and the units that all windows of this side have beside it."""
+        if not side.any():
+            return anchor
+        values = Rolling(BYTE_VALUES[units] if self.unit == "bytes" else units)
+        seed = begin + (place >> 8 & 255)
+        left, right = side == _LEFT, side == _RIGHT
+        low = seed - np.where(left, self._half, 0)
+        high = seed + self.seed + np.where(right, self.size - self.seed - self._half + 1, 0)
+        split = mix(values.of(low[side > 0], high[side > 0]) ^ mix(side[side > 0].astype(_U)))
+        out = anchor.copy()
+        out[side > 0] = split.astype("i8")
+        return out
+
     def _contexts(self, docs: pa.Table, wanted: pa.Table) -> pa.Table:
         if not wanted.num_rows or not docs.num_rows:
             return pa.table({f: [] for f in ("anchor", "key", "place", "units")}, schema=_CONTEXT_TYPE)
         key = wanted.column("key").to_numpy()
-        place, anchor = wanted.column("place").to_numpy(), wanted.column("anchor").to_numpy()
         order = np.argsort(key, kind="stable")
-        key, place, anchor = key[order], place[order], anchor[order]
+        key = key[order]
+        place, anchor, side = (wanted.column(c).to_numpy()[order] for c in ("place", "anchor", "side"))
         out = []
         docs = docs.filter(pc.is_in(docs.column("key"), pa.array(np.unique(key))))
         for batch in docs.combine_chunks().to_batches():
@@ -192,9 +253,10 @@ class Repeats:
                     take = np.arange(ends[-1]) + np.repeat(begin - (ends - length), length)
                     data = np.ascontiguousarray(values[take])
                     offsets = np.r_[0, ends].astype("i4") * data.itemsize
+                    group = self._side_anchor(values, begin, place[pick], anchor[pick], side[pick])
                     units = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
                     out.append(pa.record_batch(
-                        [pa.array(anchor[pick]), pa.array(key[pick]), pa.array(place[pick]), units], schema=_CONTEXT_TYPE))
+                        [pa.array(group), pa.array(key[pick]), pa.array(place[pick]), units], schema=_CONTEXT_TYPE))
         return pa.Table.from_batches(out, schema=_CONTEXT_TYPE)
 
     def _resolved(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +307,7 @@ def _range(column: pa.Array, width: int) -> slice:
 
 
 _STRETCHES = "anchor long, body long, key long, place long, run long"
-_SETTLED = "anchor long, key long, place long, start long, run long"
+_SETTLED = "anchor long, key long, place long, start long, run long, side long"
 _CONTEXTS = "anchor long, key long, place long, units binary"
 _CONTEXT_TYPE = pa.schema(
     [("anchor", pa.int64()), ("key", pa.int64()), ("place", pa.int64()), ("units", pa.binary())]
@@ -267,6 +329,13 @@ def _equals(anchor, body, key, place) -> tuple[np.ndarray, np.ndarray]:
     return order, again
 
 
+def _third(again: np.ndarray) -> np.ndarray:
+    """Which rows are at least the third of equals, in an order in which equals follow each other."""
+    out = again.copy()
+    out[1:] &= again[:-1]
+    return out
+
+
 def _merged(key: np.ndarray, start: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of one key that touch or overlap become one, unless a run lies inside an earlier longer one."""
     order = np.lexsort((start, key))
@@ -280,29 +349,6 @@ def _merged(key: np.ndarray, start: np.ndarray, run: np.ndarray) -> tuple[np.nda
     return key[at], start[at], np.maximum.reduceat(end, at) - start[at]
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    columns = [[c.to_numpy() for c in batch.columns] for batch in batches]
-    if not columns:
-        return
-    anchor, body, key, place, run = (np.concatenate(c) for c in zip(*columns, strict=True))
-    known = run > 0
-    runs = key[known], place[known] >> 16, run[known]
-    anchor, body, key, place = (c[~known] for c in (anchor, body, key, place))
-    order, again = _equals(anchor, body, key, place)
-    more = order[again]
-    runs = _merged(*(np.r_[a, b] for a, b in zip(runs, (key[more], place[more] >> 16, place[more] & 255), strict=True)))
-    zero = np.zeros(len(runs[0]), np.int64)
-    yield _batch(anchor=zero, key=runs[0], place=zero, start=runs[1], run=runs[2])
-    first = order[~again]  # one row for each distinct stretch, by anchor
-    lone = anchor[first]
-    differ = np.zeros(len(first), bool)
-    differ[1:] |= lone[1:] == lone[:-1]
-    differ[:-1] |= lone[1:] == lone[:-1]
-    first = first[differ]
-    zero = np.zeros(len(first), np.int64)
-    yield _batch(anchor=anchor[first], key=key[first], place=place[first], start=zero, run=zero)
-
-
 def covered(rows: tuple[np.ndarray, np.ndarray, np.ndarray], keys: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
     """Which units of some texts lie in a repeated window; ``rows`` (key, start, run) are sorted by key."""
     key, start, run = rows

@@ -1,8 +1,9 @@
 """Substring dedup by seed and extend, over words.
 
-Documents meet on winnowed anchors (see ``repeats``); where the words around equal anchors
-differ, the match is extended to the left and to the right of the anchor, and the windows
-that both extensions cover are repeats.  Repeats in a row join to maximal ones.
+Documents meet on winnowed anchors (see ``repeats``).  The match of two anchors is extended word
+by word to the left and to the right, up to the first word that differs; the windows that both
+extensions cover are repeats, and repeats in a row join to maximal ones.  Of stretches that equal
+each other as a whole the first two are extended; further copies of the second follow it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trovelake.llm.grams import Rolling, Texts
+from trovelake.llm.grams import Texts
 from trovelake.llm.repeats import Group, Repeats, by_document, covered
 from trovelake.llm.tables import Corpus, corpus
 
@@ -20,26 +21,51 @@ SEED_WORDS = 6
 
 
 def extend(group: Group, repeats: Repeats) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of equal anchor, equal extension to its left and equal extension to its right."""
+    """Windows that an earlier stretch of the same anchor matches from end to end.
+
+    The matches of an anchor are extended without pairing all of its stretches: sorted by the
+    words that follow the seed, each stretch is matched with its neighbour up to the first
+    word that differs, and two stretches match as far as all neighbours between them.  The
+    same to the left.  A window is repeated if one earlier stretch matches it on both sides.
+    """
+    reach = repeats.size - repeats.seed
+    seed = group.at + group.lead
+    rightward = group.windows + reach - group.lead  # words of a stretch behind its seed
+    right = _matched(group.anchor, group.units, seed + repeats.seed, 1, np.minimum(rightward, reach), reach)
+    left = _matched(group.anchor, group.units, seed - 1, -1, np.minimum(group.lead, reach), reach)
     stretch = np.repeat(np.arange(len(group.key)), group.windows)
     step = np.arange(len(stretch)) - np.repeat(np.cumsum(group.windows) - group.windows, group.windows)
-    rolling = Rolling(group.units)
-    begin = group.at[stretch] + step
-    seed = group.at[stretch] + group.lead[stretch]
-    left = rolling.of(begin, seed)
-    right = rolling.of(seed + repeats.seed, begin + repeats.size)
     lead = group.lead[stretch] - step
-    anchor, key, start = group.anchor[stretch], group.key[stretch], group.start[stretch] + step
-    order = np.lexsort((start, key, right, left, lead, anchor))
-    columns = [c[order] for c in (anchor, lead, left, right)]
+    key, start = group.key[stretch], group.start[stretch] + step
+    sides = left[lead, stretch], right[reach - lead, stretch]
+    order = np.lexsort((start, key, *sides, lead))
     again = np.ones(len(order), bool)
     again[:1] = False
-    for c in columns:
-        again[1:] &= c[1:] == c[:-1]
+    for c in (lead, *sides):
+        again[1:] &= c[order][1:] == c[order][:-1]
     found = order[again]
     return key[found], start[found], np.ones(len(found), np.int64)
 
 
+def _matched(anchor: np.ndarray, units: np.ndarray, begin: np.ndarray, step: int, have: np.ndarray, reach: int) -> np.ndarray:
+    """For each length up to ``reach``: a number that stretches share if they match over that length.
+
+    A stretch is read from ``begin`` in steps of 1 or -1 and has ``have`` units there.
+    """
+    ahead = np.arange(reach)[:, None]
+    words = units[np.clip(begin + step * ahead, 0, len(units) - 1)]
+    words[ahead >= have] = 0  # past the end of the stretch, where none of its windows reaches
+    order = np.lexsort((*words[::-1], anchor))
+    same = np.ones((reach + 1, len(order)), bool)
+    same[:, :1] = False
+    same[0, 1:] = anchor[order][1:] == anchor[order][:-1]
+    same[1:, 1:] = words[:, order[1:]] == words[:, order[:-1]]
+    match = np.logical_and.accumulate(same, axis=0)  # with the neighbour, up to the first word that differs
+    out = np.empty((reach + 1, len(order)), np.int64)
+    out[:, order] = np.cumsum(~match, axis=1)
+    return out
+
+
 def repeated_windows(docs: Corpus, *, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS) -> DataFrame:
     return Repeats(min_words, min(seed_words, min_words), "words", extend).find(docs)
 
