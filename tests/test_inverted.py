@@ -89,3 +89,21 @@ def test_one_question_reads_little(spark, tmp_path):
     wanted = bm25.bm25_topk(chunks, terms, (n, avgdl), one).collect()
     key = lambda r: (r.rank, r.doc_pos, r.piece, r.score)
     assert sorted(map(key, hits)) == sorted(map(key, wanted))
+
+
+@pytest.mark.parametrize(("filters", "query_filter"), [(None, None)])
+def test_many_questions_share_one_pass(spark, chunks, tmp_path, filters, query_filter):
+    """200 questions: every block of their terms is read and grouped once, whatever the number of questions."""
+    rng = random.Random(6)
+    rows = [(i, 0, rng.choices([f"w{j}" for j in range(50)], k=rng.choice([0, 1, 6, 20])), rng.choice(["a", "b", None])) for i in range(200)]
+    many = spark.createDataFrame(rows, "qid long, variant int, tokens array<string>, product_type string")
+    n, avgdl = bm25.corpus_stats(chunks).first()
+    terms = bm25.term_stats(chunks, n)
+    postings = inverted.read_postings(spark, inverted.write_postings(chunks, str(tmp_path / "p"), ("product_type", "source")))
+    options = {"k": 5, "filters": filters, "query_filter": query_filter}
+    hits = inverted.indexed_topk(postings, terms, (n, avgdl), many, **options)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") + plan.count("FlatMapCoGroupsInArrow") == 1
+    columns = ["qid", "variant", "rank", "doc_pos", "piece", "score"]
+    rows = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
+    assert rows(hits) == rows(bm25.bm25_topk(chunks, terms, (n, avgdl), many, **options))

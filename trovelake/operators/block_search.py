@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 # in; equal scores are then ordered by corpus position, as a stable sort would.
 SCORE_DIGITS = 10
 HIT_SCHEMA = "qid bigint, variant int, doc_pos bigint, piece bigint, score double"
-_COLUMN_BLOCK = 128
+COLUMN_BLOCK = 128
 _PRUNED_DOCUMENTS = 64
 
 # Kernel: batch -> score(query indices, row indices or None for all) -> query x row matrix.
@@ -63,9 +63,9 @@ def local_topk(
         names = [None, *sorted({w for w in wanted if w is not None})]
         groups = [(n, np.array([i for i, w in enumerate(wanted) if w == n], dtype=int)) for n in names]
     blocks = [
-        (name, ids[start : start + _COLUMN_BLOCK])
+        (name, ids[start : start + COLUMN_BLOCK])
         for name, ids in groups
-        for start in range(0, len(ids), _COLUMN_BLOCK)
+        for start in range(0, len(ids), COLUMN_BLOCK)
     ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -82,6 +82,40 @@ def term_stats(chunks: DataFrame, n: int) -> DataFrame:
     return with_idf(term_counts(chunks), n)
 
 
+#: Cells (queries x rows) of a term from which its share of the scores is a row of a matrix product, and rows of one.
+_DENSE_CELLS = 1 << 15
+_DENSE_TERMS = 64
+
+
+def add_gains(total: np.ndarray, ids: np.ndarray, asking: list, begin: np.ndarray, cells: np.ndarray, gain: np.ndarray) -> None:
+    """Add the gains of terms to the scores (queries ``ids`` x cells), as often as each query has the term.
+
+    ``asking`` holds per term its queries and how often they have it, ``begin`` where its run in
+    ``cells`` and ``gain`` starts.  A term of few queries or cells touches those only; common
+    ones are multiplied together.
+    """
+    if not len(ids):
+        return
+    place = np.full(int(max(ids.max(), *(who.max(initial=0) for who, _ in asking), 0)) + 1, -1)
+    place[ids] = np.arange(len(ids))
+    common = []
+    for (who, times), low, high in zip(asking, begin, np.append(begin[1:], len(cells)), strict=True):
+        at = place[who]
+        if not (mine := at >= 0).any():
+            continue
+        if mine.sum() * (high - low) >= _DENSE_CELLS:
+            common.append((at[mine], times[mine], low, high))
+        else:
+            total[np.ix_(at[mine], cells[low:high])] += np.outer(times[mine], gain[low:high])
+    for first in range(0, len(common), _DENSE_TERMS):
+        part = common[first : first + _DENSE_TERMS]
+        weight, rows = np.zeros((len(ids), len(part))), np.zeros((len(part), total.shape[1]))
+        for i, (at, times, low, high) in enumerate(part):
+            weight[at, i] = times
+            rows[i, cells[low:high]] = gain[low:high]
+        total += weight @ rows
+
+
 def _bm25_kernel(asked: pa.Table, idf: pa.Table, avgdl: float, k1: float, b: float):
     """Scores of token lists: sum over query tokens, repeats included."""
     vocabulary = idf.column("term").combine_chunks()
@@ -90,7 +124,6 @@ def _bm25_kernel(asked: pa.Table, idf: pa.Table, avgdl: float, k1: float, b: flo
     code = pc.fill_null(pc.index_in(tokens, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
     pairs, times = np.unique(np.stack([code, query]), axis=1, return_counts=True)
     start = np.searchsorted(pairs[0], np.arange(len(weight) + 1))  # query rows of every term
-    n_queries = len(asked)
 
     def prepare(batch: pa.RecordBatch):
         n = batch.num_rows
@@ -103,19 +136,11 @@ def _bm25_kernel(asked: pa.Table, idf: pa.Table, avgdl: float, k1: float, b: flo
         term, at = cell // n, cell % n
         gain = weight[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[at] / max(avgdl, 1.0)))
         present, first = np.unique(term, return_index=True)
-        last = np.append(first[1:], len(term))
+        asking = [(pairs[1, start[t] : start[t + 1]], times[start[t] : start[t + 1]]) for t in present]
 
         def scores(ids: np.ndarray, rows: np.ndarray | None) -> np.ndarray:
-            place = np.full(n_queries, -1)
-            place[ids] = np.arange(len(ids))
             total = np.zeros((len(ids), n))
-            for t, lo, hi in zip(present, first, last):
-                who = place[pairs[1, start[t] : start[t + 1]]]
-                count = times[start[t] : start[t + 1]]
-                mine = who >= 0
-                if mine.any():
-                    cells = np.ix_(who[mine], at[lo:hi])
-                    total[cells] += np.outer(count[mine], gain[lo:hi])
+            add_gains(total, ids, asking, first, at, gain)
             return total if rows is None else total[:, rows]
 
         return scores

@@ -10,8 +10,9 @@ many files.
 
 A search reads the bounds of its terms first.  Per query the bounds of a range add up to a
 bound of every score in it; the best ranges are scored, which gives a kth score, and of the
-others only those are read whose bound reaches it.  A search reads the blocks of its terms
-only: it pays for few queries, while ``bm25.bm25_topk`` shares one corpus pass among many.
+others only those are read whose bound reaches it.  Many queries together leave out next to
+nothing: they share one pass over the blocks of all their terms, grouped by range, whose cost
+follows the index and not index times blocks of queries.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql.window import Window
 
 from trovelake import fixed_values as fv
 from trovelake.operators.block_search import (
+    COLUMN_BLOCK,
     HIT_SCHEMA,
     SCORE_DIGITS,
     _best,
@@ -36,16 +38,18 @@ from trovelake.operators.block_search import (
     flat_lists,
     query_keys,
 )
-from trovelake.operators.bm25 import with_tokens
+from trovelake.operators.bm25 import add_gains, with_tokens
 from trovelake.runtime import per_block, scratch_dir, unnest
 
 #: Chunks of a range, and ranges that are scored together.
-RANGE = 256
-GROUP = 64
+RANGE = 1024
+GROUP = 16
 #: Ranges of each query that are scored for its first kth score.
 FIRST = 4
-#: Queries of a block; more queries take more passes over the bounds.
+#: Queries of a block whose ranges are bounded; more queries take more passes over the bounds.
 BLOCK_QUERIES = 64
+#: More queries than these share one pass over all ranges.
+PRUNED_QUERIES = 64
 #: Values that are pushed to the scan as equalities; more are joined.
 PUSHED = 64
 #: Ranges that are broadcast; more are joined by a shuffle.
@@ -155,43 +159,73 @@ class _Query:
         q, r = np.nonzero(total)
         return pa.table({"q": pa.array(q.astype("i4")), "range": pa.array(spans[r]), "bound": pa.array(total[q, r])})
 
-    def scores(self, rows: pa.Table, pairs: pa.Table, k: int, wanted: list | None, query_filter: str | None, filters: dict[str, str]) -> pa.Table:
-        """The k best chunks of each query within the wanted (q, range) of a group."""
-        spans = np.unique(pairs.column("range").to_numpy())
+    def scores(self, rows: pa.Table, pairs: pa.Table | None, k: int, wanted: list | None, query_filter: str | None, filters: dict[str, str]) -> pa.Table:
+        """The k best chunks of each query in a group, within the wanted (q, range) if given."""
+        rows = rows.combine_chunks()
+        spans, place = np.unique(rows.column("range").to_numpy(), return_inverse=True)
         size = len(spans) * RANGE
+        known = rows.column("term").is_valid().to_numpy()
+
+        def flat(mask: np.ndarray, *names: str) -> tuple[np.ndarray, list]:
+            """Cells of the masked rows' list elements, and the columns' elements."""
+            part = rows.filter(pa.array(mask))
+            row, slot = flat_lists(_list(part, "slot"))
+            return place[mask][row] * RANGE + slot.to_numpy(), [_list(part, n).flatten() for n in names]
+
         doc, piece, dl = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size)
-        named = {c: np.full(size, None, object) for c in {*filters, *([query_filter] if query_filter else [])}}
-        place = np.searchsorted(spans, rows.column("range").to_numpy())
-        terms = rows.column("term").to_pylist()
-        cells = [place[i] * RANGE + np.asarray(s.values.to_numpy()) for i, s in enumerate(rows.column("slot"))]
-        for i, t in enumerate(terms):
-            if t is None:
-                for out, column in ((doc, "doc_pos"), (piece, "piece"), (dl, "dl")):
-                    out[cells[i]] = rows.column(column)[i].values.to_numpy()
-                for c, out in named.items():
-                    out[cells[i]] = rows.column(f"of_{c}")[i].as_py()
-        total = np.zeros((len(self.keys), size))
-        for i, t in enumerate(terms):
-            if t is not None:
-                who, times = self.of[self.terms[t]]
-                gain = self.gain(self.terms[t], rows.column("tf")[i].values.to_numpy().astype(float), dl[cells[i]])
-                total[np.ix_(who, cells[i])] += np.outer(times, gain)
-        asked = np.zeros((len(self.keys), len(spans)), bool)
-        asked[pairs.column("q").to_numpy(), np.searchsorted(spans, pairs.column("range").to_numpy())] = True
-        allowed = np.repeat(asked, RANGE, axis=1) & (total > 0)
+        columns = sorted({*filters, *([query_filter] if query_filter else [])})
+        own, values = flat(~known, "doc_pos", "piece", "dl", *(f"of_{c}" for c in columns))
+        for out, column in zip((doc, piece, dl), values, strict=False):
+            out[own] = column.to_numpy()
+        named = dict(zip(columns, values[3:], strict=True))
+
+        def matching(column: str, value: str) -> np.ndarray:
+            """Cells whose filter column has the value."""
+            at = np.zeros(size, bool)
+            at[own] = pc.fill_null(pc.equal(named[column], value), False).to_numpy(zero_copy_only=False)
+            return at
+
+        code = np.array([self.terms[t] for t in rows.column("term").drop_null().to_pylist()], np.int64)
+        cells, (tf,) = flat(known, "tf")
+        term = np.repeat(code, pc.list_value_length(_list(rows.filter(pa.array(known)), "slot")).to_numpy())
+        order = np.argsort(term, kind="stable")
+        term, cells = term[order], cells[order]
+        gain = self.gain(term, tf.to_numpy()[order].astype(float), dl[cells])
+        begin = np.flatnonzero(np.diff(term, prepend=-1) != 0)
+        inside = np.ones(size, bool)
         for c, value in filters.items():
-            allowed &= named[c] == value
-        if wanted is not None:
-            for i, value in enumerate(wanted):
-                if value is not None:
-                    allowed[i] &= named[query_filter] == value
-        matrix = np.where(allowed, np.round(total, SCORE_DIGITS) + 0.0, -1.0)
-        q, at = _best(matrix, k, allowed)
-        q, score, doc, piece = _keep([q, matrix[q, at], doc[at], piece[at]], k)
+            inside &= matching(c, value)
+        asked = None
+        if pairs is not None:
+            asked = np.zeros((len(self.keys), len(spans)), bool)
+            mine = np.isin(pairs.column("range").to_numpy(), spans)
+            asked[pairs.column("q").to_numpy()[mine], np.searchsorted(spans, pairs.column("range").to_numpy()[mine])] = True
+        fits = {value: matching(query_filter, value) for value in {*(wanted or []), None} - {None}}
+        pool = [np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int64)]
+        for low in range(0, len(self.keys), COLUMN_BLOCK):
+            ids = np.arange(low, min(low + COLUMN_BLOCK, len(self.keys)))
+            total = np.zeros((len(ids), size))
+            add_gains(total, ids, [self.of[t] for t in term[begin]], begin, cells, gain)
+            allowed = (total > 0) & inside
+            if asked is not None:
+                allowed &= np.repeat(asked[ids], RANGE, axis=1)
+            for i, q in enumerate(ids) if wanted is not None else ():
+                if wanted[q] is not None:
+                    allowed[i] &= fits[wanted[q]]
+            matrix = np.where(allowed, np.round(total, SCORE_DIGITS) + 0.0, -1.0)
+            q, at = _best(matrix, k, allowed)
+            found = _keep([ids[q], matrix[q, at], doc[at], piece[at]], k)
+            pool = [np.concatenate(pair) for pair in zip(pool, found, strict=True)]
+        q, score, doc, piece = pool
         return pa.table([pa.array(self.keys[q, 0]), pa.array(self.keys[q, 1].astype("i4")), pa.array(doc), pa.array(piece), pa.array(score)],
                         names=["qid", "variant", "doc_pos", "piece", "score"])
 
 
+def _list(rows: pa.Table, name: str) -> pa.Array:
+    column = rows.column(name)
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
 def indexed_topk(
     postings: DataFrame,
     terms: DataFrame,
@@ -211,16 +245,29 @@ def indexed_topk(
     filters = filters or {}
     queries = queries.select("qid", "variant", "tokens", *([query_filter] if query_filter else []))
     group = F.floor(F.col("range") / GROUP).alias("group")
+    kept = ["doc_pos", "piece", "dl", *(f"of_{c}" for c in sorted({*filters, *([query_filter] if query_filter else [])}))]
 
-    def search(block: DataFrame) -> DataFrame:
+    def blocks_of(block: DataFrame) -> tuple[_Query, list | None, DataFrame]:
+        """The counted queries, the filter value each wants, and the blocks of their terms."""
         asked = block.toArrow()
         used = unnest(block, F.col("tokens"), "term", keep=()).distinct()
         idf = terms.select("term", "idf").join(F.broadcast(used), "term", "left_semi").toArrow()
         query = _Query(asked, idf, n_avgdl[1], k1, b)
         wanted = asked.column(query_filter).to_pylist() if query_filter else None
+        return query, wanted, _among(postings.where(F.col("term").isNotNull()), "term", list(query.terms))
+
+    def shared(block: DataFrame) -> DataFrame:
+        """All ranges, each block of the index read once for all queries."""
+        query, wanted, mine = blocks_of(block)
+        keys = postings.where(F.col("term").isNull())
+        rows = mine.unionByName(keys).select("term", "range", "slot", "tf", *kept)
+        return rows.groupBy(group).applyInArrow(
+            lambda t: query.scores(t, None, k, wanted, query_filter, filters), HIT_SCHEMA)
+
+    def search(block: DataFrame) -> DataFrame:
+        query, wanted, mine = blocks_of(block)
         if not query.terms:
             return spark.createDataFrame([], HIT_SCHEMA)
-        mine = _among(postings.where(F.col("term").isNotNull()), "term", list(query.terms))
         bounds = _stored(
             mine.select("term", "range", "max_tf", "min_dl").groupBy(group)
             .applyInArrow(lambda t: query.bounds(t), "q int, range long, bound double"))
@@ -234,8 +281,7 @@ def indexed_topk(
             else:
                 blocks = mine.join(spans, "range", "left_semi")
                 keys = postings.where(F.col("term").isNull()).join(spans, "range", "left_semi")
-            rows = blocks.unionByName(keys).select("term", "range", "slot", "tf", "doc_pos", "piece", "dl", *(
-                f"of_{c}" for c in sorted({*filters, *([query_filter] if query_filter else [])})))
+            rows = blocks.unionByName(keys).select("term", "range", "slot", "tf", *kept)
             return rows.groupBy(group).cogroup(pairs.groupBy(group)).applyInArrow(
                 lambda left, right: query.scores(left, right, k, wanted, query_filter, filters), HIT_SCHEMA)
 
@@ -248,4 +294,6 @@ def indexed_topk(
         rest = ranked.where(F.col("n") > FIRST).join(kth, "q", "left").where(F.col("bound") >= F.coalesce("kth", F.lit(0.0)) - 1e-9)
         return begun.unionByName(scored(_stored(rest.select("q", "range"))))
 
+    if queries.count() > PRUNED_QUERIES:
+        return final_topk(per_block(queries, shared, weight="tokens"), k)
     return final_topk(per_block(queries, search, weight="tokens", max_rows=BLOCK_QUERIES), k)
