@@ -91,7 +91,7 @@ def test_one_question_reads_little(spark, tmp_path):
     assert sorted(map(key, hits)) == sorted(map(key, wanted))
 
 
-@pytest.mark.parametrize(("filters", "query_filter"), [(None, None)])
+@pytest.mark.parametrize(("filters", "query_filter"), [(None, None), ({"source": "s2"}, "product_type")])
 def test_many_questions_share_one_pass(spark, chunks, tmp_path, filters, query_filter):
     """200 questions: every block of their terms is read and grouped once, whatever the number of questions."""
     rng = random.Random(6)
