@@ -94,7 +94,7 @@ def add_gains(total: np.ndarray, ids: np.ndarray, asking: list, begin: np.ndarra
     ``cells`` and ``gain`` starts.  A term of few queries or cells touches those only; common
     ones are multiplied together.
     """
-    if not len(ids):
+    if not len(ids) or not len(begin):
         return
     place = np.full(int(max(ids.max(), *(who.max(initial=0) for who, _ in asking), 0)) + 1, -1)
     place[ids] = np.arange(len(ids))
