@@ -107,3 +107,23 @@ def test_sql_functions(spark):
     ).first()
     assert (row.c, row.t, row.o) == ("a b\n\nc", ["еж", "5%"], 0.5)
     assert row.v == pytest.approx(2**-0.5)
+
+
+def test_clean_texts_are_left_alone(spark):
+    """Cleaning and stripping equal their regular expressions on every short mix of blank space and control characters."""
+    import random
+
+    rng = random.Random(5)
+    marks = ["a", "b.", " ", "\n", "\n\n", "\t", "\r", "\x00", "\x0b", "\x1c", "\x1f", "\x7f", "\x85", "\xa0", " ", " ", "﻿", "é", "😀"]
+    rows = [(i, "".join(rng.choices(marks, k=rng.randrange(9)))) for i in range(6000)]
+    rows += [(6000, None), (6001, "one\ntwo\n\nthree four")]
+    texts = spark.createDataFrame(rows, "n long, t string")
+    clean = F.col("t")
+    for pattern, replacement in tx._CLEANING:
+        clean = F.regexp_replace(clean, pattern, replacement)
+    got = texts.select("t", clean.alias("a"), tx.clean_text(F.col("t")).alias("b"), F.regexp_replace("t", tx._EDGES, "").alias("c"), tx.strip(F.col("t")).alias("d"))
+    found = got.collect()
+    assert all(r.a == r.b and r.c == r.d for r in found)
+    changed = {r.t for r in texts.join(got.where("a <> t"), "t").select("t").collect()}
+    dirty = {r.t for r in texts.where(F.rlike("t", F.lit(tx._UNCLEAN))).select("t").collect()}
+    assert changed <= dirty and "one\ntwo\n\nthree four" not in dirty

@@ -22,6 +22,9 @@ _CLEANING = (
     (r"\n{3,}", "\n\n"),
     (_EDGES, ""),
 )
+# Found in every text that cleaning changes: a control character, tab or carriage return, blank
+# space at an end, or next to other blank space unless that makes one or two line ends.
+_UNCLEAN = r"(?U)[\x00-\x09\x0b-\x1f\x7f]|\A\s|\s(?:\z|[\s&&[^\n]]|(?<=[^\n])\n|(?<=\n)\n\n)"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -34,15 +37,25 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """Remove Unicode whitespace at both ends."""
-    return F.regexp_replace(text, _EDGES, "")
+    """Remove Unicode whitespace at both ends; only a text that has some there is searched for it."""
+
+    def stripped(t: Column) -> Column:
+        ends = F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1)))
+        return F.when(F.rlike(ends, F.lit(f"(?U){_WS}")), F.regexp_replace(t, _EDGES, "")).otherwise(t)
+
+    return let(text, stripped)
 
 
 def clean_text(text: Column) -> Column:
-    """Drop control characters, unify line ends, squeeze blanks, trim lines and text."""
-    for pattern, replacement in _CLEANING:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+    """Drop control characters, unify line ends, squeeze blanks, trim lines and text; a clean text is read once."""
+
+    def cleaned(t: Column) -> Column:
+        clean = t
+        for pattern, replacement in _CLEANING:
+            clean = F.regexp_replace(clean, pattern, replacement)
+        return F.when(F.rlike(t, F.lit(_UNCLEAN)), clean).otherwise(t)
+
+    return let(text, cleaned)
 
 
 def tokenize(text: Column) -> Column:
