@@ -164,3 +164,11 @@ def test_added_documents_equal_a_rebuild(spark, sample, sample_index, tmp_path):
     assert old.chunks.count() == before < again.n == grown.chunks.count() == open_index(spark, path).n
     shifted = add_documents(spark, sample, path)
     assert shifted.n == 2 * again.n and shifted.chunks.select("doc_pos", "piece").distinct().count() == shifted.n
+
+
+def test_index_is_stored_compressed(sample_index):
+    """Texts, tokens and vectors are written in zstd."""
+    import pyarrow.parquet as pq
+
+    codecs = {pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(0).column(i).compression for f in sample_index.chunks.inputFiles() for i in range(10)}
+    assert codecs == {"ZSTD"}

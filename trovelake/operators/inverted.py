@@ -54,7 +54,7 @@ PRUNED_QUERIES = 64
 PUSHED = 64
 #: Ranges that are broadcast; more are joined by a shuffle.
 BROADCAST_RANGES = 1 << 17
-_PAGE = {"parquet.block.size": str(4 << 20), "parquet.page.size": str(32 << 10), "parquet.page.row.count.limit": "2048"}
+_PAGE = {"compression": "zstd", "parquet.block.size": str(4 << 20), "parquet.page.size": str(32 << 10), "parquet.page.row.count.limit": "2048"}
 
 
 def write_postings(chunks: DataFrame, path: str, filter_columns: tuple[str, ...] = ("product_type",)) -> str:
