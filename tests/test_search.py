@@ -199,3 +199,41 @@ def test_postings_are_counted_without_a_shuffle(texts):
     assert found == {(i, w): (t.count(w), len(t)) for i, t in enumerate(TOKENS) for w in t}
     below = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in below and "Repartition" not in below.split("InMemoryRelation")[0]
+
+
+def test_later_batches_rank_only_what_can_be_among_the_best(monkeypatch):
+    """A batch is searched for its own k-th best only until a task knows k good rows of each query."""
+    import numpy as np
+    import pyarrow as pa
+
+    from trovelake.operators import block_search
+
+    class Here:  # the task's function instead of a data frame
+        select = coalesce = lambda self, *a: self
+        mapInArrow = lambda self, run, schema: run
+
+    calls = []
+    best = block_search._best
+    monkeypatch.setattr(block_search, "_best", lambda *a: calls.append(1) or best(*a))
+    monkeypatch.setattr(block_search, "search_tasks", lambda corpus: 1)
+    rng = np.random.default_rng(3)
+    table = np.round(rng.random((30, 200, 400)), 2)  # batches x queries x rows, with many ties
+    keys = np.stack([np.arange(200), np.zeros(200, int)], axis=1)
+    kernel = lambda batch: lambda ids, rows: table[batch.column(0)[0].as_py() // 400][ids]
+    run = block_search.local_topk(Here(), "x", keys, None, None, kernel, 5, positive=True)
+    batches = (pa.RecordBatch.from_arrays([pa.array(np.arange(i * 400, i * 400 + 400)), pa.array(np.zeros(400, int))], names=["doc_pos", "piece"]) for i in range(30))
+    (hits,) = run(batches)
+    whole = table.transpose(1, 0, 2).reshape(200, -1)
+    wanted = [(q, d, whole[q, d]) for q in range(200) for d in np.lexsort((np.arange(12_000), -whole[q]))[:5]]
+    got = zip(*(hits.column(c).to_pylist() for c in ("qid", "doc_pos", "score")), strict=True)
+    assert sorted(got) == sorted(wanted) and len(calls) < 20
+
+
+def test_rows_without_a_query_term_score_nothing():
+    import numpy as np
+
+    total, none = np.zeros((2, 3)), np.zeros(0, int)
+    bm25.add_gains(total, np.arange(2), [], none, none, np.zeros(0))
+    assert not total.any()
+    bm25.add_gains(total, np.array([4, 7]), [(np.array([7, 9]), np.array([2, 1]))], np.array([0]), np.array([0, 2]), np.array([0.5, 1.0]))
+    assert total.tolist() == [[0, 0, 0], [1, 0, 2]]

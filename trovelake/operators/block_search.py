@@ -25,6 +25,9 @@ SCORE_DIGITS = 10
 HIT_SCHEMA = "qid bigint, variant int, doc_pos bigint, piece bigint, score double"
 COLUMN_BLOCK = 128
 _PRUNED_DOCUMENTS = 64
+# More than rounding can add to a score, and scores per query and place from which a batch's k-th best is looked for.
+_ROUNDING = 10.0**-SCORE_DIGITS
+_MANY = 4
 
 # Kernel: batch -> score(query indices, row indices or None for all) -> query x row matrix.
 Scores = Callable[[np.ndarray, "np.ndarray | None"], np.ndarray]
@@ -70,6 +73,7 @@ def local_topk(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool = [np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int64)]
+        kth = np.full(len(keys), -np.inf)  # the score a row needs at least to be among a query's best so far
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -82,12 +86,19 @@ def local_topk(
                     if not len(rows):
                         continue
                 raw = scores(ids, rows)
-                matrix = np.round(raw, SCORE_DIGITS) + 0.0
-                q, r = _best(matrix, k, raw > 0 if positive else np.ones(raw.shape, dtype=bool))
+                enough = raw >= kth[ids, None] - _ROUNDING
+                if positive:
+                    enough &= raw > 0
+                if np.count_nonzero(enough) > _MANY * k * len(ids):
+                    q, r = _best(np.round(raw, SCORE_DIGITS), k, enough)
+                else:
+                    q, r = np.nonzero(enough)
                 at = r if rows is None else rows[r]
-                found = _keep([ids[q], matrix[q, r], doc[at], piece[at]], k)
+                found = _keep([ids[q], np.round(raw[q, r], SCORE_DIGITS) + 0.0, doc[at], piece[at]], k)
                 pool = [np.concatenate(pair) for pair in zip(pool, found)]
             pool = _keep(pool, k)
+            last = np.flatnonzero(np.arange(len(pool[0])) - np.searchsorted(pool[0], pool[0]) == k - 1)
+            kth[pool[0][last]] = pool[1][last]
         q, score, doc, piece = pool
         columns = [keys[q, 0], keys[q, 1].astype(np.int32), doc, piece, score]
         names = ["qid", "variant", "doc_pos", "piece", "score"]
