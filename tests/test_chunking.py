@@ -176,3 +176,28 @@ def test_separator_splitter_is_linear():
         times.append(time.perf_counter() - started)
         assert len(chunks) > len(part) / 700
     assert times[0] < 1 and times[1] < 40 * max(times[0], 0.05)
+
+
+def test_separator_slices_bound_python_memory(monkeypatch):
+    """A batch of 16 MB never has more than a few slices' texts and chunks as Python objects, and slices change nothing."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from trovelake import fixed_values as fv
+    from trovelake.operators import separator_split
+
+    text = "One two three, four five. Six seven eight; nine ten! " * 80
+    separators = fv.SPLIT_SEPARATORS["recursive"]
+    batch = pa.array([text, None, "", "short"] * 4000)
+    tracemalloc.start()
+    found = separator_split.split_texts(batch, separators, 420, 60)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(batch) and peak < batch.nbytes / 2
+    few = batch[:40]
+    wanted = [separator_split.split_by_separators(t, separators, 420, 60) for t in few.to_pylist()]
+    for size in (1, 5000, 1 << 30):
+        monkeypatch.setattr(separator_split, "SLICE", size)
+        assert separator_split.split_texts(few, separators, 420, 60).to_pylist() == wanted
+    assert separator_split.split_texts(batch[:0], separators, 420, 60).to_pylist() == []
