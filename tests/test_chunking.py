@@ -178,7 +178,8 @@ def test_separator_splitter_is_linear():
     assert times[0] < 1 and times[1] < 40 * max(times[0], 0.05)
 
 
-def test_separator_slices_bound_python_memory(monkeypatch):
+@pytest.mark.parametrize("strategy", ["size", "sentence", "recursive"])
+def test_separator_slices_bound_python_memory(monkeypatch, strategy):
     """A batch of 16 MB never has more than a few slices' texts and chunks as Python objects, and slices change nothing."""
     import tracemalloc
 
@@ -188,7 +189,7 @@ def test_separator_slices_bound_python_memory(monkeypatch):
     from trovelake.operators import separator_split
 
     text = "One two three, four five. Six seven eight; nine ten! " * 80
-    separators = fv.SPLIT_SEPARATORS["recursive"]
+    separators = fv.SPLIT_SEPARATORS[strategy]
     batch = pa.array([text, None, "", "short"] * 4000)
     tracemalloc.start()
     found = separator_split.split_texts(batch, separators, 420, 60)
