@@ -202,3 +202,32 @@ def test_separator_slices_bound_python_memory(monkeypatch, strategy):
         monkeypatch.setattr(separator_split, "SLICE", size)
         assert separator_split.split_texts(few, separators, 420, 60).to_pylist() == wanted
     assert separator_split.split_texts(batch[:0], separators, 420, 60).to_pylist() == []
+
+
+def test_character_cuts_take_no_object_each():
+    """A text of 1 MB that is cut between all its characters takes a few times its size, and is cut as before."""
+    import tracemalloc
+
+    text = "abcd efgh " * 100_000
+    tracemalloc.start()
+    chunks = split_by_separators(text, ("",), 700, 120)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * len(text) and len(chunks) == 1 + -(-(len(text) - 700) // 580)
+    for size, overlap in ((1, 0), (1, 3), (2, 5), (7, 0), (7, 6), (30, 40), (30, -2)):
+        for part in (text[:1], text[:30], text[:95]):
+            assert split_by_separators(part, ("",), size, overlap) == fold(part, ("",), size, overlap)
+
+
+def test_separator_slices_leave_one_by_one(spark, monkeypatch):
+    """A worker hands over slice after slice and never joins the chunks of a batch."""
+    import pyarrow as pa
+
+    from trovelake.operators import separator_split
+
+    batch = pa.array(["One two. Three four. " * 500, None, ""] * 300)
+    sizes = [a.nbytes for a in separator_split.split_slices(batch, (". ", ""), 420, 60)]
+    assert len(sizes) > 2 and max(sizes) < batch.nbytes / 2
+    rows = spark.createDataFrame(pa.table({"i": pa.array(range(len(batch))), "t": batch})).coalesce(1)
+    found = rows.select("i", separator_pieces(F.col("t"), (". ", ""), 420, 60).alias("p")).toArrow().sort_by("i")
+    assert found["p"].to_pylist() == separator_split.split_texts(batch, (". ", ""), 420, 60).to_pylist()
